@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftledger.llm import quality_classifier, quality_rules, toxicity
+from driftledger.llm import ngram_join, quality_classifier, quality_rules, sql, substring_dedup, toxicity
 from driftledger.llm.common import table
 
 
@@ -22,6 +22,14 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op7_quality_rules)}
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
 
-SQL: dict[str, str] = {}
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op5_ngram_join, op7_quality_rules, op8_substring_dedup)}
+
+SQL: dict[str, str] = {"op5_ngram_join": sql.NGRAM_JOIN, "op8_substring_dedup": sql.SUBSTRING_DEDUP}
