@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftledger.llm import ngram_join, quality_classifier, quality_rules, sql, substring_dedup, toxicity
+from driftledger.llm import ngram_join, pieces, quality_classifier, quality_rules, sql, substring_dedup, toxicity
 from driftledger.llm.common import table
 
 
@@ -14,6 +14,14 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+#: The public BPE vocabulary with byte fallback, where the box keeps it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), pieces.Vocabulary.load(PIECE_MODEL))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -30,6 +38,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_quality_classifier, op5_ngram_join, op7_quality_rules, op8_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality_classifier, op5_ngram_join, op7_quality_rules, op8_substring_dedup)}
 
 SQL: dict[str, str] = {"op5_ngram_join": sql.NGRAM_JOIN, "op8_substring_dedup": sql.SUBSTRING_DEDUP}
