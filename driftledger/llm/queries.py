@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftledger.llm import ngram_join, pieces, quality_classifier, quality_rules, sql, substring_dedup, toxicity
+from driftledger.llm import decontaminate, html_extract, license_scan, ngram_join, pieces, quality_classifier, quality_rules, sql, substring_dedup, toxicity, warc_audit
 from driftledger.llm.common import table
 
 
@@ -26,10 +27,18 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -38,6 +47,33 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_sentencepiece, op3_quality_classifier, op5_ngram_join, op7_quality_rules, op8_substring_dedup)}
-
-SQL: dict[str, str] = {"op5_ngram_join": sql.NGRAM_JOIN, "op8_substring_dedup": sql.SUBSTRING_DEDUP}
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit of a replica of all pages in which some bodies were cut short, some records lost and some added."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    shape = F.pmod("page_id", F.lit(113))
+    damaged = pages.where(shape != 7).withColumn("html", F.when(shape == 11, F.substring("html", 1, F.length("html") - 1)).otherwise(F.col("html")))
+    added = pages.where(shape == 29).select((-F.col("page_id") - 1).alias("page_id"), "url", "html")
+    return warc_audit.audit(warc_audit.records(pages), warc_audit.records(damaged.unionByName(added)))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_toxicity,
+        op2_sentencepiece,
+        op3_quality_classifier,
+        op4_decontamination,
+        op5_ngram_join,
+        op6_html_extraction,
+        op7_quality_rules,
+        op8_substring_dedup,
+        op9_warc_audit,
+        op10_license_scan,
+    )
+}
+
+SQL: dict[str, str] = {"op5_ngram_join": sql.NGRAM_JOIN, "op8_substring_dedup": sql.SUBSTRING_DEDUP, "op9_warc_audit": sql.WARC_AUDIT, "op10_license_scan": sql.LICENSE_SCAN}

@@ -34,3 +34,65 @@ kept AS (
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM d LEFT JOIN kept USING (doc_id)
 """
+
+_RECORD = (
+    "'WARC/1.1' || crlf || 'WARC-Type: resource' || crlf || 'WARC-Record-ID: <urn:page:' || page_id || '>' || crlf || 'WARC-Target-URI: ' || coalesce(url, '') || crlf"
+    " || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || strlen(coalesce(html, '')) || crlf || crlf || coalesce(html, '') || crlf || crlf"
+)
+
+
+def _leaves(source: str) -> str:
+    return f"""SELECT file_id, page_id, coalesce(sum(n) OVER (PARTITION BY file_id ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS begin_at, n, digest
+  FROM (SELECT page_id, floor(page_id / 512.0)::BIGINT AS file_id, strlen(r)::BIGINT AS n, sha256(r) AS digest FROM (SELECT page_id, {_RECORD} AS r FROM {source}, (SELECT chr(13) || chr(10) AS crlf)))"""
+
+
+WARC_AUDIT = f"""
+WITH p AS (SELECT page_id, url, html FROM pages WHERE page_id IS NOT NULL),
+damaged AS (
+  SELECT page_id, url, CASE WHEN page_id % 113 = 11 THEN substr(html, 1, length(html) - 1) ELSE html END AS html FROM p WHERE page_id % 113 <> 7
+  UNION ALL SELECT -page_id - 1, url, html FROM p WHERE page_id % 113 = 29
+),
+a AS ({_leaves("p")}),
+b AS ({_leaves("damaged")})
+SELECT file_id, page_id, a.begin_at AS begin_a, a.n AS n_bytes_a, a.digest AS digest_a, b.begin_at AS begin_b, b.n AS n_bytes_b, b.digest AS digest_b,
+  CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM a FULL JOIN b USING (file_id, page_id) WHERE a.digest IS DISTINCT FROM b.digest
+"""
+
+
+def _license_scan() -> str:
+    from driftledger.llm import license_scan as scan
+
+    values = ", ".join(f"({t}, '{label}', '{w}', {q}, {str(key).lower()})" for t, label, w, q, key in scan.postings())
+    base = " UNION ALL ".join(
+        "SELECT doc_id, p - {a} AS first, p + {rest} AS last, '{label}' AS label FROM words WHERE x = '{anchor}' AND ".format(a=a, rest=len(phrase.split()) - 1 - a, label=label, anchor=phrase.split()[a])
+        + " AND ".join(f"p + {k - a} >= 0 AND coalesce(w[p + {k - a + 1}] = '{word}', false)" for k, word in enumerate(phrase.split()))
+        for phrase, label, a in scan.BASE
+    )
+    return f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+),
+posting(t, label, x, q, key) AS (VALUES {values}),
+words AS (SELECT doc_id, w, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
+places AS ({base}),
+based AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(last) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY doc_id),
+hit AS (SELECT doc_id, x, p FROM words WHERE x IN (SELECT x FROM posting)),
+idf AS (SELECT x, ln(((SELECT count(*) FROM d) + 1.0) / (count(DISTINCT doc_id) + 1.0)) AS idf FROM hit GROUP BY x),
+top AS (SELECT doc_id, x FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, x) AS r FROM (SELECT DISTINCT doc_id, x FROM hit) JOIN idf USING (x)) WHERE r <= {scan.LOOKED_UP}),
+size AS (SELECT t, count(*) AS words, count_if(key) AS keys FROM posting GROUP BY t),
+aligned AS (SELECT doc_id, t, p - q AS d FROM hit JOIN top USING (doc_id, x) JOIN posting USING (x) JOIN size USING (t) GROUP BY doc_id, t, p - q, words HAVING count(*) >= least(2, words)),
+whole AS (SELECT doc_id, t, label, p - q AS d, count(*) AS c, count_if(key) AS k FROM hit JOIN posting USING (x) GROUP BY ALL),
+labelled AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(c::DOUBLE / words) AS share FROM whole JOIN aligned USING (doc_id, t, d) JOIN size USING (t)
+  WHERE k = keys AND c >= {scan.COVERAGE}::DOUBLE * words GROUP BY doc_id
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(base, more))), ','), '') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score
+FROM d LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id)
+"""
+
+
+LICENSE_SCAN = _license_scan()
