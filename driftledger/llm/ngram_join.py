@@ -63,7 +63,7 @@ def gram_sets(texts: list[bytes | None], n: int) -> list[np.ndarray]:
 
 
 def _fingerprint(text: bytes | None) -> bytes:
-    return hashlib.blake2b(text or b"", digest_size=16).digest()
+    return hashlib.md5(text or b"", usedforsecurity=False).digest()
 
 
 def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
@@ -155,6 +155,11 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, rows: int = 6, rec
     other texts whose n-gram sets reach the threshold; class_id is the least
     document of the group that links and copies tie together.
     """
+    return _classes(docs, n, threshold, rows, recall).drop("key")
+
+
+def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float) -> DataFrame:
+    """The columns of `join`, and key, the fingerprint of the text that counts."""
     spark = docs.sparkSession
     use_checkpoints(spark)
     bands = bands_for(threshold, rows, recall)
@@ -243,11 +248,13 @@ def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, rows: int = 6, rec
     return (
         member.join(total, "rep", "left")
         .join(roots, "rep", "left")
-        .select("doc_id", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_grams").cast("long").alias("n_grams"))
+        .select("doc_id", "key", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_grams").cast("long").alias("n_grams"))
     )
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, rows: int = 6, recall: float = 0.99999) -> DataFrame:
     """The rows of docs whose document is the least of its class; all columns stay.  Repeated rows come once."""
-    kept = join(docs, **options).where("doc_id = class_id").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    kept = _classes(docs, n, threshold, rows, recall).where("doc_id = class_id").select("doc_id", "key")
+    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    same = [keyed["doc_id"] == kept["doc_id"], keyed["__key"] == kept["key"]]
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)

@@ -114,20 +114,26 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Trees:
     return fit_trees(rows[FEATURES].to_numpy(dtype=float), rows["label"].to_numpy(dtype=float))
 
 
-def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns `keep` and `score`, one row for each row of docs, from its whole text."""
-    kept = docs.select(*keep, F.col("text").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema.fields)
+def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
+    """The columns `keep` and the score, one row for each row of docs, from its whole text."""
+    kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             x = np.array([docstats.of_text(t) for t in rows.column(len(keep)).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*keep, name])
 
-    return kept.mapInArrow(run, f"{kinds}, score double")
+    return kept.mapInArrow(run, f"{kinds}, {name} double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     out = score(docs, fit(docs, labels, limit))
     return out.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of docs whose score reaches the threshold; all columns stay."""
+    scored = score(docs, fit(docs, labels, limit), keep=tuple(docs.columns), name="__score")
+    return scored.where(F.col("__score") >= threshold).select(docs.columns)

@@ -241,12 +241,14 @@ def _verify(k: int) -> Callable:
     return run
 
 
-def _batched(docs: DataFrame) -> tuple[DataFrame, int, int]:
+def _batched(docs: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame, int, int]:
     """doc_id, text and the batch of each row; the numbers of batches and buckets, from the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(96, -(-size // (6 * BUCKET_WORDS)))
     n_batches = max(24, -(-size // min(16 * BATCH_BYTES, max(BATCH_BYTES, 100 * n_buckets))))
-    return docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")), int(n_batches), int(n_buckets)
+    batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")
+    rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)]
+    return docs.select("doc_id", "text", *rest, batch), int(n_batches), int(n_buckets)
 
 
 def _verified(texts: DataFrame, n_batches: int, n_buckets: int, k: int) -> DataFrame:
@@ -257,9 +259,13 @@ def _verified(texts: DataFrame, n_batches: int, n_buckets: int, k: int) -> DataF
     return texts.groupBy("batch").cogroup(aimed.groupBy("source_batch")).applyInArrow(lambda key, a, b: _verify(k)(key, a, b.select(_names(_PATH))), _PATH)
 
 
-def remove(docs: DataFrame, k: int = 13, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`columns` of docs, n_words, n_removed and kept_text (the words left, joined by one space), one row for each row."""
-    texts, n_batches, n_buckets = _batched(docs)
+def remove(docs: DataFrame, k: int = 13, columns: tuple[str, ...] = (), as_it_was: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_text (the words left, joined by one space), one row for each row.
+
+    columns: other columns of docs to carry along; they come back as _0, _1 and so
+    on.  as_it_was: texts that lose nothing keep their white space.
+    """
+    texts, n_batches, n_buckets = _batched(docs, columns)
     verified = _verified(texts, n_batches, n_buckets, k)
 
     def run(key: tuple, rows: pa.Table, paths: pa.Table) -> pa.Table:
@@ -276,11 +282,24 @@ def remove(docs: DataFrame, k: int = 13, columns: tuple[str, ...] = ("doc_id",))
             if lost[-1]:
                 stay = np.flatnonzero(~out) + lo
                 left.append(b" ".join([words.raw[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
+            elif as_it_was:
+                left.append(batch.texts[i])
             else:
                 left.append(b" ".join((batch.texts[i] or b"").split()))  # bytes.split() parts words at the same bytes
-        return pa.table([pa.array(batch.ids, pa.int64()), pa.array(count, pa.int64()), pa.array(lost, pa.int64()), pa.array(left, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+        rest = [rows.column(f"_{i}").combine_chunks().take(pa.array(batch.row, pa.int64())) for i in range(len(columns))]
+        names = ["doc_id", "n_words", "n_removed", "kept_text", *(f"_{i}" for i in range(len(columns)))]
+        return pa.table([pa.array(batch.ids, pa.int64()), pa.array(count, pa.int64()), pa.array(lost, pa.int64()), pa.array(left, pa.binary()).cast(pa.string()), *rest], names=names)
+
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(columns))
+    return texts.groupBy("batch").cogroup(verified.groupBy("batch")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string" + kinds)
+
 
-    return texts.groupBy("batch").cogroup(verified.groupBy("batch")).applyInArrow(run, "doc_id long, n_words long, n_removed long, kept_text string")
+def clean(docs: DataFrame, k: int = 13) -> DataFrame:
+    """docs with repeated passages taken out of `text` (and n_chars, if there, counted anew); all columns and rows stay."""
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
+    out = remove(docs, k, rest, as_it_was=True)
+    made = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")} | {c: F.col(f"_{i}") for i, c in enumerate(rest)}
+    return out.select(*(made[c].alias(c) for c in docs.columns))
 
 
 def repeated_paths(docs: DataFrame, k: int = 13) -> DataFrame:
