@@ -224,10 +224,10 @@ pr AS (SELECT a.source AS source_a, b.source AS source_b FROM srcs a JOIN srcs b
 kc AS (SELECT a.day, a.source AS source_a, b.source AS source_b, count(*) AS c FROM fl a JOIN fl b ON a.day = b.day AND a.indicator_type = b.indicator_type AND a.indicator = b.indicator AND a.source < b.source WHERE a.a AND b.a GROUP BY ALL),
 hc AS (SELECT a.day, a.source AS source_a, b.source AS source_b, count(*) AS h FROM hosts a JOIN hosts b ON a.day = b.day AND a.h = b.h AND a.source < b.source GROUP BY ALL),
 nn AS (SELECT day, source, count(*) FILTER (WHERE a) AS n FROM fl GROUP BY ALL)""",
-        "SELECT CAST(cal.day AS VARCHAR) AS day, source_a, source_b, CASE WHEN x.evidence AND y.evidence THEN 'compared' ELSE 'unknown_missing_input' END AS status, CASE WHEN x.evidence AND y.evidence THEN coalesce(c, 0) END AS key_overlap, "
+        "SELECT CAST(cal.day AS VARCHAR) AS day, pr.source_a, pr.source_b, CASE WHEN x.evidence AND y.evidence THEN 'compared' ELSE 'unknown_missing_input' END AS status, CASE WHEN x.evidence AND y.evidence THEN coalesce(c, 0) END AS key_overlap, "
         "CASE WHEN x.evidence AND y.evidence AND coalesce(p.n, 0) + coalesce(q.n, 0) - coalesce(c, 0) > 0 THEN round_even(coalesce(c, 0)::DOUBLE / (coalesce(p.n, 0) + coalesce(q.n, 0) - coalesce(c, 0)), 6) END AS key_jaccard, CASE WHEN x.evidence AND y.evidence THEN coalesce(h, 0) END AS overlapping_ipv4_addresses, "
-        "CASE WHEN x.evidence AND y.evidence THEN 0::BIGINT END AS overlapping_ipv6_addresses FROM cal CROSS JOIN pr LEFT JOIN usable x ON x.day = cal.day AND x.source = source_a LEFT JOIN usable y ON y.day = cal.day AND y.source = source_b "
-        "LEFT JOIN kc USING (day, source_a, source_b) LEFT JOIN hc USING (day, source_a, source_b) LEFT JOIN nn p ON p.day = cal.day AND p.source = source_a LEFT JOIN nn q ON q.day = cal.day AND q.source = source_b",
+        "CASE WHEN x.evidence AND y.evidence THEN 0::BIGINT END AS overlapping_ipv6_addresses FROM cal CROSS JOIN pr LEFT JOIN usable x ON x.day = cal.day AND x.source = pr.source_a LEFT JOIN usable y ON y.day = cal.day AND y.source = pr.source_b "
+        "LEFT JOIN kc ON kc.day = cal.day AND kc.source_a = pr.source_a AND kc.source_b = pr.source_b LEFT JOIN hc ON hc.day = cal.day AND hc.source_a = pr.source_a AND hc.source_b = pr.source_b LEFT JOIN nn p ON p.day = cal.day AND p.source = pr.source_a LEFT JOIN nn q ON q.day = cal.day AND q.source = pr.source_b",
     ),
     "a9_exclusive": _q(
         f"""{_STUDY}, {_HOSTS}, {_COMPLETE},
