@@ -60,7 +60,7 @@ class Trees:
 def fit_trees(x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 4, bins: int = 48, rate: float = 0.15, ridge: float = 1.0, least: float = 3.0) -> Trees:
     """Boost depth-limited trees on the logistic loss, splits sought over histograms."""
     share = float(y.mean()) if len(y) else 0.5
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         return Trees(base=30.0 if share == 1 else -30.0 if share == 0 else 0.0)
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, col, side="left") for c, col in zip(cuts, x.T, strict=True)], axis=1)
