@@ -12,8 +12,9 @@ Texts are dealt into batches once, compressed.  A batch sends its distinct words
 packed by word bucket; buckets are where the lattice is built; each batch gets
 back the ids of its words, in its own order, and encodes its texts with them.
 
-Words end before a run of spaces and at characters that no longer piece holds;
-no piece crosses such a place, so the parts encode on their own.  The few parts
+Words end before a run of spaces, at characters that no longer piece holds and
+between characters that no piece holds together; no piece crosses such a place,
+so the parts encode on their own.  The few parts
 of over MAX_WORD characters are merged by an agenda in the batch itself.
 
 Defined results: null and empty texts encode to no tokens (and decode to the
@@ -42,7 +43,7 @@ MAX_WORD = 48
 #: The piece table is broadcast; larger tables are refused.
 MAX_PIECES = 1 << 20
 #: Bytes of text in a batch, about, and different words to a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
 
 
 @dataclass
@@ -102,29 +103,36 @@ class Vocabulary:
         alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
         return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
-    def parts(self, text: str | None) -> list[str]:
-        """The words of a text as the lattice sees them; long ones cut where nothing can merge."""
-        if not text:
-            return []
-        found = self.parts_of.findall(SPACE + text.replace(" ", SPACE))
-        if max(map(len, found)) <= MAX_WORD:
-            return found
-        out = []
-        for w in found:
-            if len(w) <= MAX_WORD:
-                out.append(w)
-                continue
-            begin = 0
-            for i in range(1, len(w)):
-                if w[i - 1 : i + 1] not in self.pairs:
-                    out.append(w[begin:i])
-                    begin = i
-            out.append(w[begin:])
+    def words(self, text: str | None) -> list[str]:
+        """A text's words as the model sees them; laid end to end they are the marked text."""
+        return self.parts_of.findall(SPACE + text.replace(" ", SPACE)) if text else []
+
+    def cuts(self, word: str) -> list[str]:
+        """A word cut wherever no piece holds both neighbouring characters, so that nothing can merge there."""
+        out, begin, pairs = [], 0, self.pairs
+        for i in range(1, len(word)):
+            if word[i - 1 : i + 1] not in pairs:
+                out.append(word[begin:i])
+                begin = i
+        out.append(word[begin:])
         return out
 
     def bytes_of(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")]
 
+    def ids_of(self, word: str, fold: int | list[int] | None) -> list[int]:
+        """Token ids of a word from its fold: the boundary mask of a BPE model, or the ids of a unigram model; null if it has no edges."""
+        if isinstance(fold, int) or fold is None:
+            at = [i for i in range(len(word) + 1) if fold is None or fold >> i & 1]
+            parts = [word[a:b] for a, b in zip(at, at[1:], strict=False)]
+        else:
+            parts = [i if i >= 0 else word[-i - 1] for i in fold]
+        out: list[int] = []
+        for p in parts:
+            got = p if isinstance(p, int) else self.ids.get(p)
+            out += self.bytes_of(p) if got is None else [got]
+        return out
+
     def merge(self, word: str) -> list[int]:
         """Merge-order encoding of one word of any length with an agenda."""
         n = len(word)
@@ -158,7 +166,8 @@ class Vocabulary:
             i = end[i]
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int], first: bool = True) -> str:
+        """Text of token ids; first: they begin a text, whose leading mark is dropped."""
         value = {i: k for k, i in enumerate(self.byte_ids)}
         out, held = [], bytearray()
         for i in ids:
@@ -171,7 +180,7 @@ class Vocabulary:
             out.append(self.pieces[i])
         if held:
             out.append(held.decode("utf-8", "replace"))
-        return "".join(out).replace(SPACE, " ")[1:]
+        return "".join(out).replace(SPACE, " ")[1 if first else 0 :]
 
 
 def _piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
@@ -181,42 +190,46 @@ def _piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 #: Parts of a packed edge: rank, first character, length, id.  Its order is that of merges: best rank, then leftmost.
 _EDGE = "(shiftleft(cast(rank AS bigint), 32) | shiftleft(cast(s AS bigint), 26) | shiftleft(cast(l AS bigint), 20) | cast(id AS bigint))"
-_S, _L, _ID = "cast(shiftright({0}, 26) & 63 AS int)", "cast(shiftright({0}, 20) & 63 AS int)", "cast({0} & 1048575 AS int)"
+_S, _L = "cast(shiftright({0}, 26) & 63 AS int)", "cast(shiftright({0}, 20) & 63 AS int)"
 _INSIDE = f"shiftleft(shiftleft(1L, {_L} - 1) - 1L, {_S} + 1)"
 _ENDS = f"(shiftleft(1L, {_S}) | shiftleft(1L, {_S} + {_L}))"
 
 
-def _edges(words: DataFrame, table: DataFrame, longest: int) -> DataFrame:
-    """(key columns, word, n, s, l, id, rank, score): the substrings of each word that are pieces.
+def _edges(words: DataFrame, table: DataFrame, shortest: int, longest: int) -> DataFrame:
+    """(key columns, s, l, id, rank, score): the substrings of each word, of at least `shortest` characters, that are pieces.
 
     Explode and broadcast join keep the partitioning of the words, so grouping by word needs no further shuffle.
     """
     keys = words.columns
-    spans = F.expr(f"flatten(transform(sequence(0, char_length(word) - 1), s -> transform(sequence(1, least({longest}, char_length(word) - s)), l -> struct(s, l, substring(word, s + 1, l) AS piece))))")
-    return words.select(*keys, F.explode(spans).alias("e")).select(*keys, "e.s", "e.l", "e.piece").join(F.broadcast(table), "piece")
+    size = F.char_length("word")
+    starts = words.where(size >= shortest).select(*keys, F.explode(F.sequence(F.lit(0), size - shortest)).alias("s"))
+    spans = starts.select(*keys, "s", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), size - F.col("s")))).alias("l"))
+    return spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l"))).join(F.broadcast(table), "piece").drop("piece")
 
 
 def segment(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """words (word, and other key columns) with `ids`; -(i + 1) stands for character i, which no piece covers.
+    """words (word, and other key columns) with their segmentation.
 
-    Words without any edge have no row.  Words have 1 to MAX_WORD characters.
+    For BPE: `mask`, whose bit i is set where a segment begins or the word ends; words
+    of which nothing merges have no row.  For unigram models: `ids`, where -(i + 1)
+    stands for character i, which no piece covers; words without any edge have no
+    row.  Words have 1 to MAX_WORD characters.
     """
     keys = words.columns
     table = _piece_table(words.sparkSession, vocabulary)
-    edges = _edges(words, table, vocabulary.longest)
+    edges = _edges(words, table, 2 if vocabulary.kind == "bpe" else 1, vocabulary.longest)
     if vocabulary.kind == "bpe":
         grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("e"))
-        grouped = grouped.withColumn("t", F.expr(f"transform(filter(e, x -> {_L.format('x')} > 1), x -> struct({_ENDS.format('x')} AS ends, {_INSIDE.format('x')} AS inside))"))
-        folded = grouped.withColumn(
-            "m",
-            F.expr(
-                "aggregate(slice(sequence(0, char_length(word)), 1, char_length(word) - 1), shiftleft(1L, char_length(word) + 1) - 1L, "
-                "(m, k) -> coalesce(m & ~get(filter(t, y -> (m & y.ends) = y.ends AND bit_count(m & y.inside) = 1), 0).inside, m))"
-            ),
+        grouped = grouped.withColumn("t", F.expr(f"transform(e, x -> struct({_ENDS.format('x')} AS ends, {_INSIDE.format('x')} AS inside))"))
+        # state: the boundaries left, and the edges that they still allow, best first; a step joins the two segments under
+        # the first edge that has one boundary inside, and drops the edges that lost an end or have nothing left inside
+        best = "get(filter(s.t, y -> bit_count(s.m & y.inside) = 1), 0).inside"
+        left = "filter(s.t, y -> (m & y.ends) = y.ends AND (m & y.inside) <> 0L)"
+        step = f"coalesce(get(transform(filter(array(s.m & ~{best}), m -> m IS NOT NULL), m -> named_struct('m', m, 't', {left})), 0), named_struct('m', s.m, 't', slice(s.t, 1, 0)))"
+        step = f"CASE WHEN size(s.t) = 0 THEN s ELSE {step} END"
+        return grouped.select(
+            *keys, F.expr(f"aggregate(slice(sequence(0, char_length(word)), 1, char_length(word) - 1), named_struct('m', shiftleft(1L, char_length(word) + 1) - 1L, 't', t), (s, k) -> {step}).m").alias("mask")
         )
-        found = f"get(filter(e, x -> {_S.format('x')} = i AND (m & {_INSIDE.format('x')}) = 0 AND (m & {_ENDS.format('x')}) = {_ENDS.format('x')}), 0)"
-        ids = f"transform(filter(sequence(0, char_length(word) - 1), i -> (m & shiftleft(1L, i)) <> 0), i -> coalesce({_ID.format(found)}, -(i + 1)))"
-        return folded.select(*keys, F.expr(ids).alias("ids"))
     # Viterbi: best[j] is (score, ids) of the best way to the end of character j
     grouped = edges.groupBy(*keys).agg(F.collect_list(F.struct("s", "l", "id", "score")).alias("e"))
     worst = min(vocabulary.scores) - 10.0
@@ -261,28 +274,27 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return [sorted(w) for w in out]
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        parts: set[str] = set()
+        v = shared.value
+        words: set[str] = set()
         for t in unpack(table):
-            parts.update(shared.value.parts(t))
+            words.update(v.words(t))
+        parts = {c for w in words for c in v.cuts(w)}
         rows = [(b, key[0].as_py(), w) for b, w in enumerate(words_of(parts)) if w]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int32(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["bucket", "batch", "words"])
 
     asked = texts.groupBy("batch").applyInArrow(ask, "bucket int, batch int, words array<string>").repartition("bucket")
-    distinct = asked.select("bucket", F.explode("words").alias("word")).distinct()
-    known = segment(distinct, vocabulary).withColumnRenamed("bucket", "of_bucket")
+    # asker is of no use but to read the same columns as below, so that one shuffle of the packs serves both
+    distinct = asked.select("bucket", "batch", F.explode("words").alias("word")).groupBy("bucket", "word").agg(F.min("batch").alias("asker"))
+    known = segment(distinct, vocabulary).withColumnsRenamed({"bucket": "of_bucket", "mask": "fold", "ids": "fold"})
 
     def answer(key: tuple, packs: pa.Table, rows: pa.Table) -> pa.Table:
         v = shared.value
-        ids = dict(zip(rows.column("word").to_pylist(), rows.column("ids").to_pylist(), strict=True))
+        fold = dict(zip(rows.column("word").to_pylist(), rows.column("fold").to_pylist(), strict=True))
         out = []
         for b, words in zip(packs.column("batch").to_pylist(), packs.column("words").to_pylist(), strict=True):
             flat, counts = [], []
             for w in words:
-                got = ids.get(w)
-                if got is None:
-                    got = [i for c in w for i in v.bytes_of(c)]
-                elif min(got) < 0:
-                    got = [k for i in got for k in ([i] if i >= 0 else v.bytes_of(w[-i - 1]))]
+                got = v.ids_of(w, fold.get(w))
                 flat += got
                 counts.append(len(got))
             small = np.uint16 if len(v.pieces) <= 1 << 16 else np.uint32
@@ -294,24 +306,24 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def finish(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         v = shared.value
         all_texts = list(unpack(table))
-        split = [v.parts(t) for t in all_texts]
-        by_bucket = words_of(set().union(*split)) if split else []
+        same: dict[str, str] = {}  # one string for all places of a word
+        split = [[same.setdefault(w, w) for w in v.words(t)] for t in all_texts]
+        cut = {w: v.cuts(w) for w in same}
+        by_bucket = words_of({c for parts in cut.values() for c in parts})
         ids: dict[str, list[int]] = {}
         for b, counts, flat in zip(*(told.column(c).to_pylist() for c in ("bucket", "counts", "flat")), strict=True):
             got = np.frombuffer(flat, dtype=np.uint16 if len(v.pieces) <= 1 << 16 else np.uint32).tolist()
             at = 0
-            for w, n in zip(by_bucket[b], np.frombuffer(counts, dtype=np.uint16).tolist(), strict=True):
-                ids[w] = got[at : at + n]
+            for c, n in zip(by_bucket[b], np.frombuffer(counts, dtype=np.uint16).tolist(), strict=True):
+                ids[c] = got[at : at + n]
                 at += n
-        for parts in split:
-            for w in parts:
-                if len(w) > MAX_WORD and w not in ids:
-                    ids[w] = v.merge(w)
+        of_word = {w: [i for c in parts for i in (ids[c] if c in ids else v.merge(c))] for w, parts in cut.items()}
+        # a text is its words end to end, so it comes back if each of them does and it has no mark of its own
+        lost = {w for w, got in of_word.items() if v.decode(got, first=False) != w.replace(SPACE, " ")}
         tokens, good = [], []
-        for t, parts in zip(all_texts, split, strict=True):
-            got = [i for w in parts for i in ids[w]]
-            tokens.append(np.array(got, dtype=np.int32))
-            good.append(v.decode(got) == t)
+        for t, words in zip(all_texts, split, strict=True):
+            tokens.append(np.array([i for w in words for i in of_word[w]], dtype=np.int32))
+            good.append(SPACE not in t and lost.isdisjoint(words))
         ends = np.cumsum([0] + [len(t) for t in tokens])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens) if tokens else [], pa.int32()))
         return pa.table([table.column("doc_id").combine_chunks(), pa.array(np.diff(ends), pa.int64()), lists, pa.array(good, pa.bool_())], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
