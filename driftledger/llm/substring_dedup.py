@@ -43,7 +43,7 @@ BATCH_BYTES, BUCKET_WORDS = 4 << 20, 1_000_000
 MINIMISER = 6
 _SENT = "bucket int, batch int, docs binary, begins binary, sizes binary, low binary, high binary"
 _BACK = "batch int, docs binary, begins binary, sizes binary, sources binary, source_begins binary"
-_PATH = "batch int, begin long, size int, source long, source_begin long, print long"
+_PATH = "batch int, begins binary, size int, source long, source_begin long, print long"
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -214,15 +214,22 @@ def _paths(k: int, n_batches: int) -> Callable:
             source_at = np.where(has, source_at[lead], np.where(inside, first[lead], -1))
         on = np.flatnonzero(source_at >= 0)
         if not len(on):
-            return pa.table([pa.array([], t) for t in (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names=_names(_PATH))
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names=_names(_PATH))
         starts = np.ones(len(on), dtype=bool)
         a, b = on[1:], on[:-1]
         starts[1:] = ~((first[a] == first[b] + 1) & (batch.owner[first[a]] == batch.owner[first[b]]) & (source_doc[a] == source_doc[b]) & (source_at[a] == source_at[b] + 1))
         seg = on[starts]
         words = np.diff(np.append(np.flatnonzero(starts), len(on))) + k - 1
         strong = _span_prints(Batch(texts, k, seed=2), first[seg], words)
-        cols = [np.full(len(seg), key[0].as_py(), dtype=np.int32), first[seg], words.astype(np.int32), source_doc[seg], source_at[seg], strong.view(np.int64)]
-        return pa.table([pa.array(c) for c in cols], names=_names(_PATH))
+        # places of the batch that name one source span share a row, so that a source many documents copy is asked for once per batch
+        order = np.lexsort((first[seg], strong, words, source_at[seg], source_doc[seg]))
+        seg, words, strong = seg[order], words[order], strong[order]
+        span = np.stack([source_doc[seg], source_at[seg], words, strong.view(np.int64)])
+        heads = np.flatnonzero(np.append(True, (span[:, 1:] != span[:, :-1]).any(axis=0)))
+        begins = [b.tobytes() for b in np.split(first[seg].astype(np.int64), heads[1:])]
+        return pa.table(
+            [pa.array(np.full(len(heads), key[0].as_py(), dtype=np.int32)), pa.array(begins, pa.binary()), pa.array(words[heads].astype(np.int32)), *(pa.array(span[k, heads]) for k in (0, 1, 3))], names=_names(_PATH)
+        )
 
     return run
 
@@ -272,8 +279,10 @@ def remove(docs: DataFrame, k: int = 13, columns: tuple[str, ...] = (), as_it_wa
         batch = Batch(rows, k)
         words = batch.words
         gone = np.zeros(len(words.hash) + 1, dtype=np.int32)
-        np.add.at(gone, paths.column("begin").to_numpy(), 1)
-        np.add.at(gone, paths.column("begin").to_numpy() + paths.column("size").to_numpy(), -1)
+        for begins, size in zip(paths.column("begins").to_pylist(), paths.column("size").to_pylist(), strict=True):
+            begin = np.frombuffer(begins, dtype=np.int64)
+            np.add.at(gone, begin, 1)
+            np.add.at(gone, begin + size, -1)
         gone = gone[:-1].cumsum() > 0
         left, lost, count = [], [], words.counts()
         for i, (lo, hi) in enumerate(zip(words.ptr[:-1].tolist(), words.ptr[1:].tolist(), strict=True)):
