@@ -266,6 +266,14 @@ def test_license_scan(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_license_scan_of_many_notices(spark):
+    rows = [(1, "\n".join(f"{notice}. Zzz" for _, notice, _ in license_scan.TEMPLATES))]
+    rows += [(10 + i, notice) for i, (_, notice, _) in enumerate(license_scan.TEMPLATES) for _ in range(1 + i % 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    alone, among = (next(r for r in license_scan.scan(f).collect() if r.doc_id == 1) for f in (frame.where("doc_id = 1"), frame))
+    assert alone == among and among.labels == ",".join(sorted({label for label, _, _ in license_scan.TEMPLATES})) and among.score == 1.0
+
+
 def test_warc_audit(spark):
     rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 5)) for i in range(1200)] + [(3, "http://x/3", "again"), (None, "u", "lost"), (5000, None, None)]
     ours = spark.createDataFrame(rows, "page_id long, url string, html string")
