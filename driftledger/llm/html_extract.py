@@ -1,20 +1,23 @@
 """HTML extraction by line-block distribution.
 
 Markup is cut into lines, one for each block of the page.  A line weighs as many
-characters as its text has, and nothing where it is mostly links, where the markup says that
-it is not part of the article (navigation, headers, footers, asides, forms,
-adverts, notices, reader comments), or where it stands outside an article or
-main element of a page that has one.  Sums of weights over sliding windows of
-lines show a surge where the article begins and a dive where it ends; text
-between surge and dive is kept, without the lines that are marked as something
-else.  With an article element any weight makes a surge; without one a window
-must reach SURGE characters.
+characters as its text has, and nothing where the markup says that it is not part
+of the article (navigation, headers, footers, asides, forms, adverts, notices,
+reader comments) or where it is mostly links.  Sums of weights over sliding
+windows of lines show a surge where the article begins and a dive where it ends;
+all text between surge and dive is kept, but for the lines that are marked as
+something else.  A window must reach SURGE characters.  Article and main elements
+raise weights if they hold at least as many characters as the unmarked rest of the
+page: each of their lines, mostly links or not, makes a surge of its own, and
+windows outside sum up the lines outside only.  If they hold fewer (a teaser card
+beside a body without an element), they change nothing.
 
 Character references are decoded after the markup is gone, white space inside a
 block becomes one space, and blocks are joined in page order by one space.
 
-Defined results: a null or empty page, and one without text, gives the empty
-string; unclosed elements end where an enclosing one ends; repeated rows give
+Defined results: a null or empty page, and one without text, or of marked lines
+and links only, gives the empty string; where no window makes a surge, the span is
+from the first to the last line of any weight; unclosed elements end where an enclosing one ends; repeated rows give
 one row each.
 """
 
@@ -27,7 +30,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and characters in a window that make a surge where no element marks the article.
+#: Lines in a window, and characters in a window that make a surge outside article elements.
 WINDOW, SURGE = 3, 80
 
 #: Names of elements of HTML.
@@ -141,22 +144,27 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = lines(page)
-    has_article = any(inside and not marked for _, _, marked, inside in found)
-    weight = [0 if marked or (not inside if has_article else 2 * linked > len(line)) else len(line) for line, linked, marked, inside in found]
-    need = 1 if has_article else SURGE
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    surge = next((i for i, s in enumerate(sums) if s >= need and weight[i]), None)
-    if surge is None:
-        if has_article or not any(weight):
-            return ""
-        surge = next(i for i, w in enumerate(weight) if w)
-        need = 1
-    while surge and weight[surge - 1]:  # a heading or short paragraph right before
+    inside = sum(len(line) for line, _, marked, within in found if within and not marked)
+    raised = 2 * inside >= sum(len(line) for line, _, marked, _ in found if not marked)
+    sure = [raised and within for _, _, _, within in found]
+    weight = [0 if marked or 2 * linked > len(line) and not s else len(line) for (line, linked, marked, _), s in zip(found, sure, strict=True)]
+    if not any(weight):
+        return ""
+
+    def reaches(i: int, begin: int) -> bool:
+        """Whether the window at begin, in which line i stands, makes a surge of that line."""
+        return weight[i] > 0 and (sure[i] or sum(weight[j] for j in range(max(0, begin), min(len(found), begin + WINDOW)) if not sure[j]) >= SURGE)
+
+    surges = [i for i in range(len(found)) if reaches(i, i)]
+    dives = [i for i in range(len(found)) if reaches(i, i - WINDOW + 1)]
+    if not surges:  # then no window reaches SURGE, and there is no dive
+        surges = dives = [i for i, w in enumerate(weight) if w]
+    surge, dive = surges[0], max(surges[0], dives[-1] if dives else 0)
+    while surge and weight[surge - 1] and sure[surge - 1] == sure[surge]:  # a heading or short paragraph right before
         surge -= 1
-    dive = max(i for i in range(len(weight)) if weight[i] and (sum(weight[max(0, i - WINDOW + 1) : i + 1]) >= need or i == surge))
-    while dive + 1 < len(weight) and weight[dive + 1]:
+    while dive + 1 < len(found) and weight[dive + 1] and sure[dive + 1] == sure[dive]:
         dive += 1
-    return " ".join(found[i][0] for i in range(surge, dive + 1) if weight[i])
+    return " ".join(line for line, _, marked, _ in found[surge : dive + 1] if not marked)
 
 
 def extract(pages: DataFrame) -> DataFrame:

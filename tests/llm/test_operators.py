@@ -186,6 +186,21 @@ def test_html_extraction(spark):
     assert got == sorted([("1", text, len(text)), ("1", text, len(text)), ("2", "", 0), ("3", "", 0), ("None", "alone", 5)])
 
 
+def test_html_extraction_spans():
+    body = "A sentence of the body that is long enough to count. " * 3
+    first, last = body.strip() + " First.", body.strip() + " Last."
+    of = html_extract.main_text
+    assert of("<div><p>long body</p></div><article><h3>Teaser</h3></article>") == "long body Teaser"
+    assert of(f"<div><p>{first}</p><p>{last}</p></div><article><h3>Teaser</h3></article>") == f"{first} {last} Teaser"
+    assert of(f"<article><h3>Teaser</h3></article><div><p>{first}</p><p>Short.</p></div>") == f"Teaser {first} Short."
+    # links between surge and dive stay, before and after they go
+    links = '<p><a href="/x">A list of links</a></p>'
+    assert of(f"{links}<p>{first}</p>{links}<p>{last}</p>{links}") == f"{first} A list of links {last}"
+    # short lines beside an article that outweighs them stay out, long texts come in
+    assert of(f"<div>Site</div><article><p>{first}</p>{links}</article><div>Top</div>") == f"{first} A list of links"
+    assert of(f"<article><p>{first}</p><p>{first}</p></article><div>{last}</div>") == f"{first} {first} {last}"
+
+
 def test_html_extraction_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
