@@ -10,18 +10,21 @@ into blocks of bounded size; each pair of blocks is one task, where pairs that
 share a band are verified on their full sets.  A task returns, per document, how
 many links it found and the least document it is tied to, never the pairs.
 
-Copies of a text are one node, so a third of all rows may be one text.
-
-Defined results: doc_id identifies a document; of rows that repeat an id the one
-with the least text fingerprint counts, and rows with a null id are left out.  A
-text of fewer than n words has its whole word sequence as its only n-gram; null
-texts count as empty; texts without words have no n-grams and are linked to
-nothing, but copies of each other.
+Copies of a text are one node, so a third of all rows may be one text.  A node is
+a text fingerprint; its number is the least id of the text's rows, or, where that
+is null or taken by another text, a hash that no other node has.
+
+Defined results: ids need not be unique.  `join` gives one row for each id and
+text, and leaves out rows with a null id, as its SQL twin does; `one_of_each`
+compares all rows.  A text of fewer than n words has its whole word sequence as its
+only n-gram; null texts count as empty; texts without words have no n-grams and
+are linked to nothing, but copies of each other.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -85,7 +88,7 @@ def band_hashes(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, key, n_grams, bands) of every row with an id."""
+    """(doc_id, key, n_grams, bands) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +101,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
                     [pa.array(i, pa.int64()), pa.array(map(_fingerprint, t), pa.binary()), pa.array([len(s) for s in sets], pa.int32()), lists], names=["doc_id", "key", "n_grams", "bands"]
                 )
 
-    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, "doc_id long, key binary, n_grams int, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key binary, n_grams int, bands array<long>")
 
 
 def _count_links(ids: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool) -> Iterator[tuple[int, int, int]]:
@@ -148,25 +151,45 @@ def _count_links(ids: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: lis
         yield int(ids[v]), int(links[v]), int(ids[find(v)])
 
 
+def _key() -> F.Column:
+    """The fingerprint of a text, as `_fingerprint` gives it."""
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+
+
 def join(docs: DataFrame, n: int = 5, threshold: float = 0.8, rows: int = 6, recall: float = 0.99999) -> DataFrame:
-    """One row per document: doc_id, class_id, copy_of, n_links, n_grams.
+    """One row per id and text: doc_id, class_id, copy_of, n_links, n_grams.
 
     copy_of is the least document with the same text; n_links is the number of
     other texts whose n-gram sets reach the threshold; class_id is the least
     document of the group that links and copies tie together.
     """
-    return _classes(docs, n, threshold, rows, recall).drop("key")
+    docs = docs.select("doc_id", "text").where("doc_id is not null")
+    found = _classes(docs, n, threshold, rows, recall)
+    return docs.select("doc_id", _key().alias("key")).distinct().join(found, "key").select("doc_id", "class_id", F.col("rep").alias("copy_of"), "n_links", "n_grams")
+
+
+def _numbered(texts: DataFrame) -> DataFrame:
+    """texts (key, rep, and others), one row each, with a doc_id that no two share, and odd: it is not the text's rep."""
+    total = texts.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("rep").alias("reps")).first()
+    if total["n"] == total["reps"]:
+        return texts.withColumn("doc_id", F.col("rep")).withColumn("odd", F.lit(False))
+    pairs = texts.select("key", "rep")
+    taken = pairs.where("rep is not null").groupBy("rep").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").select("rep", "least")
+    odd = pairs.join(taken, "rep", "left").where("rep is null or key <> least").select("key")
+    for salt in itertools.count():
+        number = odd.select("key", F.xxhash64("key", F.lit(salt)).alias("number")).checkpoint()
+        same = number.agg((F.count(F.lit(1)) - F.count_distinct("number")).alias("n")).first()["n"]
+        if not same and number.join(pairs, F.col("number") == F.col("rep"), "left_semi").isEmpty():
+            return texts.join(number, "key", "left").withColumn("doc_id", F.coalesce("number", "rep")).withColumn("odd", F.col("number").isNotNull()).drop("number").checkpoint()
 
 
 def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float) -> DataFrame:
-    """The columns of `join`, and key, the fingerprint of the text that counts."""
+    """(key, rep, class_id, kept, n_links, n_grams) of every text; kept: it has the least id (then fingerprint) of its class; null ids come last."""
     spark = docs.sparkSession
     use_checkpoints(spark)
     bands = bands_for(threshold, rows, recall)
-    signed = signatures(docs, n, bands, rows).groupBy("doc_id").agg(F.min(F.struct("key", "n_grams", "bands")).alias("s")).select("doc_id", "s.*").checkpoint()
-    least = signed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    member = signed.select("doc_id", "key", "n_grams").join(least, "key")
-    node = signed.join(least.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").where("n_grams > 0")
+    every = _numbered(signatures(docs, n, bands, rows).groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n_grams", "bands")).alias("s")).select("key", "rep", "s.*").checkpoint())
+    node = every.where("n_grams > 0")
 
     spread = node.select("doc_id", F.explode("bands").alias("h"))
     first = spread.groupBy("h").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
@@ -175,7 +198,7 @@ def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float
 
     # sets of classes further apart than one cannot reach the threshold (a margin keeps rounding harmless)
     width = -math.log(threshold * 0.98)
-    sized = part.join(node, part.node == node.doc_id).select("doc_id", "root", "bands", "key", F.floor(F.log("n_grams") / width).cast("int").alias("s"))
+    sized = part.join(node, part.node == node.doc_id).select("doc_id", "root", "bands", "key", "rep", F.floor(F.log("n_grams") / width).cast("int").alias("s"))
     counts = sized.groupBy("root", "s").agg(F.count(F.lit(1)).alias("n")).select("root", "s", "n", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks"))
     around = (
         sized.join(counts, ["root", "s"])
@@ -194,25 +217,25 @@ def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float
     own = to("blocks", lambda o: task(s, s, F.least(b, o), F.greatest(b, o), (b > o).cast("int")))
     own = F.when(F.col("n") > 1, own).otherwise(F.array().cast("array<struct<s0:int,s1:int,b0:int,b1:int,side:int>>"))
     tasks = F.concat(own, to("up", lambda o: task(s, s + 1, b, o, 0)), to("down", lambda o: task(s - 1, s, o, b, 1)))
-    wanted = around.select("doc_id", "root", "bands", "key", tasks.alias("tasks")).where(F.size("tasks") > 0)
+    wanted = around.select("doc_id", "root", "bands", "key", "rep", tasks.alias("tasks")).where(F.size("tasks") > 0)
 
-    texts = docs.select(F.col("doc_id").alias("doc_id"), "text").where("doc_id is not null").join(wanted, "doc_id")
+    keyed = docs.select(F.col("doc_id").alias("of"), "text", _key().alias("of_key"))
+    # rows with a null id have nothing but the text to deal them by, so copies go before the shuffle
+    one = keyed.where("of is not null").unionByName(keyed.where("of is null").dropDuplicates(["of_key"]))
+    texts = one.join(wanted, F.col("of").eqNullSafe(F.col("rep")) & (F.col("of_key") == F.col("key")))
 
     def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column(1).cast(pa.binary()).to_pylist()
-            keys = batch.column(4).to_pylist()
             at = 0
             for _, part_texts in blocks(list(range(len(found))), found):
                 sets = gram_sets(part_texts, n)
                 here = batch.slice(at, len(sets))
-                same = pa.array([_fingerprint(t) == k for t, k in zip(part_texts, keys[at : at + len(sets)], strict=True)])
                 at += len(sets)
-                out = pa.RecordBatch.from_arrays([here.column(0), here.column(2), here.column(3), here.column(5), pa.array([g.tobytes() for g in sets], pa.binary())], names=["doc_id", "root", "bands", "tasks", "grams"])
-                yield out.filter(same)
+                yield pa.RecordBatch.from_arrays([here.column(0), here.column(2), here.column(3), here.column(4), pa.array([g.tobytes() for g in sets], pa.binary())], names=["doc_id", "root", "bands", "tasks", "grams"])
 
     kinds = "doc_id long, root long, bands array<long>, tasks array<struct<s0:int,s1:int,b0:int,b1:int,side:int>>, grams binary"
-    sets = texts.select("doc_id", "text", "root", "bands", "key", "tasks").mapInArrow(with_sets, kinds)
+    sets = texts.select("doc_id", "text", "root", "bands", "tasks").mapInArrow(with_sets, kinds)
     key = ["root", "s0", "s1", "b0", "b1"]
     dealt = sets.select("doc_id", "root", "bands", "grams", F.explode("tasks").alias("t")).select("root", "t.s0", "t.s1", "t.b0", "t.b1", "t.side", "doc_id", "bands", "grams")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
@@ -243,18 +266,28 @@ def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "links", "b"])
 
     found = dealt.mapInArrow(verify, "a long, links long, b long").checkpoint()
-    total = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("n_links"))
-    roots = connected(found.select("a", "b")).select(F.col("node").alias("rep"), "root")
+    total = found.groupBy(F.col("a").alias("doc_id")).agg(F.sum("links").alias("n_links"))
+    roots = connected(found.select("a", "b")).select(F.col("node").alias("doc_id"), "root")
+    all_texts = every.select("doc_id", "key", "rep", "n_grams", "odd")
+    if all_texts.where("odd").isEmpty():
+        roots = roots.select("doc_id", F.col("root").alias("class_id"), (F.col("doc_id") == F.col("root")).alias("kept"))
+    else:  # numbers have no order then
+        named = roots.join(all_texts, "doc_id")
+        heads = named.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("unnamed"), "rep", "key")).alias("h"))
+        roots = named.join(heads, "root").select("doc_id", F.col("h.rep").alias("class_id"), (F.col("key") == F.col("h.key")).alias("kept"))
     return (
-        member.join(total, "rep", "left")
-        .join(roots, "rep", "left")
-        .select("doc_id", "key", F.coalesce("root", "rep").alias("class_id"), F.col("rep").alias("copy_of"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_grams").cast("long").alias("n_grams"))
+        all_texts.join(total, "doc_id", "left")
+        .join(roots, "doc_id", "left")
+        .select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"), F.coalesce("kept", F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.col("n_grams").cast("long").alias("n_grams"))
     )
 
 
 def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, rows: int = 6, recall: float = 0.99999) -> DataFrame:
-    """The rows of docs whose document is the least of its class; all columns stay.  Repeated rows come once."""
-    kept = _classes(docs, n, threshold, rows, recall).where("doc_id = class_id").select("doc_id", "key")
-    keyed = docs.withColumn("__key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    same = [keyed["doc_id"] == kept["doc_id"], keyed["__key"] == kept["key"]]
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """One row of docs for each class of texts, that of the least id, null ids last; all columns stay.
+
+    A row goes only if its text is a copy of, or linked to, that of a row that stays.
+    """
+    kept = _classes(docs, n, threshold, rows, recall).where("kept").select(F.col("key").alias("__kept"), F.col("rep").alias("__rep"))
+    keyed = docs.withColumn("__key", _key())
+    same = [keyed["doc_id"].eqNullSafe(kept["__rep"]), keyed["__key"] == kept["__kept"]]
+    return keyed.join(kept, same, "left_semi").dropDuplicates(["__key"]).select(docs.columns)

@@ -103,6 +103,20 @@ def test_one_of_each_keeps_columns(corpus):
     assert len(ids) == len(set(ids)) and 904 not in ids and 903 in ids
 
 
+def test_one_of_each_keeps_null_and_reused_ids(spark):
+    rng = random.Random(5)
+    a, b, c, d, e, f, g = (" ".join(rng.choice(VOCABULARY) for _ in range(60)) for _ in range(7))
+    near = lambda t: t + " tail"
+    rows = [(1, a), (1, b), (1, b), (1, near(a)), (2, near(b)), (None, c), (None, near(c)), (None, d), (None, d), (None, a), (None, None), (3, e), (0, near(e)), (4, f), (4, g), (None, near(g))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in ngram_join.one_of_each(docs).collect()]
+    groups = [{a, near(a)}, {b, near(b)}, {c, near(c)}, {d}, {None}, {e, near(e)}, {f}, {g, near(g)}]
+    assert len(kept) == len(groups) and all(sum(t in group for _, t in kept) == 1 for group in groups)
+    assert {(1, b), (0, near(e)), (4, f), (4, g), (None, d)} <= set(kept) and {i for i, t in kept if t in (a, near(a))} == {1}
+    got = sorted((r.doc_id, r.class_id, r.n_links) for r in ngram_join.join(docs).collect())
+    assert got == [(0, 0, 1), (1, 1, 1), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 1), (4, 4, 0), (4, 4, 0)]
+
+
 def test_substring_dedup_equals_brute_force(corpus):
     docs = [(i, WORD.findall(t or "")) for i, t in corpus[0]]
     first = {}
