@@ -15,7 +15,8 @@ back the ids of its words, in its own order, and encodes its texts with them.
 Words end before a run of spaces, at characters that no longer piece holds and
 between characters that no piece holds together; no piece crosses such a place,
 so the parts encode on their own.  The few parts
-of over MAX_WORD characters are merged by an agenda in the batch itself.
+of over MAX_WORD characters are encoded in the batch itself, by the rule of the
+model: BPE parts are merged by an agenda, unigram parts go through Viterbi.
 
 Defined results: null and empty texts encode to no tokens (and decode to the
 empty text); characters outside the vocabulary become byte pieces; rows that
@@ -166,6 +167,45 @@ class Vocabulary:
             i = end[i]
         return out
 
+    def viterbi(self, word: str) -> list[int]:
+        """Best-score encoding of one word of any length; it equals the fold of `segment`, ties too."""
+        # the best ways to all places form a tree: place j follows parent[j] by token[j]; jump makes climbing logarithmic
+        n, worst = len(word), min(self.scores) - 10.0
+        score, parent, token, depth, jump = [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+
+        def up(v: int, d: int) -> int:
+            while depth[v] > d:
+                v = jump[v] if depth[jump[v]] >= d else parent[v]
+            return v
+
+        def is_greater(s: int, i: int, t: int, k: int) -> bool:
+            """Whether the ids on the way to s, then i, come after those on the way to t, then k."""
+            d = min(depth[s], depth[t])
+            a, b = up(s, d), up(t, d)
+            if a == b:
+                return (i if depth[s] == d else token[up(s, d + 1)]) > (k if depth[t] == d else token[up(t, d + 1)])
+            while parent[a] != parent[b]:
+                a, b = (jump[a], jump[b]) if jump[a] != jump[b] else (parent[a], parent[b])
+            return token[a] > token[b]
+
+        for j in range(1, n + 1):
+            s, i, best = j - 1, -j, score[j - 1] + worst
+            for t in range(max(0, j - self.longest), j):
+                k = self.ids.get(word[t:j])
+                if k is not None and ((got := score[t] + self.scores[k]) > best or got == best and is_greater(t, k, s, i)):
+                    s, i, best = t, k, got
+            score[j], parent[j], token[j], depth[j] = best, s, i, depth[s] + 1
+            jump[j] = jump[jump[s]] if depth[s] - depth[jump[s]] == depth[jump[s]] - depth[jump[jump[s]]] else s
+        way = []
+        while n:
+            way.append(token[n])
+            n = parent[n]
+        return self.ids_of(word, way[::-1])
+
+    def encode_part(self, word: str) -> list[int]:
+        """Token ids of a part of any length."""
+        return self.merge(word) if self.kind == "bpe" else self.viterbi(word)
+
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of token ids; first: they begin a text, whose leading mark is dropped."""
         value = {i: k for k, i in enumerate(self.byte_ids)}
@@ -317,7 +357,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for c, n in zip(by_bucket[b], np.frombuffer(counts, dtype=np.uint16).tolist(), strict=True):
                 ids[c] = got[at : at + n]
                 at += n
-        of_word = {w: [i for c in parts for i in (ids[c] if c in ids else v.merge(c))] for w, parts in cut.items()}
+        of_word = {w: [i for c in parts for i in (ids[c] if c in ids else v.encode_part(c))] for w, parts in cut.items()}
         # a text is its words end to end, so it comes back if each of them does and it has no mark of its own
         lost = {w for w, got in of_word.items() if v.decode(got, first=False) != w.replace(SPACE, " ")}
         tokens, good = [], []

@@ -162,6 +162,23 @@ def test_viterbi_fold_equals_brute_force(spark):
         assert sum(model.scores[i] for i in r.ids) == pytest.approx(best(r.word))
 
 
+def test_long_parts_follow_the_model(spark):
+    rng = random.Random(8)
+    table = [pieces.SPACE, "a", "b", *sorted({"".join(rng.choice("abc") for _ in range(rng.randint(2, 5))) for _ in range(30)})]
+    for scores in ([-rng.random() * 9 - 1 for _ in table], [-1.0 - rng.randrange(2) for _ in table]):  # the second has many ties
+        model = pieces.Vocabulary("unigram", [*table, *(f"<0x{b:02X}>" for b in range(256))], scores + [0.0] * 256, list(range(len(table), len(table) + 256)), set(range(len(table), len(table) + 256)))
+        words = ["".join(rng.choice("abc") for _ in range(n)) for n in [*range(1, 9), *range(45, 61)]] + ["ab" * 25, "a" * 55]
+        marked = spark.createDataFrame([(w if w.startswith(pieces.SPACE) else pieces.SPACE + w,) for w in words], "word string")
+        want = {r.word[1:]: model.ids_of(r.word, r.ids) for r in pieces.segment(marked, model).collect()}
+        got = {r.doc_id: list(r.token_ids) for r in pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), model).collect()}
+        assert [got[i] for i in range(len(words))] == [want[w] for w in words]
+        assert all(model.viterbi(pieces.SPACE + w) == want[w] for w in words)
+    library, ours = sentencepiece.SentencePieceProcessor(model_file=PIECE_MODEL), pieces.Vocabulary.load(PIECE_MODEL)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(n)) for n in range(44, 61)]
+    for r in pieces.encode(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"), ours).collect():
+        assert list(r.token_ids) == library.encode(words[r.doc_id])
+
+
 def test_decontamination(spark, empty):
     item = "the quick brown fox jumps over the lazy dog while nine wise wizards watch from afar"
     near = item.replace("brown", "brwn").replace("lazy", "lazzy")
