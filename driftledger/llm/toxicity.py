@@ -6,7 +6,9 @@ linear softmax over that mean gives the score.  So a few insults in a long text
 are not averaged away, and one chance word weighs less than several.  Vectors
 and softmax are trained jointly in numpy: first on stretches of BAG words, then
 on each document's own BAG words, chosen anew each turn.  An unseen misspelling
-shares n-grams with known words and so a part of their vectors.
+shares n-grams with known words and so a part of their vectors.  A run of over
+LONGEST letters (words glued together, scripts without spaces) counts as several
+words: overlapping pieces of PIECE letters, so that all of it is scored.
 
 Since mean and softmax are linear up to the final exponential, a word's part in
 the log-odds is one number, which scoring looks up for every word of the text.
@@ -36,6 +38,8 @@ SAMPLE_ROWS = 6_000
 BAG = 8
 #: Lengths of the character n-grams of a word with its end marks.
 NGRAMS = (3, 4, 5, 6)
+#: Letters of a word at most; longer runs are cut into pieces of PIECE letters, each half over the next, so every n-gram is in one.
+LONGEST, PIECE = 64, 24
 #: Word parts kept for scoring at once in a task; the table starts afresh beyond.
 CACHE_WORDS = 400_000
 
@@ -43,12 +47,19 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """The words of a text; runs of over LONGEST letters give their overlapping pieces."""
+    out: list[str] = []
+    for run in _LETTERS.findall(text.lower()) if text else []:
+        if len(run) <= LONGEST:
+            out.append(run)
+        else:
+            out += [run[i : i + PIECE] for i in range(0, len(run) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def subwords(word: str) -> list[str]:
     """The word with end marks and its character n-grams."""
-    w = f"<{word[:64]}>"
+    w = f"<{word}>"
     return [w, *(w[i : i + n] for n in NGRAMS for i in range(len(w) - n + 1) if n < len(w))]
 
 

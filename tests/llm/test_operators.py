@@ -280,6 +280,18 @@ def test_misspellings_share_subwords():
     assert of("such an idiott") > of("such a gentle soul")
 
 
+def test_toxicity_of_long_runs():
+    texts = ["you idiot and moron"] * 30 + ["a kind and gentle word"] * 30
+    model = toxicity.train(texts, [1] * 30 + [0] * 30)
+    of = model.scorer()
+    for n in (65, 70, 77, 300, 1001):
+        assert of("x" * n + "idiotmoron") > of("x" * n + "gentlekind") and of("x" * n + "idiotmoron" + "x" * 200) > of("x" * (n + 210))
+        run = "".join(chr(97 + (i * i + i // 26) % 26) for i in range(n))
+        got = {s.strip("<>") for w in toxicity.tokens(run) for s in toxicity.subwords(w)}
+        assert {run[i : i + k] for k in toxicity.NGRAMS for i in range(n - k + 1)} <= got
+    assert toxicity.tokens("Ab c1 " + "d" * 64) == ["ab", "c", "d" * 64]
+
+
 def test_quality_rules_base_counts(spark, labelled):
     texts = ["a b c a b c d", "x #% |\nx #% |\n\n y", None, "", "w " * 60, " ".join(map(str, range(80)))]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
