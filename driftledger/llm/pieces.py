@@ -1,50 +1,61 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-The distinct words of all texts become rows.  Every substring of a word, up to
+The distinct parts of all texts become rows.  Every substring of a part, up to
 the longest piece, is exploded and equi-joined to the piece table (a broadcast
-of at most MAX_PIECES rows); the edges that are pieces are grouped by word, and
+of at most MAX_PIECES rows); the edges that are pieces are grouped by part, and
 a higher-order aggregate folds over the lattice.  Two folds exist: Viterbi, for
 unigram models (best sum of piece scores), and merge order, for BPE models, whose
 right segmentation is not that of the best sum: each step of the aggregate takes
 the best-scored edge that joins two neighbouring segments.
 
-Texts are dealt into batches once, compressed.  A batch sends its distinct words,
-packed by word bucket; buckets are where the lattice is built; each batch gets
-back the ids of its words, in its own order, and encodes its texts with them.
+A part ends wherever no piece holds both neighbouring characters; no piece
+crosses such a place, so parts encode on their own.  Texts are dealt into batches
+once, compressed.  A batch finds its different parts in numpy and sends each of
+them once, packed by bucket.  A bucket groups them by part, together with the
+places (batch and number in the batch) that asked for it, builds the lattice, and
+tells the ids to those places.  A batch then lays the ids of its parts end to end.
+Nothing loops over the characters or words of texts.
 
-Words end before a run of spaces, at characters that no longer piece holds and
-between characters that no piece holds together; no piece crosses such a place,
-so the parts encode on their own.  The few parts
-of over MAX_WORD characters are encoded in the batch itself, by the rule of the
-model: BPE parts are merged by an agenda, unigram parts go through Viterbi.
+The few parts of over MAX_WORD characters are encoded in the batch itself, by the
+rule of the model: BPE parts are merged by an agenda, unigram parts go through
+Viterbi.
 
 Defined results: null and empty texts encode to no tokens (and decode to the
 empty text); characters outside the vocabulary become byte pieces; rows that
-repeat, and rows with a null doc_id, give one row each.
+repeat, and rows with a null doc_id, give one row each; texts of any length are
+encoded whole (a task holds a batch, or the one text that is larger); an empty
+table gives no rows; only the columns doc_id and text are read.  Models that
+normalise texts (other than marking spaces) are refused.
 """
 
 from __future__ import annotations
 
 import heapq
-import re
-import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftledger.llm.wordhash import run_prints
+
 SPACE = "▁"
 #: A part of a text has at most so many characters in the lattice (a bit mask holds its boundaries).
 MAX_WORD = 48
 #: The piece table is broadcast; larger tables are refused.
 MAX_PIECES = 1 << 20
-#: Bytes of text in a batch, about, and different words to a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 6 << 20, 12 << 20
+#: Bytes of text to a batch, and to a bucket, about.
+BATCH_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+#: Characters, or parts, that one numpy step handles at most.
+STEP = 1 << 20
+#: Of rows that agree in all, so many of a task share a batch.
+COPIES = 4
 
 
 @dataclass
@@ -69,6 +80,9 @@ class Vocabulary:
         probe = p.encode("a b", out_type=str)
         if not probe or not probe[0].startswith(SPACE):
             raise ValueError("only models with a leading space mark are supported")
+        text = "\ufb01\u2460  A\u030a x "  # compatibility forms, a combining mark, runs of spaces
+        if p.normalize(text) != SPACE + text.replace(" ", SPACE):
+            raise ValueError("only models that leave texts as they are, but for marking spaces, are supported")
         merges = p.encode(SPACE + "x") == p.encode(" x")
         kind = "bpe" if merges and min(p.get_score(i) for i in range(n)) <= -n + 2000 else "unigram"
         return cls(kind, known, [p.get_score(i) for i in range(n)], byte, special)
@@ -99,32 +113,33 @@ class Vocabulary:
         return {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
 
     @cached_property
-    def parts_of(self) -> re.Pattern:
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
-        alone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in joined)
-        return re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|[{alone}]" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-
-    def words(self, text: str | None) -> list[str]:
-        """A text's words as the model sees them; laid end to end they are the marked text."""
-        return self.parts_of.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-    def cuts(self, word: str) -> list[str]:
-        """A word cut wherever no piece holds both neighbouring characters, so that nothing can merge there."""
-        out, begin, pairs = [], 0, self.pairs
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                out.append(word[begin:i])
-                begin = i
-        out.append(word[begin:])
+    def char_kinds(self) -> np.ndarray:
+        """A small number for each code point: 0 if no piece holds it together with another."""
+        out = np.zeros(0x110000, dtype=np.uint16)
+        for k, c in enumerate(sorted({c for p in self.pairs for c in p}), 1):
+            out[ord(c)] = k
+        return out
+
+    @cached_property
+    def joined(self) -> np.ndarray:
+        """For kinds a and b, at a * (number of kinds) + b: whether some piece holds them side by side."""
+        kinds = self.char_kinds
+        out = np.zeros((int(kinds.max()) + 1,) * 2, dtype=bool)
+        for a, b in self.pairs:
+            out[kinds[ord(a)], kinds[ord(b)]] = True
         return out
 
+    @cached_property
+    def byte_values(self) -> dict[int, int]:
+        return {i: k for k, i in enumerate(self.byte_ids)}
+
     def bytes_of(self, text: str) -> list[int]:
         return [self.byte_ids[b] for b in text.encode("utf-8", "surrogatepass")]
 
-    def ids_of(self, word: str, fold: int | list[int] | None) -> list[int]:
-        """Token ids of a word from its fold: the boundary mask of a BPE model, or the ids of a unigram model; null if it has no edges."""
-        if isinstance(fold, int) or fold is None:
-            at = [i for i in range(len(word) + 1) if fold is None or fold >> i & 1]
+    def ids_of(self, word: str, fold: int | list[int]) -> list[int]:
+        """Token ids of a word from its fold: the boundary mask of a BPE model, or the ids of a unigram model."""
+        if isinstance(fold, int):
+            at = [i for i in range(len(word) + 1) if fold >> i & 1]
             parts = [word[a:b] for a, b in zip(at, at[1:], strict=False)]
         else:
             parts = [i if i >= 0 else word[-i - 1] for i in fold]
@@ -208,7 +223,7 @@ class Vocabulary:
 
     def decode(self, ids: list[int], first: bool = True) -> str:
         """Text of token ids; first: they begin a text, whose leading mark is dropped."""
-        value = {i: k for k, i in enumerate(self.byte_ids)}
+        value = self.byte_values
         out, held = [], bytearray()
         for i in ids:
             if i in value:
@@ -224,7 +239,8 @@ class Vocabulary:
 
 
 def _piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    rows = [(p, i, vocabulary.rank[i], float(vocabulary.scores[i])) for p, i in vocabulary.ids.items()]
+    """The pieces, and the empty one that the edge of length 0 of each word meets."""
+    rows = [("", -1, 0, 0.0), *((p, i, vocabulary.rank[i], float(vocabulary.scores[i])) for p, i in vocabulary.ids.items())]
     return spark.createDataFrame(rows, "piece string, id int, rank int, score double")
 
 
@@ -235,31 +251,34 @@ _INSIDE = f"shiftleft(shiftleft(1L, {_L} - 1) - 1L, {_S} + 1)"
 _ENDS = f"(shiftleft(1L, {_S}) | shiftleft(1L, {_S} + {_L}))"
 
 
-def _edges(words: DataFrame, table: DataFrame, shortest: int, longest: int) -> DataFrame:
-    """(key columns, s, l, id, rank, score): the substrings of each word, of at least `shortest` characters, that are pieces.
+def _edges(words: DataFrame, table: DataFrame, shortest: int, longest: int, carry: list[str]) -> DataFrame:
+    """(key columns, carried columns, s, l, id, rank, score): the substrings of each word, of at least `shortest` characters, that are pieces.
 
-    Explode and broadcast join keep the partitioning of the words, so grouping by word needs no further shuffle.
+    Each word has an edge with s = -1 besides, the only one that holds the carried
+    columns.  Explode and broadcast join keep the partitioning of the words, so
+    grouping by word needs no further shuffle.
     """
-    keys = words.columns
+    keys = [c for c in words.columns if c not in carry]
     size = F.char_length("word")
-    starts = words.where(size >= shortest).select(*keys, F.explode(F.sequence(F.lit(0), size - shortest)).alias("s"))
-    spans = starts.select(*keys, "s", F.explode(F.sequence(F.lit(shortest), F.least(F.lit(longest), size - F.col("s")))).alias("l"))
+    starts = words.select(*keys, *carry, F.explode(F.sequence(F.lit(-1), F.greatest(size - shortest, F.lit(-1)))).alias("s"))
+    lengths = F.when(F.col("s") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(shortest), F.least(F.lit(longest), size - F.col("s"))))
+    spans = starts.select(*keys, *(F.when(F.col("s") < 0, F.col(c)).alias(c) for c in carry), "s", F.explode(lengths).alias("l"))
     return spans.withColumn("piece", F.substring("word", F.col("s") + 1, F.col("l"))).join(F.broadcast(table), "piece").drop("piece")
 
 
-def segment(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """words (word, and other key columns) with their segmentation.
+def segment(words: DataFrame, vocabulary: Vocabulary, carry: tuple[str, ...] = ()) -> DataFrame:
+    """words (word, and other key columns; carried columns are no keys) with their segmentation.
 
-    For BPE: `mask`, whose bit i is set where a segment begins or the word ends; words
-    of which nothing merges have no row.  For unigram models: `ids`, where -(i + 1)
-    stands for character i, which no piece covers; words without any edge have no
-    row.  Words have 1 to MAX_WORD characters.
+    For BPE: `mask`, whose bit i is set where a segment begins or the word ends.
+    For unigram models: `ids`, where -(i + 1) stands for character i, which no piece
+    covers.  Words have 1 to MAX_WORD characters.
     """
-    keys = words.columns
+    keys = [c for c in words.columns if c not in carry]
     table = _piece_table(words.sparkSession, vocabulary)
-    edges = _edges(words, table, 2 if vocabulary.kind == "bpe" else 1, vocabulary.longest)
+    edges = _edges(words, table, 2 if vocabulary.kind == "bpe" else 1, max(2, vocabulary.longest), list(carry))
+    carried = [F.first(c, ignorenulls=True).alias(c) for c in carry]
     if vocabulary.kind == "bpe":
-        grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr(_EDGE))).alias("e"))
+        grouped = edges.groupBy(*keys).agg(F.sort_array(F.collect_list(F.expr(f"CASE WHEN s >= 0 THEN {_EDGE} END"))).alias("e"), *carried)
         grouped = grouped.withColumn("t", F.expr(f"transform(e, x -> struct({_ENDS.format('x')} AS ends, {_INSIDE.format('x')} AS inside))"))
         # state: the boundaries left, and the edges that they still allow, best first; a step joins the two segments under
         # the first edge that has one boundary inside, and drops the edges that lost an end or have nothing left inside
@@ -267,108 +286,197 @@ def segment(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         left = "filter(s.t, y -> (m & y.ends) = y.ends AND (m & y.inside) <> 0L)"
         step = f"coalesce(get(transform(filter(array(s.m & ~{best}), m -> m IS NOT NULL), m -> named_struct('m', m, 't', {left})), 0), named_struct('m', s.m, 't', slice(s.t, 1, 0)))"
         step = f"CASE WHEN size(s.t) = 0 THEN s ELSE {step} END"
-        return grouped.select(
-            *keys, F.expr(f"aggregate(slice(sequence(0, char_length(word)), 1, char_length(word) - 1), named_struct('m', shiftleft(1L, char_length(word) + 1) - 1L, 't', t), (s, k) -> {step}).m").alias("mask")
-        )
+        fold = f"aggregate(slice(sequence(0, char_length(word)), 1, char_length(word) - 1), named_struct('m', shiftleft(1L, char_length(word) + 1) - 1L, 't', t), (s, k) -> {step}).m"
+        return grouped.select(*keys, *carry, F.expr(fold).alias("mask"))
     # Viterbi: best[j] is (score, ids) of the best way to the end of character j
-    grouped = edges.groupBy(*keys).agg(F.collect_list(F.struct("s", "l", "id", "score")).alias("e"))
+    grouped = edges.groupBy(*keys).agg(F.collect_list(F.when(F.col("s") >= 0, F.struct("s", "l", "id", "score"))).alias("e"), *carried)
     worst = min(vocabulary.scores) - 10.0
     best = (
         "aggregate(sequence(1, char_length(word)), array(struct(0.0D AS score, cast(array() AS array<int>) AS ids)), (a, j) -> concat(a, array("
         "array_max(transform(filter(concat(e, array(struct(j - 1 AS s, 1 AS l, -j AS id, {worst}D AS score))), x -> x.s + x.l = j), x -> "
         "struct(get(a, x.s).score + x.score AS score, concat(get(a, x.s).ids, array(x.id)) AS ids))))))"
     ).replace("{worst}", repr(worst))
-    return grouped.select(*keys, F.expr(f"element_at({best}, -1).ids").alias("ids"))
+    return grouped.select(*keys, *carry, F.expr(f"element_at({best}, -1).ids").alias("ids"))
+
 
+class Batch:
+    """The texts of a batch, laid end to end as code points with a mark before each, and their parts.
 
-def _bucket(word: str, n: int) -> int:
-    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % n
+    ids, sizes: of each row (size 0: no text); codes: the characters; start, end: of
+    each part; part: the number of each part among the different parts, which are
+    in the order of their bucket and fingerprint; first: a place of each different
+    part; ptr: parts of text i are ptr[i] to ptr[i + 1].
+    """
 
+    def __init__(self, table: pa.Table, vocabulary: Vocabulary, n_buckets: int):
+        expand = zstandard.ZstdDecompressor()
+        self.ids = table.column("ids").combine_chunks().flatten()
+        self.sizes = table.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = [np.frombuffer(expand.decompress(b).decode("utf-8").encode("utf-32-le"), dtype=np.uint32) for b in table.column("packed").to_pylist()]
+        self.codes = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
+        at = np.append(0, np.cumsum(self.sizes))
+        self.marked = np.diff(np.searchsorted(np.flatnonzero(self.codes == ord(SPACE)), at)) > 0  # a mark of its own
+        self.codes[self.codes == ord(" ")] = ord(SPACE)
+        cut = np.ones(len(self.codes), dtype=bool)
+        kinds, joined = vocabulary.char_kinds, vocabulary.joined
+        flat, n_kinds = joined.ravel(), np.int32(len(joined))
+        for lo in range(1, len(cut), STEP):
+            kind = kinds[self.codes[lo - 1 : lo + STEP]].astype(np.int32)
+            cut[lo : lo + STEP] = ~flat[kind[:-1] * n_kinds + kind[1:]]
+        cut[at[:-1][self.sizes > 0]] = True
+        self.start = np.flatnonzero(cut)
+        self.end = np.append(self.start[1:], len(cut))[: len(self.start)]
+        self.ptr = np.searchsorted(self.start, at)
+        prints = run_prints(self.codes, self.start, self.end, STEP)
+        number, different = pd.factorize(prints.view(np.int64))
+        different = different.view(np.uint64)
+        self.bucket = (different % np.uint64(n_buckets)).astype(np.int32)
+        order = np.lexsort((different, self.bucket))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.bucket, self.part = self.bucket[order], rank[number]
+        self.first = np.empty(len(order), dtype=np.int64)
+        self.first[self.part[::-1]] = np.arange(len(number))[::-1]
+        self.length = self.end[self.first] - self.start[self.first]
+
+    def words(self) -> pa.StringArray:
+        """The different parts; those of over MAX_WORD characters are left empty."""
+        size = np.where(self.length <= MAX_WORD, self.length, 0)
+        chars = self.codes[_ranges(self.start[self.first], size)]
+        width = 1 + (chars > 0x7F).astype(np.int32) + (chars > 0x7FF) + (chars > 0xFFFF)
+        ends = np.append(0, np.cumsum(width))[np.append(0, np.cumsum(size))].astype(np.int32)
+        raw = chars.tobytes().decode("utf-32-le").encode("utf-8")
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(raw))
+
+    def long_words(self) -> Iterator[tuple[int, str]]:
+        """(number, part) of the different parts of over MAX_WORD characters."""
+        for k in np.flatnonzero(self.length > MAX_WORD).tolist():
+            yield k, self.codes[self.start[self.first[k]] : self.end[self.first[k]]].tobytes().decode("utf-32-le")
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ..., sizes[i] of them, for each i."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+_PACKED = "batch int, ids array<long>, sizes array<int>, packed binary"
+_ASKED = "bucket int, batch int, base int, words array<string>"
+_TOLD = "batch int, places binary, counts binary, flat binary, lost binary"
+_CODED = "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean"
+
+
+def _pack(n_batches: int):
+    """Deal rows into batches by id and text; the texts of an Arrow batch that go to one batch are compressed together."""
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, token_ids and round_trip (decoding gives the text again), one row for each row of docs."""
-    spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches, n_buckets = int(max(12, -(-size // BATCH_BYTES))), int(max(48, -(-size // BUCKET_BYTES)))
-    shared = spark.sparkContext.broadcast(vocabulary)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze, met = zstandard.ZstdCompressor(level=3), Counter()
+        for rows in batches:
+            ids = rows.column(0).to_pylist()
+            texts = [t.decode("utf-8", "replace") if t else "" for t in rows.column(1).cast(pa.binary()).to_pylist()]
+            held: dict[int, list[int]] = {}
+            for i, key in enumerate(rows.column(2).to_pylist()):
+                held.setdefault((key + met[key] // COPIES * 0x9E3779B97F4A7C15 >> 3) % n_batches, []).append(i)
+                met[key] += 1
+            out = []
+            for batch, mine in sorted(held.items()):
+                packed = "".join(" " + texts[i] for i in mine if texts[i]).encode("utf-8")
+                out.append((batch, [ids[i] for i in mine], [len(texts[i]) + 1 if texts[i] else 0 for i in mine], squeeze.compress(packed)))
+            if out:
+                kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "ids", "sizes", "packed"])
+
+    return run
+
+
+def _answer(shared, small: type):
+    """Tell the ids of each word to the places that asked for it, packed by batch."""
+
+    def told(ids: list[list[int]], lost: list[bool], asked: list[np.ndarray]) -> pa.RecordBatch:
+        count, n_asked = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(map(len, asked), np.int64, len(ids))
+        flat, begin = np.fromiter((i for x in ids for i in x), small, int(count.sum())), np.cumsum(count) - count
+        word, place = np.repeat(np.arange(len(ids)), n_asked), np.concatenate(asked)
+        order = np.argsort(place)
+        word, place = word[order], place[order]
+        batch, bad = place >> 32, np.array(lost)
+        at = np.append(np.flatnonzero(np.append(True, batch[1:] != batch[:-1])), len(batch))
+        out = []
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            w, p = word[lo:hi], (place[lo:hi] & 0xFFFFFFFF).astype(np.uint32)
+            out.append((int(batch[lo]), p.tobytes(), count[w].astype(np.uint16).tobytes(), flat[_ranges(begin[w], count[w])].tobytes(), p[bad[w]].tobytes()))
+        kinds = (pa.int32(), *[pa.binary()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "places", "counts", "flat", "lost"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared.value
+        ids, lost, asked, n = [], [], [], 0
         for rows in batches:
-            texts = [None if t is None else squeeze.compress(t) for t in rows.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), pa.array(texts, pa.binary())], names=["doc_id", "batch", "packed"])
+            for w, fold, places in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2), strict=True):
+                got = v.ids_of(w, fold)
+                ids.append(got)
+                lost.append(v.decode(got, first=False) != w.replace(SPACE, " "))
+                asked.append(places.values.to_numpy())
+                n += len(asked[-1])
+            if n >= STEP:
+                yield told(ids, lost, asked)
+                ids, lost, asked, n = [], [], [], 0
+        if ids:
+            yield told(ids, lost, asked)
 
-    batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")
-    texts = docs.select("doc_id", "text", batch).mapInArrow(pack, "doc_id long, batch int, packed binary").repartition("batch")
+    return run
 
-    def unpack(table: pa.Table) -> Iterator[str]:
-        expand = zstandard.ZstdDecompressor()
-        for t in table.column("packed").to_pylist():
-            yield "" if t is None else expand.decompress(t).decode("utf-8", "replace")
 
-    def words_of(parts: set[str]) -> list[list[str]]:
-        out: list[list[str]] = [[] for _ in range(n_buckets)]
-        for w in parts:
-            if len(w) <= MAX_WORD:
-                out[_bucket(w, n_buckets)].append(w)
-        return [sorted(w) for w in out]
+def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, token_ids and round_trip (decoding gives the text again), one row for each row of docs."""
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_batches, n_buckets = int(max(24, -(-size // BATCH_BYTES))), int(max(48, -(-size // BUCKET_BYTES)))
+    shared = spark.sparkContext.broadcast(vocabulary)
+    small = np.uint16 if len(vocabulary.pieces) <= 1 << 16 else np.uint32
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(_pack(n_batches), _PACKED).repartition("batch")
 
     def ask(key: tuple, table: pa.Table) -> pa.Table:
-        v = shared.value
-        words: set[str] = set()
-        for t in unpack(table):
-            words.update(v.words(t))
-        parts = {c for w in words for c in v.cuts(w)}
-        rows = [(b, key[0].as_py(), w) for b, w in enumerate(words_of(parts)) if w]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (pa.int32(), pa.int32(), pa.list_(pa.string())), strict=True)], names=["bucket", "batch", "words"])
-
-    asked = texts.groupBy("batch").applyInArrow(ask, "bucket int, batch int, words array<string>").repartition("bucket")
-    # asker is of no use but to read the same columns as below, so that one shuffle of the packs serves both
-    distinct = asked.select("bucket", "batch", F.explode("words").alias("word")).groupBy("bucket", "word").agg(F.min("batch").alias("asker"))
-    known = segment(distinct, vocabulary).withColumnsRenamed({"bucket": "of_bucket", "mask": "fold", "ids": "fold"})
-
-    def answer(key: tuple, packs: pa.Table, rows: pa.Table) -> pa.Table:
-        v = shared.value
-        fold = dict(zip(rows.column("word").to_pylist(), rows.column("fold").to_pylist(), strict=True))
-        out = []
-        for b, words in zip(packs.column("batch").to_pylist(), packs.column("words").to_pylist(), strict=True):
-            flat, counts = [], []
-            for w in words:
-                got = v.ids_of(w, fold.get(w))
-                flat += got
-                counts.append(len(got))
-            small = np.uint16 if len(v.pieces) <= 1 << 16 else np.uint32
-            out.append((b, key[0].as_py(), np.array(counts, dtype=np.uint16).tobytes(), np.array(flat, dtype=small).tobytes()))
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 4, (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "bucket", "counts", "flat"])
-
-    told = asked.groupBy("bucket").cogroup(known.groupBy("of_bucket")).applyInArrow(answer, "batch int, bucket int, counts binary, flat binary")
+        mine = Batch(table, shared.value, n_buckets)
+        begin = np.append(np.flatnonzero(np.append(True, mine.bucket[1:] != mine.bucket[:-1])) if len(mine.bucket) else [], len(mine.bucket)).astype(np.int32)
+        words = pa.ListArray.from_arrays(pa.array(begin), mine.words())
+        base = begin[:-1]
+        return pa.table([pa.array(mine.bucket[base]), pa.array(np.full(len(base), key[0].as_py(), dtype=np.int32)), pa.array(base), words], names=["bucket", "batch", "base", "words"])
+
+    asked = texts.groupBy("batch").applyInArrow(ask, _ASKED).repartition("bucket").select("bucket", "batch", "base", F.posexplode("words").alias("at", "word")).where("word <> ''")
+    place = F.shiftleft(F.col("batch").cast("long"), 32) + F.col("base") + F.col("at")
+    distinct = asked.groupBy("bucket", "word").agg(F.collect_list(place).alias("asked"))
+    known = segment(distinct, vocabulary, ("asked",))
+    told = known.select("word", "mask" if vocabulary.kind == "bpe" else "ids", "asked").mapInArrow(_answer(shared, small), _TOLD)
 
     def finish(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         v = shared.value
-        all_texts = list(unpack(table))
-        same: dict[str, str] = {}  # one string for all places of a word
-        split = [[same.setdefault(w, w) for w in v.words(t)] for t in all_texts]
-        cut = {w: v.cuts(w) for w in same}
-        by_bucket = words_of({c for parts in cut.values() for c in parts})
-        ids: dict[str, list[int]] = {}
-        for b, counts, flat in zip(*(told.column(c).to_pylist() for c in ("bucket", "counts", "flat")), strict=True):
-            got = np.frombuffer(flat, dtype=np.uint16 if len(v.pieces) <= 1 << 16 else np.uint32).tolist()
-            at = 0
-            for c, n in zip(by_bucket[b], np.frombuffer(counts, dtype=np.uint16).tolist(), strict=True):
-                ids[c] = got[at : at + n]
-                at += n
-        of_word = {w: [i for c in parts for i in (ids[c] if c in ids else v.encode_part(c))] for w, parts in cut.items()}
-        # a text is its words end to end, so it comes back if each of them does and it has no mark of its own
-        lost = {w for w, got in of_word.items() if v.decode(got, first=False) != w.replace(SPACE, " ")}
-        tokens, good = [], []
-        for t, words in zip(all_texts, split, strict=True):
-            tokens.append(np.array([i for w in words for i in of_word[w]], dtype=np.int32))
-            good.append(SPACE not in t and lost.isdisjoint(words))
-        ends = np.cumsum([0] + [len(t) for t in tokens])
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens) if tokens else [], pa.int32()))
-        return pa.table([table.column("doc_id").combine_chunks(), pa.array(np.diff(ends), pa.int64()), lists, pa.array(good, pa.bool_())], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
-
-    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, "doc_id long, n_tokens long, token_ids array<int>, round_trip boolean")
+        mine = Batch(table, v, n_buckets)
+        count, lost = np.zeros(len(mine.first), dtype=np.int64), np.zeros(len(mine.first), dtype=bool)
+        rows = [[np.frombuffer(b, dtype=t) for b, t in zip(r, (np.uint32, np.uint16, small, np.uint32), strict=True)] for r in zip(*(told.column(c).to_pylist() for c in ("places", "counts", "flat", "lost")), strict=True)]
+        for places, counts, _, bad in rows:
+            count[places], lost[bad] = counts, True
+        own = {k: v.encode_part(w) for k, w in mine.long_words()}
+        for k, w in mine.long_words():
+            count[k], lost[k] = len(own[k]), v.decode(own[k], first=False) != w.replace(SPACE, " ")
+        if not count.all():
+            raise RuntimeError("a part of a text was told no ids")
+        begin = np.cumsum(count) - count
+        flat = np.empty(int(count.sum()), dtype=np.int32)
+        for places, counts, got, _ in rows:
+            flat[_ranges(begin[places], counts.astype(np.int64))] = got
+        for k, got in own.items():
+            flat[begin[k] : begin[k] + len(got)] = got
+        total = np.append(0, np.cumsum(count[mine.part]))
+        tokens = np.empty(total[-1], dtype=np.int32)
+        for lo in range(0, len(mine.part), STEP):
+            p = mine.part[lo : lo + STEP]
+            tokens[total[lo] : total[lo + len(p)]] = flat[_ranges(begin[p], count[p])]
+        bad = np.append(0, np.cumsum(lost[mine.part]))[mine.ptr]
+        ends = total[mine.ptr].astype(np.int32)
+        good = (np.diff(bad) == 0) & ~mine.marked
+        return pa.table([mine.ids, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)), pa.array(good)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
+
+    return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, _CODED)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
