@@ -51,7 +51,7 @@ MAX_WORD = 48
 #: The piece table is broadcast; larger tables are refused.
 MAX_PIECES = 1 << 20
 #: Bytes of text to a batch, and to a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 16 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 14 << 20, 24 << 20
 #: Characters, or parts, that one numpy step handles at most.
 STEP = 1 << 20
 #: Of rows that agree in all, so many of a task share a batch.
@@ -114,10 +114,11 @@ class Vocabulary:
 
     @cached_property
     def char_kinds(self) -> np.ndarray:
-        """A small number for each code point: 0 if no piece holds it together with another."""
+        """A small number for each code point, a space being a mark: 0 if no piece holds it together with another."""
         out = np.zeros(0x110000, dtype=np.uint16)
         for k, c in enumerate(sorted({c for p in self.pairs for c in p}), 1):
             out[ord(c)] = k
+        out[ord(" ")] = out[ord(SPACE)]
         return out
 
     @cached_property
@@ -300,64 +301,76 @@ def segment(words: DataFrame, vocabulary: Vocabulary, carry: tuple[str, ...] = (
 
 
 class Batch:
-    """The texts of a batch, laid end to end as code points with a mark before each, and their parts.
+    """The texts of a batch, laid end to end as UTF-8 with a space before each, and their parts.
 
-    ids, sizes: of each row (size 0: no text); codes: the characters; start, end: of
-    each part; part: the number of each part among the different parts, which are
-    in the order of their bucket and fingerprint; first: a place of each different
-    part; ptr: parts of text i are ptr[i] to ptr[i + 1].
+    ids, sizes: of each row, in bytes (size 0: no text); marked: the text has a mark
+    of its own; raw: the bytes; start: of each part; part: the number of each part
+    among the different parts, which are in the order of their bucket and
+    fingerprint; first: a place of each different part; ptr: parts of text i are
+    ptr[i] to ptr[i + 1].
     """
 
     def __init__(self, table: pa.Table, vocabulary: Vocabulary, n_buckets: int):
         expand = zstandard.ZstdDecompressor()
         self.ids = table.column("ids").combine_chunks().flatten()
-        self.sizes = table.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-        codes = [np.frombuffer(expand.decompress(b).decode("utf-8").encode("utf-32-le"), dtype=np.uint32) for b in table.column("packed").to_pylist()]
-        self.codes = np.concatenate(codes) if codes else np.zeros(0, dtype=np.uint32)
+        sizes = table.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        self.marked, self.sizes = sizes < 0, np.abs(sizes)
+        self.raw = np.frombuffer(b"".join(expand.decompress(b) for b in table.column("packed").to_pylist()), dtype=np.uint8)
         at = np.append(0, np.cumsum(self.sizes))
-        self.marked = np.diff(np.searchsorted(np.flatnonzero(self.codes == ord(SPACE)), at)) > 0  # a mark of its own
-        self.codes[self.codes == ord(" ")] = ord(SPACE)
-        cut = np.ones(len(self.codes), dtype=bool)
+        cut = np.zeros(len(self.raw), dtype=bool)
         kinds, joined = vocabulary.char_kinds, vocabulary.joined
-        flat, n_kinds = joined.ravel(), np.int32(len(joined))
-        for lo in range(1, len(cut), STEP):
-            kind = kinds[self.codes[lo - 1 : lo + STEP]].astype(np.int32)
-            cut[lo : lo + STEP] = ~flat[kind[:-1] * n_kinds + kind[1:]]
+        flat, n_kinds, last = joined.ravel(), np.int32(len(joined)), np.zeros(1, dtype=np.int32)
+        lo = 0
+        while lo < len(cut):
+            hi = min(len(cut), lo + STEP)
+            while hi < len(cut) and self.raw[hi] & 0xC0 == 0x80:
+                hi += 1
+            here = self.raw[lo:hi]
+            kind = np.concatenate([last, kinds[np.frombuffer(here.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)].astype(np.int32)])
+            cut[lo:hi][(here & 0xC0) != 0x80] = ~flat[kind[:-1] * n_kinds + kind[1:]]
+            lo, last = hi, kind[-1:]
         cut[at[:-1][self.sizes > 0]] = True
-        self.start = np.flatnonzero(cut)
-        self.end = np.append(self.start[1:], len(cut))[: len(self.start)]
+        self.start = np.flatnonzero(cut).astype(np.int32 if len(cut) < 1 << 31 else np.int64)
+        del cut
         self.ptr = np.searchsorted(self.start, at)
-        prints = run_prints(self.codes, self.start, self.end, STEP)
-        number, different = pd.factorize(prints.view(np.int64))
+        number, different = pd.factorize(run_prints(self.raw, self.start, STEP).view(np.int64))
         different = different.view(np.uint64)
         self.bucket = (different % np.uint64(n_buckets)).astype(np.int32)
         order = np.lexsort((different, self.bucket))
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order))
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         self.bucket, self.part = self.bucket[order], rank[number]
         self.first = np.empty(len(order), dtype=np.int64)
-        self.first[self.part[::-1]] = np.arange(len(number))[::-1]
-        self.length = self.end[self.first] - self.start[self.first]
+        self.first[self.part[::-1]] = np.arange(len(number), dtype=np.int64)[::-1]
+
+    def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Begin, size in bytes and size in characters of each different part."""
+        begin = self.start[self.first].astype(np.int64)
+        after = self.first + 1
+        size = np.where(after < len(self.start), self.start[np.minimum(after, len(self.start) - 1)], len(self.raw)) - begin
+        heads = (self.raw[_ranges(begin, size)] & 0xC0) != 0x80
+        return begin, size, np.add.reduceat(heads, np.cumsum(size) - size, dtype=np.int64) if len(size) else size
 
     def words(self) -> pa.StringArray:
-        """The different parts; those of over MAX_WORD characters are left empty."""
-        size = np.where(self.length <= MAX_WORD, self.length, 0)
-        chars = self.codes[_ranges(self.start[self.first], size)]
-        width = 1 + (chars > 0x7F).astype(np.int32) + (chars > 0x7FF) + (chars > 0xFFFF)
-        ends = np.append(0, np.cumsum(width))[np.append(0, np.cumsum(size))].astype(np.int32)
-        raw = chars.tobytes().decode("utf-32-le").encode("utf-8")
-        return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(raw))
+        """The different parts, with spaces for marks; those of over MAX_WORD characters are left empty."""
+        begin, size, chars = self.spans()
+        size = np.where(chars <= MAX_WORD, size, 0)
+        ends = np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(size), pa.py_buffer(ends), pa.py_buffer(self.raw[_ranges(begin, size)]))
 
     def long_words(self) -> Iterator[tuple[int, str]]:
         """(number, part) of the different parts of over MAX_WORD characters."""
-        for k in np.flatnonzero(self.length > MAX_WORD).tolist():
-            yield k, self.codes[self.start[self.first[k]] : self.end[self.first[k]]].tobytes().decode("utf-32-le")
+        begin, size, chars = self.spans()
+        for k in np.flatnonzero(chars > MAX_WORD).tolist():
+            yield k, self.raw[begin[k] : begin[k] + size[k]].tobytes().decode("utf-8").replace(" ", SPACE)
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[i], starts[i] + 1, ..., sizes[i] of them, for each i."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - (ends - sizes), sizes)
+    return out
 
 
 _PACKED = "batch int, ids array<long>, sizes array<int>, packed binary"
@@ -380,8 +393,9 @@ def _pack(n_batches: int):
                 met[key] += 1
             out = []
             for batch, mine in sorted(held.items()):
-                packed = "".join(" " + texts[i] for i in mine if texts[i]).encode("utf-8")
-                out.append((batch, [ids[i] for i in mine], [len(texts[i]) + 1 if texts[i] else 0 for i in mine], squeeze.compress(packed)))
+                packed = [(" " + texts[i].replace(SPACE, " ")).encode("utf-8") if texts[i] else b"" for i in mine]
+                sizes = [-len(p) if SPACE in texts[i] else len(p) for i, p in zip(mine, packed, strict=True)]  # negative: with a mark of its own
+                out.append((batch, [ids[i] for i in mine], sizes, squeeze.compress(b"".join(packed))))
             if out:
                 kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "ids", "sizes", "packed"])
@@ -417,7 +431,7 @@ def _answer(shared, small: type):
                 lost.append(v.decode(got, first=False) != w.replace(SPACE, " "))
                 asked.append(places.values.to_numpy())
                 n += len(asked[-1])
-            if n >= STEP:
+            if n >= STEP // 2:
                 yield told(ids, lost, asked)
                 ids, lost, asked, n = [], [], [], 0
         if ids:
@@ -443,6 +457,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return pa.table([pa.array(mine.bucket[base]), pa.array(np.full(len(base), key[0].as_py(), dtype=np.int32)), pa.array(base), words], names=["bucket", "batch", "base", "words"])
 
     asked = texts.groupBy("batch").applyInArrow(ask, _ASKED).repartition("bucket").select("bucket", "batch", "base", F.posexplode("words").alias("at", "word")).where("word <> ''")
+    asked = asked.withColumn("word", F.translate("word", " ", SPACE))
     place = F.shiftleft(F.col("batch").cast("long"), 32) + F.col("base") + F.col("at")
     distinct = asked.groupBy("bucket", "word").agg(F.collect_list(place).alias("asked"))
     known = segment(distinct, vocabulary, ("asked",))
@@ -455,8 +470,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         rows = [[np.frombuffer(b, dtype=t) for b, t in zip(r, (np.uint32, np.uint16, small, np.uint32), strict=True)] for r in zip(*(told.column(c).to_pylist() for c in ("places", "counts", "flat", "lost")), strict=True)]
         for places, counts, _, bad in rows:
             count[places], lost[bad] = counts, True
-        own = {k: v.encode_part(w) for k, w in mine.long_words()}
+        own = {}
         for k, w in mine.long_words():
+            own[k] = v.encode_part(w)
             count[k], lost[k] = len(own[k]), v.decode(own[k], first=False) != w.replace(SPACE, " ")
         if not count.all():
             raise RuntimeError("a part of a text was told no ids")
@@ -468,11 +484,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             flat[begin[k] : begin[k] + len(got)] = got
         total = np.append(0, np.cumsum(count[mine.part]))
         tokens = np.empty(total[-1], dtype=np.int32)
-        for lo in range(0, len(mine.part), STEP):
-            p = mine.part[lo : lo + STEP]
+        for lo in range(0, len(mine.part), STEP // 4):
+            p = mine.part[lo : lo + STEP // 4]
             tokens[total[lo] : total[lo + len(p)]] = flat[_ranges(begin[p], count[p])]
         bad = np.append(0, np.cumsum(lost[mine.part]))[mine.ptr]
         ends = total[mine.ptr].astype(np.int32)
+        del total
         good = (np.diff(bad) == 0) & ~mine.marked
         return pa.table([mine.ids, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)), pa.array(good)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
 

@@ -10,7 +10,6 @@ words.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 
@@ -41,11 +40,6 @@ def _power_table(base: int, n: int) -> np.ndarray:
 _INVERSE = {_BASE: pow(_BASE, -1, 1 << 64)}
 
 
-@cache
-def _code_values() -> np.ndarray:
-    return np.random.default_rng(3).integers(1, 1 << 64, 0x110000, dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values (the finaliser of splitmix64)."""
     x = x ^ (x >> np.uint64(30))
@@ -55,18 +49,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def run_prints(codes: np.ndarray, start: np.ndarray, end: np.ndarray, step: int = BLOCK_BYTES) -> np.ndarray:
-    """A 64-bit fingerprint of each run codes[start[i]:end[i]] of code points; the runs are in order and do not overlap."""
-    values = _code_values()
+def run_prints(raw: np.ndarray, start: np.ndarray, step: int = BLOCK_BYTES) -> np.ndarray:
+    """A 64-bit fingerprint of each run of bytes from one start to the next, the last one to the end; about `step` bytes are at work at once."""
+    values = np.random.default_rng(3).integers(1, 1 << 64, 256, dtype=np.uint64)
     out = np.empty(len(start), dtype=np.uint64)
     at = 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(end, start[at] + step, side="right")))
-        lo, hi = int(start[at]), int(end[to - 1])
-        a, b = start[at:to] - lo, end[at:to] - lo
+        lo = int(start[at])
+        to = max(at + 1, int(np.searchsorted(start, lo + step)))
+        hi = int(start[to]) if to < len(start) else len(raw)
+        edge = np.append(start[at:to], hi).astype(np.int64) - lo
         sums = np.zeros(hi - lo + 1, dtype=np.uint64)
-        np.cumsum(values[codes[lo:hi]] * _power_table(_BASE, hi - lo), out=sums[1:])
-        out[at:to] = mix((sums[b] - sums[a]) * _power_table(_INVERSE[_BASE], hi - lo)[a] + (b - a).astype(np.uint64))
+        np.cumsum(values[raw[lo:hi]] * _power_table(_BASE, hi - lo), out=sums[1:])
+        out[at:to] = mix(np.diff(sums[edge]) * _power_table(_INVERSE[_BASE], hi - lo)[edge[:-1]] + np.diff(edge).astype(np.uint64))
         at = to
     return out
 
