@@ -51,9 +51,11 @@ MAX_WORD = 48
 #: The piece table is broadcast; larger tables are refused.
 MAX_PIECES = 1 << 20
 #: Bytes of text to a batch, and to a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 14 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 11 << 20, 24 << 20
 #: Characters, or parts, that one numpy step handles at most.
 STEP = 1 << 20
+#: Rows that go back from a task at once.
+ROWS = 500
 #: Of rows that agree in all, so many of a task share a batch.
 COPIES = 4
 
@@ -482,7 +484,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             flat[_ranges(begin[places], counts.astype(np.int64))] = got
         for k, got in own.items():
             flat[begin[k] : begin[k] + len(got)] = got
-        total = np.append(0, np.cumsum(count[mine.part]))
+        del rows
+        total = np.zeros(len(mine.part) + 1, dtype=np.int64)
+        np.cumsum(count.astype(np.int32)[mine.part], out=total[1:])
         tokens = np.empty(total[-1], dtype=np.int32)
         for lo in range(0, len(mine.part), STEP // 4):
             p = mine.part[lo : lo + STEP // 4]
@@ -491,7 +495,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         ends = total[mine.ptr].astype(np.int32)
         del total
         good = (np.diff(bad) == 0) & ~mine.marked
-        return pa.table([mine.ids, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)), pa.array(good)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
+        out = pa.table([mine.ids, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)), pa.array(good)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
+        return pa.Table.from_batches(out.to_batches(max_chunksize=ROWS), out.schema)  # the JVM holds so many rows of the reply at once
 
     return texts.groupBy("batch").cogroup(told.groupBy("batch")).applyInArrow(finish, _CODED)
 
