@@ -6,9 +6,10 @@ shuffled; documents of a bucket are tied to its least member only, so a bucket
 of any size gives as many rows as it has members.  The components of these ties
 say which documents can be linked at all.  Inside a component documents are cut
 by set size (sets of very different size cannot be similar) and then by a hash
-into blocks of bounded size; each pair of blocks is one task, where pairs that
-share a band are verified on their full sets.  A task returns, per document, how
-many links it found and the least document it is tied to, never the pairs.
+into blocks of bounded size; each pair of blocks is one group, whose texts are
+shuffled to it; there pairs that share a band are verified on their full sets.  A
+group returns, per document, how many links it found and the least document it is
+tied to, never the pairs.
 
 Copies of a text are one node, so a third of all rows may be one text.  A node is
 a text fingerprint; its number is the least id of the text's rows, or, where that
@@ -37,8 +38,8 @@ from driftledger.llm.common import use_checkpoints
 from driftledger.llm.components import connected
 from driftledger.llm.wordhash import Words, blocks, mix
 
-#: Documents in a block at most, on average; a task holds two blocks.
-BLOCK_DOCS = 256
+#: Documents, and n-grams, in a block at most, on average; a task holds two blocks.
+BLOCK_DOCS, BLOCK_GRAMS = 1024, 1 << 20
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -107,8 +108,8 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def _count_links(ids: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float, across: bool) -> Iterator[tuple[int, int, int]]:
     """(id, links, least id tied to) among the documents of one task."""
     share = np.zeros((len(ids), len(ids)), dtype=bool)
-    for k in range(0, bands.shape[1], 8):
-        share |= (bands[:, None, k : k + 8] == bands[None, :, k : k + 8]).any(axis=2)
+    for k in range(bands.shape[1]):
+        share |= bands[:, None, k] == bands[None, :, k]
     i, j = np.nonzero(np.triu(share, 1))
     if across:
         i, j = i[side[i] != side[j]], j[side[i] != side[j]]
@@ -121,9 +122,9 @@ def _count_links(ids: np.ndarray, side: np.ndarray, bands: np.ndarray, sets: lis
         common = np.zeros((len(ids), len(ids)), dtype=np.float32)
         order = np.argsort(place, kind="stable")
         owner, place = owner[order], place[order]
-        for lo in range(0, int((count > 1).sum()), 8192):
-            a, b = np.searchsorted(place, (lo, lo + 8192))
-            m = np.zeros((len(ids), 8192), dtype=np.float32)
+        for lo in range(0, int((count > 1).sum()), 4096):
+            a, b = np.searchsorted(place, (lo, lo + 4096))
+            m = np.zeros((len(ids), 4096), dtype=np.float32)
             m[owner[a:b], place[a:b] - lo] = 1
             common += m @ m.T
         both = common[i, j].astype(np.int64)
@@ -187,19 +188,21 @@ def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float
     """(key, rep, class_id, kept, n_links, n_grams) of every text; kept: it has the least id (then fingerprint) of its class; null ids come last."""
     spark = docs.sparkSession
     use_checkpoints(spark)
-    bands = bands_for(threshold, rows, recall)
+    bands, rows_of_band = bands_for(threshold, rows, recall), rows
     every = _numbered(signatures(docs, n, bands, rows).groupBy("key").agg(F.min("doc_id").alias("rep"), F.min(F.struct("n_grams", "bands")).alias("s")).select("key", "rep", "s.*").checkpoint())
     node = every.where("n_grams > 0")
 
     spread = node.select("doc_id", F.explode("bands").alias("h"))
-    first = spread.groupBy("h").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    # written, so that both sides of the join are plain shuffles, of which adaptive execution splits a hot bucket
+    first = spread.groupBy("h").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c").checkpoint()
     ties = spread.join(first, "h").select(F.col("doc_id").alias("a"), "b").where("a <> b")
     part = connected(ties).checkpoint()
 
     # sets of classes further apart than one cannot reach the threshold (a margin keeps rounding harmless)
     width = -math.log(threshold * 0.98)
-    sized = part.join(node, part.node == node.doc_id).select("doc_id", "root", "bands", "key", "rep", F.floor(F.log("n_grams") / width).cast("int").alias("s"))
-    counts = sized.groupBy("root", "s").agg(F.count(F.lit(1)).alias("n")).select("root", "s", "n", F.ceil(F.col("n") / BLOCK_DOCS).cast("int").alias("blocks"))
+    sized = part.join(node, part.node == node.doc_id).select("doc_id", "root", "key", "rep", "n_grams", F.floor(F.log("n_grams") / width).cast("int").alias("s")).checkpoint()
+    counts = sized.groupBy("root", "s").agg(F.count(F.lit(1)).alias("n"), F.sum("n_grams").alias("grams"))
+    counts = counts.select("root", "s", "n", F.ceil(F.greatest(F.col("n") / BLOCK_DOCS, F.col("grams") / BLOCK_GRAMS)).cast("int").alias("blocks")).checkpoint()
     around = (
         sized.join(counts, ["root", "s"])
         .join(counts.select("root", (F.col("s") - 1).alias("s"), F.col("blocks").alias("up")), ["root", "s"], "left")
@@ -217,49 +220,38 @@ def _classes(docs: DataFrame, n: int, threshold: float, rows: int, recall: float
     own = to("blocks", lambda o: task(s, s, F.least(b, o), F.greatest(b, o), (b > o).cast("int")))
     own = F.when(F.col("n") > 1, own).otherwise(F.array().cast("array<struct<s0:int,s1:int,b0:int,b1:int,side:int>>"))
     tasks = F.concat(own, to("up", lambda o: task(s, s + 1, b, o, 0)), to("down", lambda o: task(s - 1, s, o, b, 1)))
-    wanted = around.select("doc_id", "root", "bands", "key", "rep", tasks.alias("tasks")).where(F.size("tasks") > 0)
+    wanted = around.select("doc_id", "root", "key", "rep", tasks.alias("tasks")).where(F.size("tasks") > 0)
 
     keyed = docs.select(F.col("doc_id").alias("of"), "text", _key().alias("of_key"))
     # rows with a null id have nothing but the text to deal them by, so copies go before the shuffle
     one = keyed.where("of is not null").unionByName(keyed.where("of is null").dropDuplicates(["of_key"]))
     texts = one.join(wanted, F.col("of").eqNullSafe(F.col("rep")) & (F.col("of_key") == F.col("key")))
 
-    def with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(1).cast(pa.binary()).to_pylist()
-            at = 0
-            for _, part_texts in blocks(list(range(len(found))), found):
-                sets = gram_sets(part_texts, n)
-                here = batch.slice(at, len(sets))
-                at += len(sets)
-                yield pa.RecordBatch.from_arrays([here.column(0), here.column(2), here.column(3), here.column(4), pa.array([g.tobytes() for g in sets], pa.binary())], names=["doc_id", "root", "bands", "tasks", "grams"])
-
-    kinds = "doc_id long, root long, bands array<long>, tasks array<struct<s0:int,s1:int,b0:int,b1:int,side:int>>, grams binary"
-    sets = texts.select("doc_id", "text", "root", "bands", "tasks").mapInArrow(with_sets, kinds)
     key = ["root", "s0", "s1", "b0", "b1"]
-    dealt = sets.select("doc_id", "root", "bands", "grams", F.explode("tasks").alias("t")).select("root", "t.s0", "t.s1", "t.b0", "t.b1", "t.side", "doc_id", "bands", "grams")
+    dealt = texts.select("doc_id", "root", "text", F.explode("tasks").alias("t")).select("root", "t.s0", "t.s1", "t.b0", "t.b1", "t.side", "doc_id", "text")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(rows: dict[int, tuple], across: bool) -> Iterator[tuple[int, int, int]]:
+        def done(head: tuple, rows: dict[int, tuple[int, bytes]]) -> Iterator[tuple[int, int, int]]:
             if len(rows) > 1:
                 ids = np.array(list(rows), dtype=np.int64)
-                side, band, grams = zip(*rows.values(), strict=True)
-                yield from _count_links(ids, np.array(side), np.array(band, dtype=np.int64), [np.frombuffer(g, dtype=np.uint64) for g in grams], threshold, across)
+                side, texts = zip(*rows.values(), strict=True)
+                sets = [g for _, part in blocks(list(ids), list(texts)) for g in gram_sets(part, n)]
+                yield from _count_links(ids, np.array(side), band_hashes(sets, bands, rows_of_band), sets, threshold, head[1::2] != head[2::2])
 
         now, rows = None, {}
         for batch in batches:
             heads = list(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True))
             out = []
-            for r, (head, side, doc, band, grams) in enumerate(zip(heads, *(batch.column(c).to_pylist() for c in range(5, 9)), strict=True)):
+            for head, side, doc, text in zip(heads, batch.column(5).to_pylist(), batch.column(6).to_pylist(), batch.column(7).cast(pa.binary()).to_pylist(), strict=True):
                 if head != now:
                     if now:
-                        out += done(rows, now[1:2] + now[3:4] != now[2:3] + now[4:5])
+                        out += done(now, rows)
                     now, rows = head, {}
-                rows[doc] = (side, band, grams)
+                rows[doc] = (side, text)
             yield from _links(out)
         if now:
-            yield from _links(list(done(rows, now[1:2] + now[3:4] != now[2:3] + now[4:5])))
+            yield from _links(list(done(now, rows)))
 
     def _links(out: list) -> Iterator[pa.RecordBatch]:
         if out:

@@ -65,6 +65,24 @@ def test_components(spark):
     assert got == {v: r for v, r in root.items() if any(a != b and v in (a, b) for a, b in pairs)}
 
 
+def test_components_with_hubs_in_many_tasks(spark):
+    rng = random.Random(3)
+    pairs = [(5, v) for v in range(6, 3000)] + [(v, v + 1) for v in range(4000, 4200)] + [(rng.randrange(5000, 9000), rng.randrange(5000, 9000)) for _ in range(2500)]
+    root = {v: v for p in pairs for v in p}
+
+    def find(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r.node: r.root for r in connected(spark.createDataFrame(pairs, "a long, b long"), task_edges=500, hub_edges=100).collect()}
+    assert got == {v: find(v) for v in root if any(a != b and v in (a, b) for a, b in pairs)}
+
+
 def test_ngram_join_equals_brute_force(corpus):
     rows = {i: t for i, t in corpus[0] if i is not None}
     got = {r.doc_id: r for r in ngram_join.join(corpus[1]).collect()}
@@ -82,7 +100,9 @@ def test_ngram_join_equals_brute_force(corpus):
         assert (got[i].copy_of, got[i].n_links, got[i].class_id, got[i].n_grams) == (rep[i], len(links[rep[i]]), root[rep[i]], len(sets[rep[i]]))
 
 
-def test_ngram_join_large_group_in_blocks(spark):
+@pytest.mark.parametrize("block_docs", [100, 1024])
+def test_ngram_join_large_group_in_blocks(spark, monkeypatch, block_docs):
+    monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block_docs)
     words = _text(60).split()
     rows = []
     for i in range(600):
