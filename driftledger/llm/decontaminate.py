@@ -5,14 +5,19 @@ characters than letters and digits as one space).  An item of L characters may
 differ from a passage in e = L * error_rate edits.  It is cut into e + 1 pieces:
 a passage within e edits must hold one of them unchanged.  An automaton finds all
 pieces in one walk over each whole text; each hit names the diagonal where the
-item would stand, and Myers' bit-parallel distance decides.
+item would stand.  There the pigeonhole is asked again with twice as many pieces,
+of which at most e may be missing; so items that share an opening are told apart
+without a distance.  Myers' bit-parallel distance decides about the rest.
 
 Items are taken in blocks of at most BLOCK_CHARS characters, each a broadcast of
 that bound; every block meets all rows.  The benchmark may so grow without limit.
 
-Defined results: null and empty texts match nothing; items with fewer than
-MIN_CHARS characters in the normal form are left out (they would match by
-chance); repeated rows give one row each; rows with a null id keep it.
+Defined results: null and empty texts match nothing; items of fewer than MIN_CHARS
+characters in the normal form are found word for word only, with an error budget
+of 0 and word borders at both ends; items without letters and digits match
+nothing; texts of any length are searched whole; repeated rows give one row each;
+rows with a null id keep it; `clean` judges each row by its own text, whatever
+its id, and keeps columns of any name.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 #: Characters of items that one broadcast holds at most.
 BLOCK_CHARS = 4_000_000
+#: Items of fewer characters have no error budget and must stand between word borders.
 MIN_CHARS = 24
 #: Edits allowed per character of an item.
 ERROR_RATE = 0.06
@@ -45,12 +51,11 @@ def normal(text: str | None) -> str:
 
 
 def budget(length: int, error_rate: float) -> int:
-    return int(length * error_rate)
+    return int(length * error_rate) if length >= MIN_CHARS else 0
 
 
-def pieces(item: str, error_rate: float) -> list[tuple[int, str]]:
-    """(offset, piece): error budget plus one parts of nearly equal length that make up the item."""
-    n = budget(len(item), error_rate) + 1
+def pieces(item: str, n: int) -> list[tuple[int, str]]:
+    """(offset, piece): n parts of nearly equal length that make up the item."""
     cuts = [len(item) * k // n for k in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
@@ -88,11 +93,12 @@ class Matcher:
     def __init__(self, items: list[tuple[int | None, str]], error_rate: float = ERROR_RATE):
         import ahocorasick
 
-        self.items, self.rate = items, error_rate
+        self.items, self.budget = items, [budget(len(t), error_rate) for _, t in items]
+        self.fine: dict[int, list[tuple[int, str]]] = {}
         self.find = ahocorasick.Automaton()
         at: dict[str, list[tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
-            for offset, piece in pieces(text, error_rate):
+            for offset, piece in pieces(text, self.budget[k] + 1):
                 at.setdefault(piece, []).append((k, offset))
         for piece, uses in at.items():
             self.find.add_word(piece, (len(piece), uses))
@@ -100,6 +106,20 @@ class Matcher:
         if self.any:
             self.find.make_automaton()
 
+    def _may_stand(self, k: int, text: str, begin: int) -> bool:
+        """Whether at most e of 2e + 2 pieces of item k are missing around their places on this diagonal."""
+        most = self.budget[k]
+        fine = self.fine.get(k)
+        if fine is None:
+            fine = self.fine[k] = pieces(self.items[k][1], min(2 * most + 2, len(self.items[k][1])))
+        missing = 0
+        for offset, piece in fine:
+            if text.find(piece, max(0, begin + offset - most), max(0, begin + offset + len(piece) + most)) < 0:
+                missing += 1
+                if missing > most:
+                    return False
+        return True
+
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(item's place, distance, end in the text) for each item found, its nearest passage."""
         found: dict[int, tuple[int, int]] = {}
@@ -110,40 +130,51 @@ class Matcher:
             for k, offset in uses:
                 if k in found and not found[k][0]:
                     continue
-                item = self.items[k][1]
-                most = budget(len(item), self.rate)
-                begin = last - size + 1 - offset
+                item, most, begin = self.items[k][1], self.budget[k], last - size + 1 - offset
+                if len(item) < MIN_CHARS:
+                    if (begin == 0 or text[begin - 1] == " ") and text[last + 1 : last + 2] in ("", " "):
+                        found[k] = (0, last + 1)
+                    continue
                 lo, hi = max(0, begin - most), min(len(text), begin + len(item) + most)
                 spans = checked.setdefault(k, [])
                 if any(a <= lo and hi <= b for a, b in spans[-4:]):
                     continue
-                hi = min(len(text), hi + most)
-                lo = max(0, lo - most)
-                spans.append((lo, hi))
-                if text.startswith(item, max(begin, 0)) and begin >= 0:
+                if begin >= 0 and text.startswith(item, begin):
                     found[k] = (0, begin + len(item))
                     continue
+                if not self._may_stand(k, text, begin):
+                    spans.append((lo, hi))
+                    continue
+                lo, hi = max(0, lo - most), min(len(text), hi + most)
+                spans.append((lo, hi))
                 got = best_match(item, text[lo:hi], most)
                 if got and (k not in found or got[0] < found[k][0]):
                     found[k] = (got[0], lo + got[1])
         return [(k, d, e) for k, (d, e) in sorted(found.items())]
 
+    def any_in(self, text: str) -> bool:
+        return bool(self.matches(text))
 
-def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance, begin, end): for each row and each item found in it, the nearest passage.
 
-    Places count characters of the normal form; begin is end less the item's length.
-    """
-    spark = docs.sparkSession
+def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:
+    """The items in normal form, block by block; a block is what the driver holds at once."""
     total = benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
     n_blocks = max(1, -(-total * 2 // block_chars))
-    out = None
     for block in range(n_blocks):
         mine = benchmark.select("item_id", "text").where("text is not null")
         if n_blocks > 1:
             mine = mine.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n_blocks)) == block)
-        items = sorted({(r.item_id, t) for r in mine.collect() if len(t := normal(r.text)) >= MIN_CHARS}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
-        shared = spark.sparkContext.broadcast(items)
+        yield sorted({(r.item_id, t) for r in mine.toLocalIterator() if (t := normal(r.text))}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, item_id, distance, begin, end): for each row and each item found in it, the nearest passage.
+
+    Places count characters of the normal form; begin is end less the item's length.
+    """
+    out = None
+    for items in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
@@ -162,7 +193,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no item; all columns stay.  Rows with a null id stay, as no match names them."""
-    hit = matches(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(docs.columns)
+def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs whose text holds no item; all columns stay, and nothing is shuffled."""
+    for items in _blocks(benchmark, block_chars):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        text = docs.columns.index("text")
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, text: int = text) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(shared.value, error_rate)
+            for rows in batches:
+                yield rows.filter(pa.array([not matcher.any_in(normal(t)) for t in rows.column(text).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

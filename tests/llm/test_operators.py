@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 
 import pytest
 import sentencepiece
@@ -204,14 +205,71 @@ def test_decontamination(spark, empty):
     near = item.replace("brown", "brwn").replace("lazy", "lazzy")
     rows = [(1, f"intro words {item.upper()}! and more"), (2, f"some text {near} tail"), (3, "the quick brown fox went home and nothing else happened to anybody there"), (4, None), (5, ""), (1, f"x {item}")]
     bench = spark.createDataFrame([(7, item), (8, "short"), (9, None)], "item_id long, text string")
-    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect())
     assert got == [(1, 7, 0), (1, 7, 0), (2, 7, 2)]
-    assert sorted(r.doc_id for r in decontaminate.clean(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()) == [3, 4, 5]
-    assert decontaminate.matches(empty, bench).count() == 0
-    blocks = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_chars=60)
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5]
+    assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.clean(empty, bench).count() == 0
+    assert decontaminate.matches(docs, bench.where("false")).count() == 0 and decontaminate.clean(docs, bench.where("false")).count() == len(rows)
+    blocks = decontaminate.matches(docs, bench, block_chars=60)
     assert sorted((r.doc_id, r.distance) for r in blocks.collect()) == [(1, 0), (1, 0), (2, 2)]
 
 
+def test_decontamination_judges_each_row_by_its_text(spark):
+    item = "a benchmark question that is long enough to have an error budget of some edits"
+    rows = [(None, f"x {item} y", 1), (None, "clean", 2), (7, item, 3), (7, "clean too", 4), (8, "It was SHORT!", 5), (9, "shortly", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, distance int").withColumn("item_id", F.lit("x"))
+    bench = spark.createDataFrame([(1, item), (2, "short"), (3, "?!"), (None, item)], "item_id long, text string")
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.distance for r in kept.collect()) == [2, 4, 6]
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs.where("distance > 4"), bench).collect()) == [(8, 2, 0)]
+
+
+def test_decontamination_equals_the_full_matrix(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    opening = " ".join(rng.choice(words) for _ in range(12))
+    items = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 40))) for _ in range(25)] + [f"{opening} {' '.join(rng.choice(words) for _ in range(15))}" for _ in range(15)]
+    texts = []
+    for _ in range(60):
+        t = list(rng.choice(items))
+        for _ in range(rng.randint(0, int(len(t) * 0.09))):
+            i = rng.randrange(len(t))
+            t[i : i + rng.randint(0, 1)] = rng.choice("abcde ") * rng.randint(0, 1)
+        texts.append(" ".join(rng.choice(words) for _ in range(8)) + " " + "".join(t) + " " + " ".join(rng.choice(words) for _ in range(8)))
+
+    def nearest(item, text):
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(item, 1):
+            new = [i]
+            for j, b in enumerate(text, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (a != b)))
+            row = new
+        return min(row)
+
+    want = []
+    for d, t in enumerate(map(decontaminate.normal, texts)):
+        for k, i in enumerate(map(decontaminate.normal, items)):
+            if len(i) < 24:
+                if f" {i} " in f" {t} ":
+                    want.append((d, k, 0))
+            elif (x := nearest(i, t)) <= int(len(i) * 0.06):
+                want.append((d, k, x))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(docs, bench).collect()) == sorted(want) and len(want) > 40
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == sorted(set(range(len(texts))) - {d for d, _, _ in want})
+
+
+def test_decontamination_of_items_with_one_opening():
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    opening = " ".join(word() for _ in range(40))
+    matcher = decontaminate.Matcher([(k, f"{opening} {' '.join(word() for _ in range(60))}") for k in range(2000)])
+    began = time.perf_counter()
+    assert matcher.matches(f"{opening} {' '.join(word() for _ in range(200))}") == []
+    assert time.perf_counter() - began < 1
+
+
 def test_myers_distance_equals_the_matrix():
     rng = random.Random(1)
     for _ in range(400):
