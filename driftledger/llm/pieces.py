@@ -37,7 +37,6 @@ from dataclasses import dataclass, field
 from functools import cached_property
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -51,9 +50,9 @@ MAX_WORD = 48
 #: The piece table is broadcast; larger tables are refused.
 MAX_PIECES = 1 << 20
 #: Bytes of text to a batch, and to a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 11 << 20, 24 << 20
+BATCH_BYTES, BUCKET_BYTES = 10 << 20, 24 << 20
 #: Characters, or parts, that one numpy step handles at most.
-STEP = 1 << 20
+STEP = 1 << 18
 #: Rows that go back from a task at once.
 ROWS = 500
 #: Of rows that agree in all, so many of a task share a batch.
@@ -317,8 +316,13 @@ class Batch:
         self.ids = table.column("ids").combine_chunks().flatten()
         sizes = table.column("sizes").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         self.marked, self.sizes = sizes < 0, np.abs(sizes)
-        self.raw = np.frombuffer(b"".join(expand.decompress(b) for b in table.column("packed").to_pylist()), dtype=np.uint8)
         at = np.append(0, np.cumsum(self.sizes))
+        self.raw = np.empty(at[-1], dtype=np.uint8)
+        lo = 0
+        for packed in table.column("packed"):
+            part = np.frombuffer(expand.decompress(packed.as_py()), dtype=np.uint8)
+            self.raw[lo : lo + len(part)] = part
+            lo += len(part)
         cut = np.zeros(len(self.raw), dtype=bool)
         kinds, joined = vocabulary.char_kinds, vocabulary.joined
         flat, n_kinds, last = joined.ravel(), np.int32(len(joined)), np.zeros(1, dtype=np.int32)
@@ -335,8 +339,8 @@ class Batch:
         self.start = np.flatnonzero(cut).astype(np.int32 if len(cut) < 1 << 31 else np.int64)
         del cut
         self.ptr = np.searchsorted(self.start, at)
-        number, different = pd.factorize(run_prints(self.raw, self.start, STEP).view(np.int64))
-        different = different.view(np.uint64)
+        coded = pa.array(run_prints(self.raw, self.start, STEP)).dictionary_encode()
+        number, different = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         self.bucket = (different % np.uint64(n_buckets)).astype(np.int32)
         order = np.lexsort((different, self.bucket))
         rank = np.empty(len(order), dtype=np.int32)
@@ -387,17 +391,19 @@ def _pack(n_batches: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, met = zstandard.ZstdCompressor(level=3), Counter()
         for rows in batches:
-            ids = rows.column(0).to_pylist()
-            texts = [t.decode("utf-8", "replace") if t else "" for t in rows.column(1).cast(pa.binary()).to_pylist()]
+            ids, texts, marked = rows.column(0).to_pylist(), [], []
+            for t in rows.column(1).cast(pa.binary()):
+                text = t.as_py().decode("utf-8", "replace") if t.is_valid else ""
+                marked.append(SPACE in text)
+                texts.append((" " + text.replace(SPACE, " ")).encode("utf-8") if text else b"")
             held: dict[int, list[int]] = {}
             for i, key in enumerate(rows.column(2).to_pylist()):
                 held.setdefault((key + met[key] // COPIES * 0x9E3779B97F4A7C15 >> 3) % n_batches, []).append(i)
                 met[key] += 1
             out = []
             for batch, mine in sorted(held.items()):
-                packed = [(" " + texts[i].replace(SPACE, " ")).encode("utf-8") if texts[i] else b"" for i in mine]
-                sizes = [-len(p) if SPACE in texts[i] else len(p) for i, p in zip(mine, packed, strict=True)]  # negative: with a mark of its own
-                out.append((batch, [ids[i] for i in mine], sizes, squeeze.compress(b"".join(packed))))
+                sizes = [-len(texts[i]) if marked[i] else len(texts[i]) for i in mine]  # negative: with a mark of its own
+                out.append((batch, [ids[i] for i in mine], sizes, squeeze.compress(b"".join(texts[i] for i in mine))))
             if out:
                 kinds = (pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "ids", "sizes", "packed"])
@@ -433,7 +439,7 @@ def _answer(shared, small: type):
                 lost.append(v.decode(got, first=False) != w.replace(SPACE, " "))
                 asked.append(places.values.to_numpy())
                 n += len(asked[-1])
-            if n >= STEP // 2:
+            if n >= STEP:
                 yield told(ids, lost, asked)
                 ids, lost, asked, n = [], [], [], 0
         if ids:
@@ -456,6 +462,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         begin = np.append(np.flatnonzero(np.append(True, mine.bucket[1:] != mine.bucket[:-1])) if len(mine.bucket) else [], len(mine.bucket)).astype(np.int32)
         words = pa.ListArray.from_arrays(pa.array(begin), mine.words())
         base = begin[:-1]
+        pa.default_memory_pool().release_unused()
         return pa.table([pa.array(mine.bucket[base]), pa.array(np.full(len(base), key[0].as_py(), dtype=np.int32)), pa.array(base), words], names=["bucket", "batch", "base", "words"])
 
     asked = texts.groupBy("batch").applyInArrow(ask, _ASKED).repartition("bucket").select("bucket", "batch", "base", F.posexplode("words").alias("at", "word")).where("word <> ''")
@@ -488,13 +495,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         total = np.zeros(len(mine.part) + 1, dtype=np.int64)
         np.cumsum(count.astype(np.int32)[mine.part], out=total[1:])
         tokens = np.empty(total[-1], dtype=np.int32)
-        for lo in range(0, len(mine.part), STEP // 4):
-            p = mine.part[lo : lo + STEP // 4]
+        for lo in range(0, len(mine.part), STEP):
+            p = mine.part[lo : lo + STEP]
             tokens[total[lo] : total[lo + len(p)]] = flat[_ranges(begin[p], count[p])]
         bad = np.append(0, np.cumsum(lost[mine.part]))[mine.ptr]
         ends = total[mine.ptr].astype(np.int32)
         del total
         good = (np.diff(bad) == 0) & ~mine.marked
+        pa.default_memory_pool().release_unused()
         out = pa.table([mine.ids, pa.array(np.diff(ends).astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(tokens)), pa.array(good)], names=["doc_id", "n_tokens", "token_ids", "round_trip"])
         return pa.Table.from_batches(out.to_batches(max_chunksize=ROWS), out.schema)  # the JVM holds so many rows of the reply at once
 
