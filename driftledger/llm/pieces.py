@@ -49,8 +49,10 @@ SPACE = "▁"
 MAX_WORD = 48
 #: The piece table is broadcast; larger tables are refused.
 MAX_PIECES = 1 << 20
-#: Bytes of text to a batch, and to a bucket, about.
-BATCH_BYTES, BUCKET_BYTES = 10 << 20, 24 << 20
+#: Bytes of text to a batch, about.
+BATCH_BYTES = 8 << 20
+#: Buckets grow with this power of the megabytes of text, as different parts grow slower than the text; a bucket's lattice fits in memory.
+BUCKET_GROWTH = 0.75
 #: Characters, or parts, that one numpy step handles at most.
 STEP = 1 << 18
 #: Rows that go back from a task at once.
@@ -340,14 +342,16 @@ class Batch:
         del cut
         self.ptr = np.searchsorted(self.start, at)
         coded = pa.array(run_prints(self.raw, self.start, STEP)).dictionary_encode()
-        number, different = coded.indices.to_numpy(), coded.dictionary.to_numpy()
+        self.part, different = coded.indices.to_numpy().copy(), coded.dictionary.to_numpy().copy()
+        del coded
         self.bucket = (different % np.uint64(n_buckets)).astype(np.int32)
         order = np.lexsort((different, self.bucket))
         rank = np.empty(len(order), dtype=np.int32)
         rank[order] = np.arange(len(order), dtype=np.int32)
-        self.bucket, self.part = self.bucket[order], rank[number]
-        self.first = np.empty(len(order), dtype=np.int64)
-        self.first[self.part[::-1]] = np.arange(len(number), dtype=np.int64)[::-1]
+        self.bucket, self.first = self.bucket[order], np.empty(len(order), dtype=np.int64)
+        for lo in reversed(range(0, len(self.part), STEP)):  # from the end, so that the first place is the last one written
+            here = self.part[lo : lo + STEP] = rank[self.part[lo : lo + STEP]]
+            self.first[here[::-1]] = np.arange(lo, lo + len(here))[::-1]
 
     def spans(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Begin, size in bytes and size in characters of each different part."""
@@ -389,7 +393,7 @@ def _pack(n_batches: int):
     """Deal rows into batches by id and text; the texts of an Arrow batch that go to one batch are compressed together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, met = zstandard.ZstdCompressor(level=3), Counter()
+        squeeze, met = zstandard.ZstdCompressor(level=5), Counter()
         for rows in batches:
             ids, texts, marked = rows.column(0).to_pylist(), [], []
             for t in rows.column(1).cast(pa.binary()):
@@ -452,7 +456,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_tokens, token_ids and round_trip (decoding gives the text again), one row for each row of docs."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_batches, n_buckets = int(max(24, -(-size // BATCH_BYTES))), int(max(48, -(-size // BUCKET_BYTES)))
+    n_batches, n_buckets = int(max(24, -(-size // BATCH_BYTES))), max(48, int((size / 1e6) ** BUCKET_GROWTH))
     shared = spark.sparkContext.broadcast(vocabulary)
     small = np.uint16 if len(vocabulary.pieces) <= 1 << 16 else np.uint32
     texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(_pack(n_batches), _PACKED).repartition("batch")
@@ -465,7 +469,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         pa.default_memory_pool().release_unused()
         return pa.table([pa.array(mine.bucket[base]), pa.array(np.full(len(base), key[0].as_py(), dtype=np.int32)), pa.array(base), words], names=["bucket", "batch", "base", "words"])
 
-    asked = texts.groupBy("batch").applyInArrow(ask, _ASKED).repartition("bucket").select("bucket", "batch", "base", F.posexplode("words").alias("at", "word")).where("word <> ''")
+    asked = texts.groupBy("batch").applyInArrow(ask, _ASKED).repartition(n_buckets, "bucket").select("bucket", "batch", "base", F.posexplode("words").alias("at", "word")).where("word <> ''")
     asked = asked.withColumn("word", F.translate("word", " ", SPACE))
     place = F.shiftleft(F.col("batch").cast("long"), 32) + F.col("base") + F.col("at")
     distinct = asked.groupBy("bucket", "word").agg(F.collect_list(place).alias("asked"))
