@@ -34,19 +34,26 @@ def use_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+#: Labelled texts of more bytes are not used in a fit, so that what reaches the driver is bounded (they are scored like any).
+SAMPLE_BYTES = 100_000
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int) -> DataFrame:
-    """(doc_id, text, label) of at most `limit` labelled rows that are not held out.
+    """(doc_id, text, label) of at most `limit` labelled ids that are not held out, one row each.
 
     Each class gives at most half of them, chosen by a hash of the id, so that
-    the same rows come out on every run.  Only the chosen ids, at most `limit`,
-    are broadcast; the texts are not shuffled.
+    the same rows come out on every run.  Of conflicting labels the larger counts,
+    and of texts that share an id the one with the least hash.  Only the chosen
+    ids, at most `limit`, are broadcast; other texts are not shuffled.
     """
     known = (
         labels.select("doc_id", F.col(label).cast("int").alias("label"))
         .where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id")))
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.max("label").alias("label"))
     )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     half = max(1, limit // 2)
     chosen = known.where("label = 0").orderBy(*order).limit(half).unionByName(known.where("label = 1").orderBy(*order).limit(half))
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "t.text", "label")

@@ -1,37 +1,41 @@
 """HTML extraction by line-block distribution.
 
-Markup is cut into lines, one for each block of the page.  A line weighs as many
-characters as its text has, and nothing where the markup says that it is not part
-of the article (navigation, headers, footers, asides, forms, adverts, notices,
-reader comments) or where it is mostly links.  Sums of weights over sliding
-windows of lines show a surge where the article begins and a dive where it ends;
-all text between surge and dive is kept, but for the lines that are marked as
-something else.  A window must reach SURGE characters.  Article and main elements
-raise weights if they hold at least as many characters as the unmarked rest of the
-page: each of their lines, mostly links or not, makes a surge of its own, and
-windows outside sum up the lines outside only.  If they hold fewer (a teaser card
-beside a body without an element), they change nothing.
+Markup is cut into lines, one for each block of the page.  Lines that the markup
+says are not part of the article (navigation, headers, footers, asides, forms,
+adverts, notices, reader comments) go.  Each other line weighs as many characters
+as its text has, and nothing if it is mostly links.  Sums of weights over sliding
+windows of WINDOW lines show a surge where the article begins and a dive where it
+ends: the first and the last line of a window that reaches SURGE, and the lines
+with a weight right before and after.  All lines between surge and dive are kept.
+
+Article and main elements raise weights, if they hold at least as many characters
+as the rest of the page: their lines, mostly links or not, weigh RAISED times as
+much, and windows inside and outside sum up their own side only.  If they hold
+fewer (a teaser card beside a body without an element), they change nothing.
 
 Character references are decoded after the markup is gone, white space inside a
 block becomes one space, and blocks are joined in page order by one space.
 
 Defined results: a null or empty page, and one without text, or of marked lines
 and links only, gives the empty string; where no window makes a surge, the span is
-from the first to the last line of any weight; unclosed elements end where an enclosing one ends; repeated rows give
-one row each.
+from the first to the last line with the highest kind of weight; unclosed elements
+end where an enclosing one ends; pages of any length and depth are read whole, in
+time linear in their length; repeated rows give one row each, rows with a null id
+too; an empty table gives no rows; only page_id, url and html are read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Lines in a window, and characters in a window that make a surge outside article elements.
-WINDOW, SURGE = 3, 80
+#: Lines in a window, weight in a window that makes a surge, and how much more lines in article elements weigh.
+WINDOW, SURGE, RAISED = 3, 80, 4
 
 #: Names of elements of HTML.
 _BLOCK = frozenset(
@@ -39,22 +43,44 @@ _BLOCK = frozenset(
 )
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SKIP = frozenset("head nav footer aside form button select textarea menu dialog fieldset noscript template iframe object svg canvas audio video title".split())
+_HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLE = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-#: Parts of class and id names that mark something else than the article.
+#: Parts of class and id names that mark something else than the article, and names that do so as a whole.
 _MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|side-?bar|sidenav|nav\w*|menu\w*|breadcrumbs?|pagination|pager|footer\w*|site-?header|page-?header|masthead|topbar|"
-    r"cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|comment\w*|disqus|respond|reply|replies|share\w*|sharing|social\w*|related\w*|recommend\w*|"
-    r"tag-?cloud|tags|toolbar|search\w*|skip\w*|print-only|copyright|legal|disclaimer|widget\w*|byline-share|form)(?:$|[\s_\d-])",
+    r"ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotions?|promoted|sidebar|sidenav|nav|navbar|navigation|navigator|menus?|menubar|breadcrumbs?|pagination|pager|footer|masthead|topbar|"
+    r"cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|replies|reply|share|sharing|sharebar|social|"
+    r"related|recommended|recommendations?|tagcloud|tags|toolbar|search|searchform|skip|copyright|legal|disclaimer|widgets?|forms?",
+    re.IGNORECASE,
+)
+_COMMENT = re.compile(r"comments?|commentlist|disqus|respond|replies|reply", re.IGNORECASE)
+_MARKED_WHOLE = frozenset("side-bar site-header page-header top-header global-header header-bar tag-cloud print-only".split())
+#: Parts of names that say where or in what shape something stands, not what it is.
+_SHAPE = re.compile(
+    r"box|bars?|blocks?|wrap|wrapper|container|content|section|area|zone|slot|unit|list|items?|links?|btn|buttons?|icons?|inner|outer|main|site|page|post|entry|article|blog|global|primary|secondary|top|bottom|left|right|header|head|"
+    r"title|body|text|panel|card|row|col|column|group|holder|module|component|region|layer|sticky|fixed|mobile|desktop|small|large|count|thread|bar|to|me|us|js|is|has|the|my|no|[a-z]?\d+\w*|",
     re.IGNORECASE,
 )
 _RAW = re.compile(r"<!--.*?(?:-->|$)|<(script|style)\b.*?(?:</\1\s*>|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>", re.IGNORECASE | re.DOTALL)
-_TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>"']|"[^"]*"|'[^']*')*)(/?)>""")
-_NAME = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+#: A quote opens a value only after an equals sign; elsewhere it is a character like any.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?>=\s*+(?:"[^"]*+"|'[^']*+')|[^>])*+)>""")
+_NAME = re.compile(r"""(?<![^\s"'/])(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 #: Elements that an end tag may leave open, and what they close when they start again.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "tr": {"tr", "td", "th", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "option": {"option"}}
 
 
+def _says(value: str, what: re.Pattern) -> bool:
+    """Whether one of the names in a class or id is made of a part that matches and of words for shapes only."""
+    for name in value.lower().split():
+        if what is _MARKED and name in _MARKED_WHOLE:
+            return True
+        parts = re.split("[-_]", name)
+        found = [what.fullmatch(p) is not None for p in parts]
+        if any(found) and all(f or _MARKED.fullmatch(p) or _SHAPE.fullmatch(p) for f, p in zip(found, parts, strict=True)):
+            return True
+    return False
+
+
 def _is_marked(name: str, attributes: str, inside: bool) -> bool:
     if name in _SKIP:
         return True
@@ -64,8 +90,9 @@ def _is_marked(name: str, attributes: str, inside: bool) -> bool:
         return False
     for key, *values in _NAME.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _MARKED.search(value):
-            return True
+        if key == "class" or key == "id" and name not in _HEADING:
+            if name not in ("html", "body") and _says(value, _COMMENT if name in ("article", "main") else _MARKED):
+                return True
         if key == "role" and value.lower() in _ROLE:
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
@@ -80,6 +107,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     text: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # name, marked here, an article
+    opened: Counter[str] = Counter()  # names on the stack
     marked = articles = links = 0
 
     def end_line() -> None:
@@ -94,7 +122,8 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
     def close(depth: int) -> None:
         nonlocal marked, articles
         while len(stack) > depth:
-            _, m, a = stack.pop()
+            name, m, a = stack.pop()
+            opened[name] -= 1
             marked -= m
             articles -= a
 
@@ -106,23 +135,21 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if links:
                 linked += len(piece.strip())
         at = tag.end()
-        ending, name, attributes, _ = tag.groups()
+        ending, name, attributes = tag.groups()
         name = name.lower()
         if name == "a":
             links = 0 if ending else 1
             continue
         block = name in _BLOCK or name in _SKIP
-        if not block and not (attributes and not ending and name not in _VOID and _is_marked(name, attributes, articles > 0)) and not any(s[0] == name for s in stack):
+        if not block and not (attributes and not ending and name not in _VOID and _is_marked(name, attributes, articles > 0)) and not opened[name]:
             continue
         if block:
             end_line()
         if ending:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    if not block:
-                        end_line()
-                    close(depth)
-                    break
+            if opened[name]:
+                if not block:
+                    end_line()
+                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
         elif name not in _VOID and not attributes.endswith("/"):
             if closing := _CLOSES.get(name):
                 while stack and stack[-1][0] in closing:
@@ -132,6 +159,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             article = name in ("article", "main") or 'role="main"' in attributes
             m = _is_marked(name, attributes, articles > 0)
             stack.append((name, m, article))
+            opened[name] += 1
             marked += m
             articles += article
     text.append(page[at:])
@@ -143,28 +171,28 @@ def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page:
         return ""
-    found = lines(page)
-    inside = sum(len(line) for line, _, marked, within in found if within and not marked)
-    raised = 2 * inside >= sum(len(line) for line, _, marked, _ in found if not marked)
-    sure = [raised and within for _, _, _, within in found]
-    weight = [0 if marked or 2 * linked > len(line) and not s else len(line) for (line, linked, marked, _), s in zip(found, sure, strict=True)]
+    found = [line[:2] + line[3:] for line in lines(page) if not line[2]]
+    inside = sum(len(line) for line, _, within in found if within)
+    raised = 2 * inside >= sum(len(line) for line, _, _ in found)
+    sure = [raised and within for _, _, within in found]
+    weight = [RAISED * len(line) if s else 0 if 2 * linked > len(line) else len(line) for (line, linked, _), s in zip(found, sure, strict=True)]
     if not any(weight):
         return ""
 
     def reaches(i: int, begin: int) -> bool:
         """Whether the window at begin, in which line i stands, makes a surge of that line."""
-        return weight[i] > 0 and (sure[i] or sum(weight[j] for j in range(max(0, begin), min(len(found), begin + WINDOW)) if not sure[j]) >= SURGE)
+        return weight[i] > 0 and sum(weight[j] for j in range(max(0, begin), min(len(found), begin + WINDOW)) if sure[j] == sure[i]) >= SURGE
 
     surges = [i for i in range(len(found)) if reaches(i, i)]
     dives = [i for i in range(len(found)) if reaches(i, i - WINDOW + 1)]
     if not surges:  # then no window reaches SURGE, and there is no dive
-        surges = dives = [i for i, w in enumerate(weight) if w]
+        surges = dives = [i for i, w in enumerate(weight) if w and sure[i] == any(sure)]
     surge, dive = surges[0], max(surges[0], dives[-1] if dives else 0)
     while surge and weight[surge - 1] and sure[surge - 1] == sure[surge]:  # a heading or short paragraph right before
         surge -= 1
     while dive + 1 < len(found) and weight[dive + 1] and sure[dive + 1] == sure[dive]:
         dive += 1
-    return " ".join(line for line, _, marked, _ in found[surge : dive + 1] if not marked)
+    return " ".join(line for line, _, _ in found[surge : dive + 1])
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -1,27 +1,32 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is the mean of the vectors of its character n-grams (and of itself); a
-document's bag is the mean of its BAG words that speak most for label 1; a
-linear softmax over that mean gives the score.  So a few insults in a long text
-are not averaged away, and one chance word weighs less than several.  Vectors
-and softmax are trained jointly in numpy: first on stretches of BAG words, then
-on each document's own BAG words, chosen anew each turn.  An unseen misspelling
-shares n-grams with known words and so a part of their vectors.  A run of over
-LONGEST letters (words glued together, scripts without spaces) counts as several
-words: overlapping pieces of PIECE letters, so that all of it is scored.
-
-Since mean and softmax are linear up to the final exponential, a word's part in
-the log-odds is one number, which scoring looks up for every word of the text.
+A word is the mean of the vectors of its character n-grams (and of itself).  A
+document is the mean of all its words, each with a weight that is learned too: the
+exponential of a linear function of the word's vector, 1 for a word of unknown
+subwords.  So a few insults in a long text are not averaged away, and no word is
+left out.  NEUTRAL words of weight 1 are added, so that one chance word does not
+decide a short text.  A linear softmax over the mean gives the score.  Vectors,
+weights and softmax are trained jointly in numpy: first on stretches of documents,
+then on whole ones.  An unseen misspelling shares n-grams with known words and so a
+part of their vectors.  A run of over LONGEST letters (words glued together, scripts
+without spaces) counts as several words: overlapping pieces of PIECE letters, so
+that all of it is scored.
+
+A word enters the score through two numbers, its weight and its part in the
+log-odds, which scoring looks up for every word of the text.
 
 Defined results: null and empty texts, and texts without letters, score as an
-empty bag (the softmax of its bias); repeated rows give one row each; without
-labels, or with one class only, every score is the share of label 1 (0.5 if no
-labels).
+empty bag (the softmax of its bias); texts of any length are scored whole; repeated
+rows give one row each; an empty table gives no rows; only the columns doc_id and
+text are read; without labels, or with one class only, every score is the share of
+label 1 (0.5 if no labels).
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,8 +39,12 @@ from driftledger.llm.common import is_held_out, labelled_sample
 
 #: Labelled rows that a fit may use, half of each class at most.
 SAMPLE_ROWS = 6_000
-#: Words that a document's bag averages over; places that a short text leaves free count as 0.
-BAG = 8
+#: Words of weight 1 and no meaning that every bag holds besides its own.
+NEUTRAL = 8
+#: Words in a stretch, and stretches of a document, in the first part of a fit.
+STRETCH, STRETCHES = 8, 12
+#: A word's weight is between exp(-STEEP) and exp(STEEP).
+STEEP = 12.0
 #: Lengths of the character n-grams of a word with its end marks.
 NGRAMS = (3, 4, 5, 6)
 #: Letters of a word at most; longer runs are cut into pieces of PIECE letters, each half over the next, so every n-gram is in one.
@@ -65,40 +74,61 @@ def subwords(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    part: dict[str, float]  # a subword's part in the log-odds
+    part: dict[str, tuple[float, float]]  # a subword's parts in the log-odds and in the logarithm of the weight
     bias: float
 
-    def word(self, word: str) -> float:
+    def word(self, word: str) -> tuple[float, float]:
+        """(weight, weight times part in the log-odds)."""
         got = subwords(word)
-        get = self.part.get
-        return sum(get(s, 0.0) for s in got) / len(got)
+        known = [p for s in got if (p := self.part.get(s)) is not None]
+        weight = math.exp(min(STEEP, max(-STEEP, sum(p[1] for p in known) / len(got))))
+        return weight, weight * sum(p[0] for p in known) / len(got)
 
     def scorer(self):
         """A function from text to score that remembers the words it has met."""
-        known: dict[str, float] = {}
+        known: dict[str, tuple[float, float]] = {}
 
         def score(text: str | None) -> float:
-            words = tokens(text)
             if len(known) > CACHE_WORDS:
                 known.clear()
-            values = np.empty(len(words))
-            for i, w in enumerate(words):
-                v = known.get(w)
-                if v is None:
-                    v = known[w] = self.word(w)
-                values[i] = v
-            return float(1 / (1 + np.exp(-np.clip(self.bias + values[worst(values)].sum() / BAG, -30, 30))))
+            total, odds = float(NEUTRAL), 0.0
+            for w, n in Counter(tokens(text)).items():
+                got = known.get(w)
+                if got is None:
+                    got = known[w] = self.word(w)
+                total += n * got[0]
+                odds += n * got[1]
+            return 1 / (1 + math.exp(-min(30.0, max(-30.0, self.bias + odds / total))))
 
         return score
 
 
-def worst(values: np.ndarray) -> np.ndarray:
-    """Places of the BAG largest values."""
-    return np.argpartition(-values, BAG)[:BAG] if len(values) > BAG else np.arange(len(values))
+@dataclass
+class _Bags:
+    """Bags of words: entry k says that word[k] stands count[k] times in bag owner[k]; words of unknown subwords are only counted."""
+
+    owner: np.ndarray
+    word: np.ndarray
+    count: np.ndarray
+    neutral: np.ndarray  # of each bag
+    label: np.ndarray
+
+    @classmethod
+    def of(cls, bags: list[np.ndarray], labels: list[int], unknown: np.ndarray) -> _Bags:
+        size = np.array([len(b) for b in bags])
+        flat, owner = np.concatenate(bags), np.repeat(np.arange(len(bags)), size)
+        neutral = NEUTRAL + np.bincount(owner[unknown[flat]], minlength=len(bags)).astype(np.float32)
+        use = ~unknown[flat]
+        key, count = np.unique(owner[use] * np.int64(len(unknown)) + flat[use], return_counts=True)
+        return cls(key // len(unknown), key % len(unknown), count.astype(np.float32), neutral, np.array(labels))
+
 
+def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    return np.stack([np.bincount(index, values[:, k], minlength=size) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
-def train(texts: list[str | None], labels: list[int], dim: int = 6, rounds: int = 6, epochs: int = 40, rate: float = 0.05, least: int = 3, strong: float = 3.0, decay: float = 1e-5) -> Model:
-    """Fit vectors and softmax together by Adam on the cross-entropy of chosen bags.
+
+def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tuple[int, int] = (30, 120), rate: float = 0.05, least: int = 3, strong: float = 3.0, decay: float = 1e-5) -> Model:
+    """Fit vectors, weights and softmax together by Adam on the cross-entropy of the bags.
 
     Subwords get a vector if they stand in `least` documents and their share of
     documents differs between the classes by `strong` standard errors; the
@@ -109,7 +139,7 @@ def train(texts: list[str | None], labels: list[int], dim: int = 6, rounds: int
         share = y.mean() if len(y) else 0.5
         return Model({}, float(np.clip(np.log((share + 1e-9) / (1 - share + 1e-9)), -12, 12)))
     index: dict[str, int] = {}
-    docs = [np.array([index.setdefault(w, len(index)) for w in tokens(t)], dtype=np.int64) for t in texts]
+    docs = [np.array([index.setdefault(w, len(index)) for w in tokens(t)], dtype=np.int32) for t in texts]
     number: dict[str, int] = {}
     split = [np.array([number.setdefault(s, len(number)) for s in subwords(w)], dtype=np.int32) for w in index]
     seen = np.zeros((2, len(number)))  # in how many documents of each class a subword stands
@@ -126,64 +156,49 @@ def train(texts: list[str | None], labels: list[int], dim: int = 6, rounds: int
     flat = np.concatenate(split)
     use = kept[flat]
     rows, cols = np.repeat(np.arange(len(split)), size)[use], (np.cumsum(kept) - 1)[flat[use]]
-    weight = np.repeat(1 / size, size)[use].astype(np.float32)
-    grams = {s: k for k, s in enumerate(s for s, i in number.items() if kept[i])}
-    del split, number, flat, seen
-    by_col = np.argsort(cols, kind="stable")
-    row_ptr = np.searchsorted(rows, np.arange(len(index)))
-    col_ptr = np.searchsorted(cols[by_col], np.arange(len(grams)))
-    row_empty = np.bincount(rows, minlength=len(index)) == 0
+    share = np.repeat(1 / size, size)[use].astype(np.float32)[:, None]
+    grams = [s for s, i in number.items() if kept[i]]
+    n_words = len(index)
+    unknown = np.bincount(rows, minlength=n_words) == 0
+    del split, number, flat, seen, index
     rng = np.random.default_rng(0)
     emb = rng.normal(0, 0.1, (len(grams), dim)).astype(np.float32)
-    soft, bias = rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.zeros(2, dtype=np.float32)
-
-    def words_of() -> np.ndarray:
-        out = np.add.reduceat(emb[cols] * weight[:, None], np.minimum(row_ptr, len(cols) - 1), axis=0)
-        out[row_empty] = 0
-        return out
-
-    moment = [np.zeros_like(p) for p in (emb, soft, bias)]
-    square = [np.zeros_like(p) for p in (emb, soft, bias)]
+    soft, bias, pull = rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.zeros(2, dtype=np.float32), rng.normal(0, 0.1, dim).astype(np.float32)
+    params = (emb, soft, bias, pull)
+    moment, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     step = 0
-    balance = np.array([len(y) / (2 * (y == 0).sum()), len(y) / (2 * (y == 1).sum())])
-    for turn in range(rounds):
-        chosen, target = [], []
-        value = words_of() @ (soft[:, 1] - soft[:, 0])
-        for d, label in zip(docs, y, strict=True):
-            if len(d):
-                begins = rng.integers(0, max(1, len(d) - BAG + 1), 12 if turn == 0 else 0)
-                bags = [d[b : b + BAG] for b in begins] or [d[worst(value[d])]]
-                chosen += bags
-                target += [label] * len(bags)
-        size = np.array([len(c) for c in chosen])
-        flat, ptr = np.concatenate(chosen), np.concatenate([[0], size.cumsum()[:-1]])
-        goal = np.array(target)
-        touched, local = np.unique(flat, return_inverse=True)
-        order = np.argsort(local, kind="stable")
-        local_ptr = np.searchsorted(local[order], np.arange(len(touched)))
-        owner = np.repeat(np.arange(len(size)), size)
-        cost = balance[goal] / balance[goal].sum()
-        for _ in range(epochs if turn else epochs // 2):
+    balance = len(y) / (2 * np.array([n0, n1]))
+    held = [(d, label) for d, label in zip(docs, y.tolist(), strict=True) if len(d)]
+    stretches = [(d[b : b + STRETCH], label) for d, label in held for b in rng.integers(0, max(1, len(d) - STRETCH + 1), STRETCHES)]
+    for chosen, turns in zip((stretches, held), epochs, strict=True):
+        bags = _Bags.of(*zip(*chosen, strict=True), unknown)
+        n = len(bags.label)
+        cost = (balance[bags.label] / balance[bags.label].sum())[:, None]
+        for _ in range(turns):
             step += 1
-            word = words_of()
-            bag = np.add.reduceat(word[flat], ptr, axis=0) / BAG
-            logit = bag @ soft + bias
+            word = _sum_by(rows, emb[cols] * share, n_words)
+            h = word[bags.word]
+            mass = bags.count * np.exp(np.clip(h @ pull, -STEEP, STEEP))
+            total = bags.neutral + np.bincount(bags.owner, mass, minlength=n)
+            alpha = (mass / total[bags.owner]).astype(np.float32)[:, None]
+            mean = _sum_by(bags.owner, alpha * h, n)
+            logit = mean @ soft + bias
             logit -= logit.max(axis=1, keepdims=True)
             p = np.exp(logit)
             p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(goal)), goal] -= 1
-            p = (p * cost[:, None]).astype(np.float32)
-            g_bag = (p @ soft.T) / BAG
-            g_word = np.zeros_like(word)
-            g_word[touched] = np.add.reduceat(g_bag[owner][order], local_ptr, axis=0)
-            g_emb = np.add.reduceat((g_word[rows] * weight[:, None])[by_col], col_ptr, axis=0)
-            grads = [g_emb + decay * emb, bag.T @ p + decay * soft, p.sum(axis=0)]
-            for k, (param, g) in enumerate(zip((emb, soft, bias), grads, strict=True)):
+            p[np.arange(n), bags.label] -= 1
+            p = (p * cost).astype(np.float32)
+            g_mean = p @ soft.T
+            g_here = g_mean[bags.owner]
+            g_log = alpha * ((h - mean[bags.owner]) * g_here).sum(axis=1, keepdims=True)
+            g_word = _sum_by(bags.word, alpha * g_here + g_log * pull, n_words)
+            grads = [_sum_by(cols, g_word[rows] * share, len(grams)) + decay * emb, mean.T @ p + decay * soft, p.sum(axis=0), (g_log * h).sum(axis=0) + decay * pull]
+            for k, (param, g) in enumerate(zip(params, grads, strict=True)):
                 moment[k] = 0.9 * moment[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
                 param -= (rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    part = emb @ (soft[:, 1] - soft[:, 0])
-    return Model({s: float(part[i]) for s, i in grams.items() if abs(part[i]) > 1e-4}, float(bias[1] - bias[0]))
+    odds, weight = emb @ (soft[:, 1] - soft[:, 0]), emb @ pull
+    return Model({s: (float(odds[i]), float(weight[i])) for i, s in enumerate(grams)}, float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:

@@ -310,6 +310,41 @@ def test_html_extraction_spans():
     assert of(f"<article><p>{first}</p><p>{first}</p></article><div>{last}</div>") == f"{first} {first} {last}"
 
 
+def test_html_extraction_marks():
+    body = "A sentence of the body that is long enough to count as one. "
+    of = html_extract.main_text
+    assert of(f"<main><p>{body}</p><article class='comment'><p>I disagree!</p></article><p>End.</p></main>") == body + "End."
+    assert of(f"<article><p data-x=it's>{body}</p><p title='a > b'>Two.</p><p title=\"it's > x\" class=big>Three.</p></article>") == body + "Two. Three."
+    assert of(f"<article><h2 class='search-engines'>Head</h2><p class='legal-history'>{body}</p><h2 id='notice'>Notes</h2></article>") == f"Head {body}Notes"
+    assert of(f"<article><p>{body}</p><div class='ad-slot-3'>Buy</div><div class='post-comments'>No!</div><div id='cookie_notice'>Ok</div><p>End.</p></article>") == body + "End."
+    # windows and weights decide, not the place in an element alone
+    assert of(f"<div>Top</div><div class='nav'>x</div><main><p>Short.</p></main><p>{body}</p><p>{body}</p>") == f"Top Short. {body}{body}".strip()
+
+
+def test_html_extraction_of_a_deep_page_is_linear():
+    n = 25_000
+    page = "<div><i class=x><b>" * n + "deep" + "</b></i></div>" * n + "<p>" * n + "</q>" * n
+    began = time.perf_counter()
+    assert html_extract.main_text(page) == "deep" and len(page) > 900_000
+    assert time.perf_counter() - began < 3
+
+
+@pytest.mark.parametrize("wrap", ["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='content'><div>{}</div></div>"])
+def test_html_extraction_equals_the_written_blocks(wrap):
+    rng = random.Random(wrap)
+    for _ in range(60):
+        blocks, inner = [], ""
+        for _ in range(rng.randint(4, 12)):
+            if rng.random() < 0.25:
+                inner += rng.choice(["<aside>Side</aside>", "<div class='advert'>Buy &amp; sell</div>", "<form><label>Name</label></form>", "<script>var a = '<p>x</p>';</script>", "<!-- <p>no</p> -->"])
+            else:
+                words = [rng.choice(["plain", "&lt;b&gt;", "caf&eacute;", "two\n words", "<b>bo</b>ld", "x&#33;"]) for _ in range(rng.randint(20, 40))]
+                inner += f"<p>{' '.join(words)}</p>"
+                blocks.append(" ".join(html.unescape(re.sub("</?b>", "", " ".join(words))).split()))
+        page = f"<html><head><title>T</title></head><body><nav><a href='/'>Home</a> <a href='/b'>B</a></nav>{wrap.format(inner)}<footer>Foot</footer></body></html>"
+        assert html_extract.main_text(page) == " ".join(blocks)
+
+
 def test_html_extraction_of_the_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     texts = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
