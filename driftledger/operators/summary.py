@@ -72,7 +72,6 @@ def overlap(observations: DataFrame) -> DataFrame:
         .join(common, ["indicator_type", "source_a", "source_b"], "left")
         .select(
             "source_a", "source_b", "indicator_type", c.alias("intersection"), (F.col("n_a") + F.col("n_b") - c).alias("union"), jaccard(c, F.col("n_a") + F.col("n_b") - c).alias("jaccard"),
-            F.lit("exact canonical representation over the full observation window").alias("comparison_note"),
         )
     )
 

@@ -62,7 +62,7 @@ def a2_persistence(spark, sf_dir):
 
 
 def a3_source_overlap(spark, sf_dir):
-    return summary.overlap(observations(spark, sf_dir)).drop("comparison_note")
+    return summary.overlap(observations(spark, sf_dir))
 
 
 def a4_snapshot_index(spark, sf_dir):
