@@ -42,7 +42,7 @@ SAMPLE_ROWS = 6_000
 #: Words of weight 1 and no meaning that every bag holds besides its own.
 NEUTRAL = 8
 #: Words in a stretch, and stretches of a document, in the first part of a fit.
-STRETCH, STRETCHES = 8, 12
+STRETCH, STRETCHES = 8, 4
 #: A word's weight is between exp(-STEEP) and exp(STEEP).
 STEEP = 12.0
 #: Lengths of the character n-grams of a word with its end marks.
@@ -127,7 +127,7 @@ def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], minlength=size) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tuple[int, int] = (30, 120), rate: float = 0.05, least: int = 3, strong: float = 3.0, decay: float = 1e-5) -> Model:
+def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tuple[int, int] = (10, 50), rate: float = 0.08, least: int = 3, strong: float = 5.0, decay: float = 1e-5) -> Model:
     """Fit vectors, weights and softmax together by Adam on the cross-entropy of the bags.
 
     Subwords get a vector if they stand in `least` documents and their share of
