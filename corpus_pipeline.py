@@ -43,7 +43,7 @@ STAGES = [
     ("sentencepiece", tokens),
 ]
 
-#: The classifier is fitted in numpy, which SQL cannot express; a test holds the stages against plain Python instead.
+#: The classifier is fitted in numpy, which SQL cannot express; each stage's operator is tested by itself.
 ORACLE_SQL = None
 
 
