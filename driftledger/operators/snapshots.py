@@ -66,15 +66,16 @@ def index(rows: DataFrame, order: str = "source_path") -> DataFrame:
     """One row per snapshot of checked rows: rows, unique keys, duplicates, invalid rows and conflicts.
 
     A conflict is a row whose time, path or digest differs from that of the
-    snapshot's first row in the order of `order`.
+    snapshot's first row in the order of `order`, then of time, path and digest.
+    Rows are counted by these before a snapshot's groups meet, so none is sorted.
     """
-    here = F.struct("at", "source_path", "sha256")
-    first = Window.partitionBy("source_name", "day", "snapshot_id").orderBy(order)
-    marked = rows.withColumn("head", F.first(here).over(first)).withColumn("conflict", ~F.col("head").eqNullSafe(here))
-    key = F.when(~F.col("invalid"), F.struct("indicator_type", "indicator"))
-    out = marked.groupBy("source_name", "day", "snapshot_id").agg(
-        F.first("head").alias("head"), F.count(F.lit(1)).alias("input_rows"), F.count_distinct(key).alias("unique_indicators"), F.count_if("invalid").alias("invalid_rows"), F.count_if("conflict").alias("conflicts")
-    )
+    snap, here = ["source_name", "day", "snapshot_id"], ["at", "source_path", "sha256"]
+    groups = rows.withColumn("_o", F.col(order)).groupBy(*snap, "_o", *here).agg(F.count(F.lit(1)).alias("n"), F.count_if("invalid").alias("bad"))
+    alike = groups.groupBy(*snap, *here).agg(F.min("_o").alias("_o"), F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    heads = alike.groupBy(*snap).agg(F.min(F.struct("_o", *here, "n")).alias("head"), F.sum("n").alias("input_rows"), F.sum("bad").alias("invalid_rows"))
+    keys = rows.where("not invalid").groupBy(*snap).agg(F.count_distinct("indicator_type", "indicator").alias("u"))
+    on = [F.col(f"h.{c}").eqNullSafe(F.col(f"k.{c}")) for c in snap]
+    out = heads.alias("h").join(keys.alias("k"), on, "left").select("h.*", F.coalesce("u", F.lit(0)).alias("unique_indicators")).withColumn("conflicts", F.col("input_rows") - F.col("head.n")).withColumn("head", F.struct(*(F.col(f"head.{c}") for c in here)))
     return out.select("source_name", "day", "snapshot_id", "head.*", "input_rows", "unique_indicators", (F.col("input_rows") - F.col("unique_indicators") - F.col("invalid_rows")).alias("duplicate_rows"), "invalid_rows", "conflicts")
 
 
