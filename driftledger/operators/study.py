@@ -8,7 +8,7 @@ Days without a usable snapshot stay unknown, never empty.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
@@ -120,13 +120,14 @@ class Study:
         """
         if adjacent:
             later = self.flagged.select(F.date_sub("day", 1).alias("day"), "source", "indicator_type", "indicator", F.struct("in_full", "in_any").alias("y"))
-            both = self.flagged.withColumn("x", F.struct("in_full", "in_any")).join(later, ["day", "source", "indicator_type", "indicator"]).select("source", F.col("day").alias("previous_date"), F.date_add("day", 1).alias("current_date"), "x", "y")
+            both = self.flagged.withColumn("x", F.struct("in_full", "in_any")).join(later, ["day", "source", "indicator_type", "indicator"]).select("source", F.lit(1).cast("long").alias("w"), F.col("day").alias("previous_date"), F.date_add("day", 1).alias("current_date"), "x", "y")
         else:
-            seen = self.flagged.groupBy("source", "indicator_type", "indicator").agg(F.array_sort(F.collect_list(F.struct("day", "in_full", "in_any"))).alias("d"))
+            # keys of one history are counted before its pairs are made
+            seen = self.flagged.groupBy("source", "indicator_type", "indicator").agg(F.array_sort(F.collect_list(F.struct("day", "in_full", "in_any"))).alias("d")).groupBy("source", "d").agg(F.count(F.lit(1)).alias("w"))
             pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-            both = seen.select("source", F.explode(pairs).alias("p")).select("source", F.col("p.x.day").alias("previous_date"), F.col("p.y.day").alias("current_date"), "p.x", "p.y")
-        n = lambda c: F.count_if(c)
-        found = [F.count(F.lit(1)).alias("c_all"), F.lit(0).cast("long").alias("e_all"), F.lit(0).cast("long").alias("l_all")]
+            both = seen.select("source", "w", F.explode(pairs).alias("p")).select("source", "w", F.col("p.x.day").alias("previous_date"), F.col("p.y.day").alias("current_date"), "p.x", "p.y")
+        n = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
+        found = [F.sum("w").alias("c_all"), F.lit(0).cast("long").alias("e_all"), F.lit(0).cast("long").alias("l_all")]
         for s in ("full", "any"):
             x, y = F.col(f"x.in_{s}"), F.col(f"y.in_{s}")
             found += [n(x & y).alias(f"c_{s}"), n(y & ~x).alias(f"e_{s}"), n(x & ~y).alias(f"l_{s}")]
@@ -160,7 +161,10 @@ class Study:
     def first_and_last(self) -> DataFrame:
         """The pair of the window's ends; empty if either was not observed."""
         ends = self.calendar.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a < b").select(F.col("a").alias("previous_date"), F.col("b").alias("current_date"))
-        return self.compare(adjacent=False).join(F.broadcast(ends), ["previous_date", "current_date"], "left_semi")
+        days = ends.select(F.explode(F.array("previous_date", "current_date")).alias("day"))
+        # the study of these two days alone has no other pair
+        two = replace(self, usable=self.usable.join(F.broadcast(days), "day", "left_semi"), members=self.members.join(F.broadcast(days), "day", "left_semi"))
+        return two.compare(adjacent=False)
 
     def changes(self) -> DataFrame:
         """Keys that entered or left the scope between adjacent days, with the cause."""
