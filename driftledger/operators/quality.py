@@ -18,9 +18,13 @@ LOG_STATES = ("ok", "failed", "skipped")
 
 def _check(found: DataFrame, name: str, bad: str = "FAIL", examples: str | None = None) -> DataFrame:
     """One row from the rows at fault: PASS if there are none; up to four examples in order."""
-    shown = F.array_join(F.slice(F.array_sort(F.collect_set(F.col(examples).cast("string"))), 1, 4), ", ") if examples else F.lit("")
     n = F.count(F.lit(1))
-    return found.agg(F.lit(name).alias("name"), F.when(n == 0, "PASS").otherwise(bad).alias("status"), n.alias("value"), shown.alias("message"))
+    out = found.agg(F.lit(name).alias("name"), F.when(n == 0, "PASS").otherwise(bad).alias("status"), n.alias("value"))
+    if not examples:
+        return out.withColumn("message", F.lit(""))
+    first = found.select(F.col(examples).cast("string").alias("x")).where("x is not null").distinct().orderBy("x").limit(4)
+    # two rows of one: a count and at most four values
+    return out.join(first.agg(F.array_join(F.array_sort(F.collect_list("x")), ", ").alias("message")))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:
