@@ -1,7 +1,8 @@
 """Tables of the library's shapes from the given table `events`, by SQL that Spark and DuckDB both run.
 
-Event types stand for feeds, users for addresses, half days for snapshots.  Days
-and feeds are left out on purpose, so that missing data occurs.
+Event types stand for feeds, users for addresses, half days for snapshots.  Every
+event is read; so that unknown days occur, the log names later downloads of some
+feeds and days, which block their snapshots.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ _BASE = """
 SELECT event_type AS s, CAST(ts AS DATE) AS dd, CAST(CAST(ts AS DATE) AS STRING) AS d, day(ts) AS n, CASE WHEN hour(ts) < 12 THEN 'AM' ELSE 'PM' END AS half, event_id AS k, CAST(user_id AS STRING) AS u,
   '10.' || CAST(CAST(floor(user_id / 65536) AS INT) % 256 AS STRING) || '.' || CAST(CAST(floor(user_id / 256) AS INT) % 256 AS STRING) || '.' AS net, CAST(user_id % 256 AS INT) AS c,
   CASE WHEN event_type = 'purchase' AND event_id % 5 = 0 THEN 'url' WHEN event_type = 'purchase' AND event_id % 5 = 1 THEN 'domain' WHEN event_id % 4 = 0 THEN 'cidr' ELSE 'ip' END AS kind
-FROM {events} WHERE NOT (event_type = 'signup' AND day(ts) % 7 = 0) AND day(ts) <> 17
+FROM {events}
 """
 
 OBSERVATIONS = f"""
@@ -44,7 +45,7 @@ SELECT DISTINCT net || CAST(c - c % 32 AS STRING) || '/27' AS prefix, CASE WHEN
 COLLECTION_LOG = f"""
 SELECT DISTINCT d || CASE WHEN half = 'AM' THEN 'T06:00:00Z' ELSE 'T18:00:00Z' END AS retrieved_at_utc, s AS source, '' AS url, '200' AS http_status, '1' AS bytes, md5(s || d || half) || md5(half || d || s) AS sha256,
   'data/raw/' || s || '/' || d || '_' || half || '.txt' AS path, 'ok' AS status, '' AS notes FROM ({_BASE}) e
-UNION ALL SELECT DISTINCT d || 'T23:00:00Z', s, '', '200', '1', md5(d), 'data/raw/late_' || d, 'OK', '' FROM ({_BASE}) e WHERE s = 'error' AND n % 11 = 3
+UNION ALL SELECT DISTINCT d || 'T23:00:00Z', s, '', '200', '1', md5(d), 'data/raw/late_' || d, 'OK', '' FROM ({_BASE}) e WHERE (s = 'error' AND n % 11 = 3) OR (s = 'signup' AND n % 7 = 0) OR n = 17
 UNION ALL SELECT DISTINCT d || 'T01:00:00Z', s, '', '503', '0', '', '', 'failed', 'timeout' FROM ({_BASE}) e WHERE s = 'view' AND n % 6 = 0
 """
 

@@ -268,8 +268,20 @@ dx AS (SELECT day, source, count(*) FILTER (WHERE a) AS n FROM fl GROUP BY ALL)"
     ),
     "q9_identities": "SELECT 0::BIGINT AS broken",
     "w5_merged_ranges": _q(_STUDY, "SELECT CAST(day AS VARCHAR) AS day, lo AS low, hi - lo + 1 AS addresses FROM merged"),
+    "c20_minimal": _q(
+        f"{_STUDY}, lv AS (SELECT unnest(range(0, 33)) AS k), fit AS (SELECT day, lo, hi, k, greatest((hi + 1) // (1::BIGINT << k) - (lo + (1::BIGINT << k) - 1) // (1::BIGINT << k), 0) AS n FROM merged CROSS JOIN lv)",
+        "SELECT CAST(day AS VARCHAR) AS day, (sum(n) - 2 * sum(n) FILTER (WHERE k > 0))::BIGINT AS networks, (sum(n) FILTER (WHERE k = 0))::BIGINT AS addresses FROM fit GROUP BY day",
+    ),
+    "c20_matched_networks": _q(
+        f"""{_STUDY}, lv AS (SELECT unnest(range(0, 33)) AS k),
+ck AS (SELECT DISTINCT CAST(substr(retrieved_at_utc, 1, 10) AS DATE) AS day, indicator FROM obs WHERE indicator_type = 'cidr'),
+part AS (SELECT ck.day, ck.indicator, greatest(n.lo, m.lo) AS lo, least(n.hi, m.hi) AS hi FROM ck JOIN net n ON n.x = ck.indicator JOIN merged m ON m.day = ck.day AND m.lo <= n.hi AND m.hi >= n.lo),
+piece AS (SELECT day, indicator, lo, hi, k, unnest(range((lo + (1::BIGINT << k) - 1) // (1::BIGINT << k), (hi + 1) // (1::BIGINT << k))) AS b FROM part CROSS JOIN lv),
+least_list AS (SELECT day, indicator, k, b * (1::BIGINT << k) AS w FROM piece WHERE NOT ((b // 2) * (2::BIGINT << k) >= lo AND (b // 2 + 1) * (2::BIGINT << k) - 1 <= hi))""",
+        "SELECT CAST(day AS VARCHAR) AS day, indicator, string_agg((w // 16777216) || '.' || (w // 65536 % 256) || '.' || (w // 256 % 256) || '.' || (w % 256) || '/' || (32 - k), ';' ORDER BY w) AS networks, sum(1::BIGINT << k)::BIGINT AS matched FROM least_list GROUP BY day, indicator",
+    ),
     "w6_registry_space": _q(_STUDY, "SELECT CAST(day AS VARCHAR) AS day, 4 AS version, sum(hi - lo + 1)::BIGINT AS addresses FROM merged GROUP BY day"),
-    "w7_missing_days": _q("", "SELECT CAST(d AS VARCHAR) AS day FROM (SELECT CAST(unnest(range((SELECT min(CAST(substr(retrieved_at_utc, 1, 10) AS DATE)) FROM obs), (SELECT max(CAST(substr(retrieved_at_utc, 1, 10) AS DATE)) FROM obs), INTERVAL 1 DAY)) AS DATE) AS d) WHERE CAST(d AS VARCHAR) NOT IN (SELECT substr(retrieved_at_utc, 1, 10) FROM obs)"),
+    "w7_missing_days": _q("", "SELECT CAST(CAST(d AS DATE) AS VARCHAR) AS day FROM (SELECT unnest(range((SELECT min(day) FROM reg), (SELECT max(day) FROM reg), INTERVAL 1 DAY)) AS d) WHERE CAST(d AS DATE) NOT IN (SELECT day FROM reg)"),
     "a10_source_statistics": _q(
         _DAILY,
         "SELECT source, count(DISTINCT snapshot_day) AS observed_days, min(snapshot_day) AS first_day, max(snapshot_day) AS last_day, min(unique_indicators) AS minimum_indicators, max(unique_indicators) AS maximum_indicators, round_even(avg(unique_indicators), 4) AS mean_indicators, "

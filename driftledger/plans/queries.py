@@ -209,8 +209,8 @@ def w6_registry_space(spark, sf_dir):
 
 
 def w7_missing_days(spark, sf_dir):
-    days = observations(spark, sf_dir).select(scalars.valid_day(F.col("retrieved_at_utc")).alias("day")).distinct()
-    return _dates(summary.missing_days(days), "day")
+    """Days between the first and the last day of the registry that it says nothing about."""
+    return _dates(summary.missing_days(registry(spark, sf_dir).select("day").distinct()), "day")
 
 
 def a10_source_statistics(spark, sf_dir):
