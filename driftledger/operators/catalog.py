@@ -33,7 +33,7 @@ def runs_of_day(manifests: DataFrame, day: str) -> DataFrame:
 def status_counts(observations: DataFrame, manifests: DataFrame) -> DataFrame:
     """Rows, days, runs and compared pairs of days."""
     rows = observations.agg(F.count(F.lit(1)).alias("observation_rows"), F.count_distinct(F.substring("retrieved_at_utc", 1, 10)).alias("days"))
-    pair = F.when(F.col("previous_day").isNotNull(), F.struct("previous_day", "current_day"))
+    pair = F.when((F.col("previous_day") != "") & (F.col("current_day") != ""), F.struct("previous_day", "current_day"))
     return rows.join(manifests.agg(F.count_distinct("run_id").alias("runs"), F.count_distinct(pair).alias("comparisons")))
 
 

@@ -107,6 +107,21 @@ def calendar(spark, start: str, end: str, most: int = 3660) -> DataFrame:
     return ends.select(F.explode(day).alias("day"))
 
 
+def study_window(days: DataFrame, start: str | None = None, end: str | None = None, today: str | None = None, most: int = 3660) -> DataFrame:
+    """Each day from start to end, which default to the first and the last of `days` (day).
+
+    Raises if the window is empty, longer than `most` days, or ends after today.
+    """
+    a = F.lit(start).cast("date") if start else F.min("day")
+    b = F.lit(end).cast("date") if end else F.max("day")
+    ends = days.agg(a.alias("a"), b.alias("b"))
+    now = F.lit(today).cast("date") if today else F.current_date()
+    stop = lambda text: F.raise_error(F.lit(text)).cast("array<date>")
+    fits = (F.col("b") >= F.col("a")) & (F.datediff("b", "a") <= most)
+    day = F.when(~F.coalesce(fits, F.lit(False)), stop("the study window is empty or too long")).when(F.col("b") > now, stop("the study window ends in the future")).otherwise(F.sequence("a", "b"))
+    return ends.select(F.explode(day).alias("day"))
+
+
 def dataset_profile(observations: DataFrame) -> DataFrame:
     """Rows, snapshots, sources, keys and days of a table of observations."""
     day = F.nullif(raw_day(F.col("retrieved_at_utc")), F.lit("unknown"))

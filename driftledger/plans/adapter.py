@@ -49,6 +49,30 @@ UNION ALL SELECT DISTINCT d || 'T23:00:00Z', s, '', '200', '1', md5(d), 'data/ra
 UNION ALL SELECT DISTINCT d || 'T01:00:00Z', s, '', '503', '0', '', '', 'failed', 'timeout' FROM ({_BASE}) e WHERE s = 'view' AND n % 6 = 0
 """
 
+#: Raw files of the snapshots: some have another digest, size or path than their rows and the log say.
+RAW_FILES = f"""
+SELECT DISTINCT 'data/raw/' || CASE WHEN n % 6 = 1 THEN 'moved/' ELSE '' END || s || '/' || d || '_' || half || '.txt' AS path, CASE WHEN n % 4 = 0 THEN 2 ELSE 1 END AS bytes,
+  md5(s || d || half) || CASE WHEN n % 5 = 0 THEN md5(s) ELSE md5(half || d || s) END AS sha256 FROM ({_BASE}) e
+"""
+
+#: Two runs a day with the number of their rows, and the files that each lists as its outputs.
+RUNS = f"""
+SELECT replace(d, '-', '') || CASE WHEN half = 'AM' THEN 'T060000Z' ELSE 'T180000Z' END || '_run_' || lower(half) AS run_id, CASE WHEN n % 9 = 4 THEN 'broken' WHEN half = 'AM' THEN 'completed' ELSE 'completed_with_warnings' END AS status,
+  d || CASE WHEN half = 'AM' THEN 'T07:00:00Z' ELSE 'T19:00:00Z' END AS generated_at_utc, CASE WHEN n > 1 THEN CAST(CAST(dd - INTERVAL 1 DAY AS DATE) AS STRING) ELSE '' END AS previous_day, d AS current_day, n % 4 AS missing,
+  CASE WHEN n % 3 = 0 THEN 'succeeded' WHEN n % 3 = 1 THEN 'skipped' WHEN n % 7 = 2 THEN 'failed' ELSE '' END AS collection_status, CASE WHEN n % 8 = 2 THEN 'elsewhere' ELSE replace(d, '-', '') || CASE WHEN half = 'AM' THEN 'T060000Z' ELSE 'T180000Z' END || '_run_' || lower(half) END AS folder,
+  COUNT(*) AS n_rows FROM ({_BASE}) e GROUP BY dd, d, n, half
+"""
+OUTPUTS = f"""
+SELECT DISTINCT replace(d, '-', '') || CASE WHEN half = 'AM' THEN 'T060000Z' ELSE 'T180000Z' END || '_run_' || lower(half) AS run_id, 'data/raw/' || s || '/' || d || '_' || half || '.txt' AS path, md5(s || d || half) || md5(half || d || s) AS sha256
+FROM ({_BASE}) e
+"""
+
+#: Lines of feed files of at most 4096 events each, one file for each format.
+FEED_LINES = f"""
+SELECT s, replace(d, '-', '') || CASE WHEN half = 'AM' THEN 'T060000Z' ELSE 'T180000Z' END AS stamp, CAST(CAST(floor(k / 4096) AS INT) AS STRING) AS part, k, n, net || CAST(c AS STRING) AS ip, net || CAST(c - c % 16 AS STRING) || '/28' AS cidr, u
+FROM ({_BASE}) e
+"""
+
 
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, events=spark.read.parquet(f"{sf_dir}/events.parquet"))

@@ -15,9 +15,14 @@ _METADATA = "country string, requested_date string, query_time string, retrieved
 def evidence_files(spark: SparkSession, metadata: str, responses: str) -> DataFrame:
     """The latest metadata file of each day with its response and the response's digest."""
     meta = spark.read.schema(_METADATA).option("multiLine", True).json(metadata).withColumn("metadata_path", F.col("_metadata.file_path"))
+    return dated(meta, spark.read.format("binaryFile").load(responses).select("path", "content"))
+
+
+def dated(meta: DataFrame, responses: DataFrame) -> DataFrame:
+    """Metadata rows with metadata_path, the latest of each day, joined to response files (path, content)."""
     last = Window.partitionBy("requested_date").orderBy(F.col("metadata_path").desc())
     meta = meta.withColumn("r", F.row_number().over(last)).where("r = 1").drop("r")
-    files = spark.read.format("binaryFile").load(responses).select(F.col("path").alias("response_path"), F.sha2("content", 256).alias("found_sha256"), F.from_json(F.col("content").cast("string"), _RESPONSE).alias("response"))
+    files = responses.select(F.col("path").alias("response_path"), F.sha2("content", 256).alias("found_sha256"), F.from_json(F.col("content").cast("string"), _RESPONSE).alias("response"))
     return meta.join(files, file_name(F.col("response_file")) == file_name(F.col("response_path")), "left")
 
 
