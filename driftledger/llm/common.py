@@ -36,6 +36,19 @@ def use_checkpoints(spark: SparkSession) -> None:
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it differ from every column of docs in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def columns_of(docs: DataFrame) -> list[Column]:
+    """The columns of docs, also those with dots in their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 #: Labelled texts of more bytes are not used in a fit, so that what reaches the driver is bounded (they are scored like any).
 SAMPLE_BYTES = 100_000
 

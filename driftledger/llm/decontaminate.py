@@ -194,10 +194,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RAT
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs whose text holds no item; all columns stay, and nothing is shuffled."""
+    """The rows of docs whose text holds no item; all columns stay, and nothing is shuffled.
+
+    Null and empty texts hold none; ids do not matter, so null and repeated ones
+    are like any; very long texts are read whole; an empty table stays empty, and
+    an empty benchmark keeps all rows.
+    """
+    # names by place inside, as mapInArrow takes no name with a dot
+    names = docs.columns
+    text = names.index("text")
+    docs = docs.toDF(*(f"_{i}" for i in range(len(names))))
     for items in _blocks(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(items)
-        text = docs.columns.index("text")
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, text: int = text) -> Iterator[pa.RecordBatch]:
             matcher = Matcher(shared.value, error_rate)
@@ -205,4 +213,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, error_rate: float = ERROR_RATE,
                 yield rows.filter(pa.array([not matcher.any_in(normal(t)) for t in rows.column(text).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

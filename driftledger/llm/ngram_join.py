@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftledger.llm.common import use_checkpoints
+from driftledger.llm.common import columns_of, unused, use_checkpoints
 from driftledger.llm.components import connected
 from driftledger.llm.wordhash import Words, blocks, mix
 
@@ -278,8 +278,10 @@ def one_of_each(docs: DataFrame, n: int = 5, threshold: float = 0.8, rows: int =
     """One row of docs for each class of texts, that of the least id, null ids last; all columns stay.
 
     A row goes only if its text is a copy of, or linked to, that of a row that stays.
+    Null and empty texts are texts like others: one row of each stays. An empty table stays empty.
     """
-    kept = _classes(docs, n, threshold, rows, recall).where("kept").select(F.col("key").alias("__kept"), F.col("rep").alias("__rep"))
-    keyed = docs.withColumn("__key", _key())
-    same = [keyed["doc_id"].eqNullSafe(kept["__rep"]), keyed["__key"] == kept["__kept"]]
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["__key"]).select(docs.columns)
+    key, held, rep = (unused(docs, c) for c in ("__key", "__kept", "__rep"))
+    kept = _classes(docs, n, threshold, rows, recall).where("kept").select(F.col("key").alias(held), F.col("rep").alias(rep))
+    keyed = docs.withColumn(key, _key())
+    same = [keyed["doc_id"].eqNullSafe(kept[rep]), keyed[key] == kept[held]]
+    return keyed.join(kept, same, "left_semi").dropDuplicates([key]).select(columns_of(docs))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftledger.llm import docstats
-from driftledger.llm.common import is_held_out, labelled_sample
+from driftledger.llm.common import columns_of, is_held_out, labelled_sample, unused
 
 FEATURES = [*docstats.BASE, *docstats.RATIOS]
 #: Labelled rows that a fit may use, half of each class at most.
@@ -116,15 +116,17 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Trees:
 
 def score(docs: DataFrame, model: Trees, keep: tuple[str, ...] = ("doc_id",), name: str = "score") -> DataFrame:
     """The columns `keep` and the score, one row for each row of docs, from its whole text."""
-    kept = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    # names by place inside, as mapInArrow takes no name with a dot
+    places = [f"_{i}" for i in range(len(keep))]
+    kept = docs.select(*(F.col(f"`{c}`").alias(p) for c, p in zip(keep, places, strict=True)), F.col("text").alias("_text"))
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in kept.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             x = np.array([docstats.of_text(t) for t in rows.column(len(keep)).to_pylist()], dtype=float).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*keep, name])
+            yield pa.RecordBatch.from_arrays([*rows.columns[: len(keep)], pa.array(model.score(x), pa.float64())], names=[*places, "_score"])
 
-    return kept.mapInArrow(run, f"{kinds}, {name} double")
+    return kept.mapInArrow(run, f"{kinds}_score double").toDF(*keep, name)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = SAMPLE_ROWS) -> DataFrame:
@@ -134,6 +136,12 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, limit: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs whose score reaches the threshold; all columns stay."""
-    scored = score(docs, fit(docs, labels, limit), keep=tuple(docs.columns), name="__score")
-    return scored.where(F.col("__score") >= threshold).select(docs.columns)
+    """The rows of docs whose score reaches the threshold; all columns stay, whatever their names.
+
+    Null and empty texts are scored by their statistics, which are all 0, and go
+    if these score low; null and repeated ids change nothing; very long texts are
+    read whole; ties at the threshold stay; an empty table stays empty.
+    """
+    name = unused(docs, "__score")
+    scored = score(docs, fit(docs, labels, limit), keep=tuple(docs.columns), name=name)
+    return scored.where(F.col(name) >= threshold).select(columns_of(docs))
