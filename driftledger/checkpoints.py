@@ -32,3 +32,10 @@ def _shared(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written once as Parquet to the same shared folder and read back, so that later reads take only the columns they need."""
+    path = fresh_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
