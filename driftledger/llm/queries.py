@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.llm import decontaminate, html_extract, license_scan, ngram_join, pieces, quality_classifier, quality_rules, sql, substring_dedup, toxicity, warc_audit
+from driftledger.llm import decontaminate, html_extract, license_scan, line_dedup, ngram_join, periodic_runs, phrase_mining, pieces, quality_classifier, quality_rules, sql, substring_dedup, toxicity, warc_audit
 from driftledger.llm.common import table
 
 
@@ -60,6 +60,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -73,7 +85,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_warc_audit,
         op10_license_scan,
+        op11_phrase_mining,
+        op12_line_dedup,
+        op13_periodic_runs,
     )
 }
 
-SQL: dict[str, str] = {"op5_ngram_join": sql.NGRAM_JOIN, "op8_substring_dedup": sql.SUBSTRING_DEDUP, "op9_warc_audit": sql.WARC_AUDIT, "op10_license_scan": sql.LICENSE_SCAN}
+SQL: dict[str, str] = {"op5_ngram_join": sql.NGRAM_JOIN, "op8_substring_dedup": sql.SUBSTRING_DEDUP, "op9_warc_audit": sql.WARC_AUDIT, "op10_license_scan": sql.LICENSE_SCAN, "op11_phrase_mining": sql.PHRASE_MINING, "op12_line_dedup": sql.LINE_DEDUP}

@@ -96,3 +96,39 @@ FROM d LEFT JOIN based USING (doc_id) LEFT JOIN labelled USING (doc_id)
 
 
 LICENSE_SCAN = _license_scan()
+
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASE_MINING = f"""
+WITH piece AS (
+  SELECT lang, regexp_extract_all(x, '[^ \t]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\n\x0B\f\r]')) AS x FROM documents)
+),
+gram AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM piece, range(1, 4) t(k)) GROUP BY ALL
+),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM gram WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM gram WHERE k >= 2 AND f >= 10),
+cut AS (
+  SELECT lang, c.k, c.phrase, a, j, x.f AS l, y.f AS r, (1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN gram x USING (lang) JOIN gram y USING (lang) WHERE x.phrase = array_to_string(w[:j], ' ') AND y.phrase = array_to_string(w[j + 1:], ' ')
+),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a AS longer FROM c WHERE k = 3),
+gone AS (SELECT DISTINCT lang, phrase FROM inside JOIN c USING (lang, phrase) WHERE 100 * longer >= 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score
+FROM worst ANTI JOIN gone USING (lang, phrase) JOIN n USING (lang)
+QUALIFY rank <= 2000
+"""
+
+LINE_DEDUP = f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS document FROM documents),
+line AS (SELECT row, doc_id, document, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS place FROM d),
+keyed AS (SELECT *, {_LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM line),
+common AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT document) >= 10),
+marked AS (SELECT k.*, common.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common USING (key))
+SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row, doc_id
+"""
