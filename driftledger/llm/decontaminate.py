@@ -4,10 +4,12 @@ Texts are compared letter by letter in a normal form (lower case, runs of other
 characters than letters and digits as one space).  An item of L characters may
 differ from a passage in e = L * error_rate edits.  It is cut into e + 1 pieces:
 a passage within e edits must hold one of them unchanged.  An automaton finds all
-pieces in one walk over each whole text; each hit names the diagonal where the
-item would stand.  There the pigeonhole is asked again with twice as many pieces,
-of which at most e may be missing; so items that share an opening are told apart
-without a distance.  Myers' bit-parallel distance decides about the rest.
+pieces in one walk over each whole text; each hit names a diagonal where the item
+would stand, and diagonals that meet become one span.  There the pigeonhole is
+asked again with twice as many pieces, of which at most e may be missing; so items
+that share an opening are told apart without a distance.  Myers' bit-parallel
+distance goes over what is left, once a span, so that a text that repeats a piece
+takes time linear in its length.
 
 Items are taken in blocks of at most BLOCK_CHARS characters, each a broadcast of
 that bound; every block meets all rows.  The benchmark may so grow without limit.
@@ -60,10 +62,11 @@ def pieces(item: str, n: int) -> list[tuple[int, str]]:
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def best_match(pattern: str, text: str, most: int) -> tuple[int, int] | None:
-    """(distance, end) of the substring of text nearest to pattern, if within `most` edits.
+def best_match(pattern: str, text: str, most: int, enough: int = 0) -> tuple[int, int] | None:
+    """(distance, end) of the substring of text nearest to pattern, if within `most` edits; the first of equal ones.
 
-    Myers' algorithm: a column of the edit matrix is two bit vectors of vertical steps.
+    Myers' algorithm: a column of the edit matrix is two bit vectors of vertical
+    steps.  The search ends at the first substring within `enough` edits.
     """
     m = len(pattern)
     where: dict[str, int] = {}
@@ -84,6 +87,8 @@ def best_match(pattern: str, text: str, most: int) -> tuple[int, int] | None:
         down = right_up & (eq | down)
         if score <= most and (best is None or score < best[0]):
             best = (score, end)
+            if score <= enough:
+                break
     return best
 
 
@@ -94,66 +99,99 @@ class Matcher:
         import ahocorasick
 
         self.items, self.budget = items, [budget(len(t), error_rate) for _, t in items]
-        self.fine: dict[int, list[tuple[int, str]]] = {}
+        self.fine: dict[int, list[str]] = {}
         self.find = ahocorasick.Automaton()
-        at: dict[str, list[tuple[int, int]]] = {}
+        at: dict[str, dict[int, tuple[int, int]]] = {}
         for k, (_, text) in enumerate(items):
             for offset, piece in pieces(text, self.budget[k] + 1):
-                at.setdefault(piece, []).append((k, offset))
-        for piece, uses in at.items():
-            self.find.add_word(piece, (len(piece), uses))
+                uses = at.setdefault(piece, {})
+                uses[k] = (uses[k][0], offset) if k in uses else (offset, offset)
+        #: of each different piece: its size, the item length up to which its places make one span, and (item, first and last offset)
+        self.uses = [(len(piece), min(len(items[k][1]) for k in uses), [(k, *o) for k, o in uses.items()]) for piece, uses in at.items()]
+        for number, piece in enumerate(at):
+            self.find.add_word(piece, number)
         self.any = bool(at)
         if self.any:
             self.find.make_automaton()
 
-    def _may_stand(self, k: int, text: str, begin: int) -> bool:
-        """Whether at most e of 2e + 2 pieces of item k are missing around their places on this diagonal."""
+    def _spans(self, text: str) -> dict[int, list[list[int]]]:
+        """For each item with a piece in the text, the stretches where it may stand, apart and in order.
+
+        Places of a piece that lie closer than an item is long are taken together
+        first, so a text that repeats a piece costs one step a place and not one for
+        each place, item and offset.
+        """
+        places: dict[int, list[list[int]]] = {}
+        uses = self.uses
+        for last, number in self.find.iter(text):
+            got = places.get(number)
+            if got is None:
+                places[number] = [[last, last]]
+            elif last - got[-1][1] <= uses[number][1]:
+                got[-1][1] = last
+            else:
+                got.append([last, last])
+        found: dict[int, list[list[int]]] = {}
+        for number, stretches in places.items():
+            size, _, mine = uses[number]
+            for k, low, high in mine:
+                most, length = self.budget[k], len(self.items[k][1])
+                found.setdefault(k, []).extend([max(0, a - size + 1 - high - most), min(len(text), b - size + 1 - low + length + most)] for a, b in stretches)
+        for k, spans in found.items():
+            spans.sort()
+            out = spans[:1]
+            for lo, hi in spans[1:]:
+                if lo <= out[-1][1]:
+                    out[-1][1] = max(out[-1][1], hi)
+                else:
+                    out.append([lo, hi])
+            found[k] = out
+        return found
+
+    def _may_stand(self, k: int, text: str, lo: int, hi: int) -> bool:
+        """Whether at most e of 2e + 2 pieces of item k are missing between lo and hi."""
         most = self.budget[k]
         fine = self.fine.get(k)
         if fine is None:
-            fine = self.fine[k] = pieces(self.items[k][1], min(2 * most + 2, len(self.items[k][1])))
+            fine = self.fine[k] = [piece for _, piece in pieces(self.items[k][1], min(2 * most + 2, len(self.items[k][1])))]
         missing = 0
-        for offset, piece in fine:
-            if text.find(piece, max(0, begin + offset - most), max(0, begin + offset + len(piece) + most)) < 0:
+        for piece in fine:
+            if text.find(piece, lo, hi) < 0:
                 missing += 1
                 if missing > most:
                     return False
         return True
 
+    def _nearest(self, k: int, text: str, spans: list[list[int]], enough: int) -> tuple[int, int] | None:
+        """(distance, end) of the passage of a text nearest to item k, the first of equal ones; any passage within `enough` will do."""
+        item, most = self.items[k][1], self.budget[k]
+        if len(item) < MIN_CHARS:
+            at = f" {text} ".find(f" {item} ")
+            return None if at < 0 else (0, at + len(item))
+        for lo, hi in spans:
+            at = text.find(item, lo, hi)
+            if at >= 0:
+                return 0, at + len(item)
+        best = None
+        for lo, hi in spans:
+            if most and self._may_stand(k, text, lo, hi):
+                got = best_match(item, text[lo:hi], most, max(1, enough))
+                if got:
+                    best, most = (got[0], lo + got[1]), got[0] - 1
+                    if best[0] <= enough:
+                        break
+        return best
+
     def matches(self, text: str) -> list[tuple[int, int, int]]:
         """(item's place, distance, end in the text) for each item found, its nearest passage."""
-        found: dict[int, tuple[int, int]] = {}
-        checked: dict[int, list[tuple[int, int]]] = {}
         if not self.any or not text:
             return []
-        for last, (size, uses) in self.find.iter(text):
-            for k, offset in uses:
-                if k in found and not found[k][0]:
-                    continue
-                item, most, begin = self.items[k][1], self.budget[k], last - size + 1 - offset
-                if len(item) < MIN_CHARS:
-                    if (begin == 0 or text[begin - 1] == " ") and text[last + 1 : last + 2] in ("", " "):
-                        found[k] = (0, last + 1)
-                    continue
-                lo, hi = max(0, begin - most), min(len(text), begin + len(item) + most)
-                spans = checked.setdefault(k, [])
-                if any(a <= lo and hi <= b for a, b in spans[-4:]):
-                    continue
-                if begin >= 0 and text.startswith(item, begin):
-                    found[k] = (0, begin + len(item))
-                    continue
-                if not self._may_stand(k, text, begin):
-                    spans.append((lo, hi))
-                    continue
-                lo, hi = max(0, lo - most), min(len(text), hi + most)
-                spans.append((lo, hi))
-                got = best_match(item, text[lo:hi], most)
-                if got and (k not in found or got[0] < found[k][0]):
-                    found[k] = (got[0], lo + got[1])
-        return [(k, d, e) for k, (d, e) in sorted(found.items())]
+        got = ((k, self._nearest(k, text, spans, 0)) for k, spans in self._spans(text).items())
+        return sorted((k, *near) for k, near in got if near)
 
     def any_in(self, text: str) -> bool:
-        return bool(self.matches(text))
+        """Whether an item stands in the text within its budget; the first passage found decides."""
+        return self.any and bool(text) and any(self._nearest(k, text, spans, self.budget[k]) for k, spans in self._spans(text).items())
 
 
 def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple[int | None, str]]]:

@@ -270,6 +270,41 @@ def test_decontamination_of_items_with_one_opening():
     assert time.perf_counter() - began < 1
 
 
+@pytest.mark.parametrize("unit", ["ab " * 30 + "zq ", "ab " * 37 + "zqzqzq ", "ab ", "a"])
+def test_decontamination_of_long_repetitive_texts(unit):
+    text = decontaminate.normal(unit * (1_000_000 // len(unit)))
+    matcher = decontaminate.Matcher([(1, ("ab " * 40).strip()), (2, "a" * 200), (3, "ab ab")])
+    began = time.perf_counter()
+    got = {k for k, _, _ in matcher.matches(text)}
+    assert got == ({1} if unit == "a" else {0, 2}) and matcher.any_in(text)
+    assert time.perf_counter() - began < 15
+
+
+def test_decontamination_remembers_every_place():
+    """The only passage within budget comes after many places of the same pieces that are not."""
+    rng = random.Random(8)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    near = item[:60] + "zz" + item[62:]
+    text = " ".join([item[:50] + " nothing else here"] * 40 + [near] + [item[100:150] + " and more"] * 40)
+    matcher = decontaminate.Matcher([(7, item), (8, item[::-1])])
+    (found,) = matcher.matches(text)
+    assert found[:2] == (0, decontaminate.best_match(item, near, 10)[0]) and text[: found[2]].endswith(near[-20:])
+    assert matcher.any_in(text) and not matcher.any_in(text.replace(near, ""))
+
+
+def test_decontamination_columns_lengths_and_repeats(spark):
+    rng = random.Random(3)
+    item = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(30))
+    long = "x y " * 100_000 + item
+    extra = ["distance", "item_id", "_0", "begin"]
+    docs = spark.createDataFrame([(1, long), (1, long), (None, item.upper()), (2, "x y " * 100_000), (3, None), (4, "")], "doc_id long, text string").select("*", *(F.lit("x").alias(c) for c in extra))
+    bench = spark.createDataFrame([(5, item), (5, item), (6, None), (7, " ?! ")], "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = decontaminate.matches(docs, bench).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.distance, r.end - r.begin) for r in got) == [("1", 5, 0, len(item))] * 2 + [("None", 5, 0, len(item))]
+    kept = decontaminate.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 4]
+
+
 def test_myers_distance_equals_the_matrix():
     rng = random.Random(1)
     for _ in range(400):
