@@ -154,3 +154,33 @@ def minimal(blocks: Column) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(block), F.lit(1))), F.concat(stack, F.array(block)), lambda s, _: F.when(F.coalesce(halves(s), F.lit(False)), joined(s)).otherwise(s))
 
     return F.aggregate(F.array_sort(blocks), F.array().cast("array<string>"), push)
+
+
+def range_networks(version: Column, low: Column, after: Column) -> Column:
+    """The least list of networks, as leading bits in address order, of the addresses from low up to before `after`.
+
+    Both are all bits of an address; `after` may be '2', the end of the address
+    space.  Below the common beginning of both, each 0 of low before its trailing
+    zeros and each 1 of `after` is one network, so there are at most two a bit.
+    No address gives an empty list.
+    """
+    width = F.when(version == 4, 32).otherwise(128) + 1
+
+    def networks(x: Column) -> Column:
+        lo, hi = x["lo"], x["hi"]
+        bit = lambda text, i: F.substring(text, i, F.lit(1))
+        upto = lambda text, i: F.substring(text, F.lit(1), i)
+        places = F.sequence(F.lit(1), width)
+
+        def cut(split: Column) -> Column:
+            """split: the first bit in which both differ."""
+            last = width + 1 - F.locate("1", F.reverse(lo))  # of low; its trailing zeros are one network
+            inner = F.reverse(F.filter(places, lambda i: (i > split) & (i < last) & (bit(lo, i) == "0")))
+            left = F.when(~F.substring(lo, split + 1, width).contains("1"), F.array(upto(lo, split))).otherwise(F.concat(F.array(upto(lo, last)), F.transform(inner, lambda i: F.concat(upto(lo, i - 1), F.lit("1")))))
+            right = F.transform(F.filter(places, lambda i: (i > split) & (bit(hi, i) == "1")), lambda i: F.concat(upto(hi, i - 1), F.lit("0")))
+            return F.transform(F.concat(left, right), lambda b: F.substring(b, F.lit(2), width))
+
+        return F.when(lo < hi, let(F.array_position(F.transform(places, lambda i: bit(lo, i) != bit(hi, i)), F.lit(True)).cast("int"), cut)).otherwise(F.array().cast("array<string>"))
+
+    ends = F.struct(F.concat(F.lit("0"), low).alias("lo"), F.when(after == "2", F.rpad(F.lit("1"), width, "0")).otherwise(F.concat(F.lit("0"), after)).alias("hi"))
+    return let(ends, networks)

@@ -11,10 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftledger.checkpoints import kept
+from driftledger.checkpoints import kept, written
 from driftledger.functions.addresses import minimal, n_addresses
 from driftledger.functions.scalars import jaccard, percent_change
 from driftledger.operators.intervals import addresses, containing, disjoint, meeting
@@ -113,25 +115,39 @@ class Study:
         pairs = F.flatten(F.transform("d", lambda a, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda b: F.struct(a.alias("previous_date"), b.alias("current_date")))))
         return days.select(F.explode(pairs).alias("p")).select("p.*")
 
-    def _common(self, adjacent: bool) -> DataFrame:
-        """Keys that two days share, by source, and how many entered or left a scope between them.
-
-        Adjacent days meet by an equality join; all pairs come from each key's own array of days.
-        """
-        if adjacent:
-            later = self.flagged.select(F.date_sub("day", 1).alias("day"), "source", "indicator_type", "indicator", F.struct("in_full", "in_any").alias("y"))
-            both = self.flagged.withColumn("x", F.struct("in_full", "in_any")).join(later, ["day", "source", "indicator_type", "indicator"]).select("source", F.lit(1).cast("long").alias("w"), F.col("day").alias("previous_date"), F.date_add("day", 1).alias("current_date"), "x", "y")
-        else:
-            # keys of one history are counted before its pairs are made
-            seen = self.flagged.groupBy("source", "indicator_type", "indicator").agg(F.array_sort(F.collect_list(F.struct("day", "in_full", "in_any"))).alias("d")).groupBy("source", "d").agg(F.count(F.lit(1)).alias("w"))
-            pairs = F.flatten(F.transform("d", lambda x, i: F.transform(F.slice("d", i + 2, F.size("d")), lambda y: F.struct(x.alias("x"), y.alias("y")))))
-            both = seen.select("source", "w", F.explode(pairs).alias("p")).select("source", "w", F.col("p.x.day").alias("previous_date"), F.col("p.y.day").alias("current_date"), "p.x", "p.y")
-        n = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
-        found = [F.sum("w").alias("c_all"), F.lit(0).cast("long").alias("e_all"), F.lit(0).cast("long").alias("l_all")]
+    def _common(self) -> DataFrame:
+        """Keys that adjacent days share, by source, and how many entered or left a scope between them."""
+        key = ["source", "indicator_type", "indicator"]
+        later = self.flagged.select(F.date_sub("day", 1).alias("day"), *key, F.struct("in_full", "in_any").alias("y"))
+        both = self.flagged.withColumn("x", F.struct("in_full", "in_any")).join(later, ["day", *key])
+        found = [F.count(F.lit(1)).alias("c_all"), F.lit(0).cast("long").alias("e_all"), F.lit(0).cast("long").alias("l_all")]
         for s in ("full", "any"):
             x, y = F.col(f"x.in_{s}"), F.col(f"y.in_{s}")
-            found += [n(x & y).alias(f"c_{s}"), n(y & ~x).alias(f"e_{s}"), n(x & ~y).alias(f"l_{s}")]
-        return both.groupBy("source", "previous_date", "current_date").agg(*found)
+            found += [F.count_if(x & y).alias(f"c_{s}"), F.count_if(y & ~x).alias(f"e_{s}"), F.count_if(x & ~y).alias(f"l_{s}")]
+        return both.groupBy("source", F.col("day").alias("previous_date"), F.date_add("day", 1).alias("current_date")).agg(*found)
+
+    def _common_of_all_pairs(self) -> DataFrame:
+        """The same for every two observed days of a source, without pairing the days of a key.
+
+        A key's history is the set of its source's observed days on which it is
+        listed, and of those on which it is in each scope; keys of one history are
+        counted first.  Histories as rows of bits over the days, times their
+        counts, multiplied by themselves, give the keys of every pair.  A source's
+        histories are dealt to tasks of HISTORIES each; a task holds tables of days
+        by days, at most 3,660 a side.
+        """
+        line = Window.partitionBy("source").orderBy("day")
+        places = self.usable.select("source", "day").distinct().withColumn("place", F.row_number().over(line) - 1)
+        listed = self.flagged.join(places, ["source", "day"]).groupBy("source", "indicator_type", "indicator").agg(F.array_sort(F.collect_list(F.struct("place", "in_full", "in_any"))).alias("d"))
+        on = {"all": F.col("d"), "full": F.filter("d", lambda x: x["in_full"]), "any": F.filter("d", lambda x: x["in_any"])}
+        histories = written(listed.select("source", *(F.transform(d, lambda x: x["place"]).alias(f"in_{s}") for s, d in on.items())).groupBy("source", "in_all", "in_full", "in_any").agg(F.count(F.lit(1)).alias("w")))
+        salts = -(-max(1, histories.count()) // HISTORIES)
+        dealt = histories.withColumn("salt", F.pmod(F.xxhash64("in_all", "in_full", "in_any"), F.lit(salts)).cast("int"))
+        grid = places.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<int>")))
+        sums = grid.groupBy("source", "salt").cogroup(dealt.groupBy("source", "salt")).applyInArrow(_multiplied, _PAIR_COUNTS)
+        if salts > 1:
+            sums = sums.groupBy("source", "previous_date", "current_date").agg(*(F.sum(c).alias(c) for c in sums.columns[3:]))
+        return sums
 
     def compare(self, adjacent: bool = True) -> DataFrame:
         """Every pair of days, source and scope: what came and went, and whether the feed or the registry moved."""
@@ -140,7 +156,7 @@ class Study:
         sizes = self.flagged.groupBy("day", "source").agg(*(F.count_if(f"in_{s}").alias(f"n_{s}") for s in ("all", "full", "any")))
         state = self.usable.join(sizes, ["day", "source"], "left").fillna(0, ["n_all", "n_full", "n_any"])
         side = lambda p, d: state.select("source", F.col("day").alias(d), F.struct("evidence", "n_all", "n_full", "n_any").alias(p))
-        rows = grid.join(side("x", "previous_date"), ["source", "previous_date"], "left").join(side("y", "current_date"), ["source", "current_date"], "left").join(self._common(adjacent), ["source", "previous_date", "current_date"], "left")
+        rows = grid.join(side("x", "previous_date"), ["source", "previous_date"], "left").join(side("y", "current_date"), ["source", "current_date"], "left").join(self._common() if adjacent else self._common_of_all_pairs(), ["source", "previous_date", "current_date"], "left")
         both = F.col("x").isNotNull() & F.col("y").isNotNull()
         scopes = []
         for name, flag in SCOPES:
@@ -299,6 +315,36 @@ class Study:
         )
 
 
+#: Histories of a source that one task multiplies, about, and those of one product.
+HISTORIES, BLOCK = 200_000, 2048
+_PAIR_COUNTS = "source string, previous_date date, current_date date, " + ", ".join(f"{k}_{s} long" for s in ("all", "full", "any") for k in "cel")
+
+
+def _multiplied(key: tuple, places: pa.Table, histories: pa.Table) -> pa.Table:
+    """The counts of every two days of a source; they stay exact, as they are under 2^53."""
+    days = places.sort_by("place").column("day").combine_chunks()
+    n = len(days)
+    sums = {pair: np.zeros((n, n)) for pair in (("all", "all"), ("full", "full"), ("all", "full"), ("any", "any"), ("all", "any"))}
+    for at in range(0, histories.num_rows, BLOCK):
+        part = histories.slice(at, BLOCK)
+        bits = {}
+        for s in ("all", "full", "any"):
+            lists = part.column(f"in_{s}").combine_chunks()
+            bits[s] = np.zeros((len(lists), n))
+            bits[s][np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy()] = 1
+        weight = part.column("w").to_numpy()[:, None]
+        for x, y in sums:
+            sums[x, y] += (bits[x] * weight).T @ bits[y]
+    first, second = np.triu_indices(n, 1)
+    none = np.zeros(len(first), dtype=np.int64)
+    counts = [sums["all", "all"][first, second].astype(np.int64), none, none]
+    for s in ("full", "any"):
+        both, one = sums[s, s][first, second], sums["all", s]
+        counts += [x.astype(np.int64) for x in (both, one[first, second] - both, one[second, first] - both)]
+    rows = pa.table([pa.repeat(key[0], len(first)), days.take(pa.array(first)), days.take(pa.array(second)), *map(pa.array, counts)], names=[c.split()[0] for c in _PAIR_COUNTS.split(", ")])
+    return pa.Table.from_batches(rows.to_batches(max_chunksize=100_000), rows.schema)
+
+
 def large_changes(compared: DataFrame, least_percent: float = 40.0) -> DataFrame:
     """Rows of the whole feed whose count moved by so many percent: to be looked at before they are explained."""
     return compared.where((F.col("scope") == "GLOBAL_IP_CIDR") & (F.abs("percent_change") >= least_percent))

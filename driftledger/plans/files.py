@@ -11,7 +11,7 @@ from driftledger.functions.addresses import parsed
 from driftledger.operators import catalog, quality, snapshots, summary
 from driftledger.operators.study import Study
 from driftledger.plans import adapter
-from driftledger.plans.queries import CURRENT, Query, a1_daily_summary, log, observations, selection, study
+from driftledger.plans.queries import CURRENT, Query, a1_daily_summary, log, observations, selection, study, study_of
 from driftledger.schemas import DAILY_SUMMARY
 from driftledger.sources import feeds, sinks
 from driftledger.sources import registry as dated_registry
@@ -140,7 +140,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = F.when((F.col("version") == 1) | (F.col("n") % 9 == 7), F.lit("0")).otherwise(F.sha2("content", 256))
     text = lambda c: F.col(c).cast("string")
     meta = files.withColumn("version", F.explode(F.array(F.lit(1), F.lit(2)))).select(
-        F.lit("DK").alias("country"), text("day").alias("requested_date"), text("day").alias("query_time"), text("day").alias("retrieved_at_utc"), F.lit("").alias("url"),
+        F.when(F.col("n") % 13 == 11, "SE").otherwise("DK").alias("country"), text("day").alias("requested_date"), text("day").alias("query_time"), text("day").alias("retrieved_at_utc"), F.lit("").alias("url"),
         F.when(F.col("n") % 12 == 10, "lost.json").otherwise(F.concat(text("day"), F.lit(".json"))).alias("response_file"), digest.alias("sha256"), F.lit(1).alias("ipv4_prefixes"), F.lit(1).alias("ipv6_prefixes"),
         F.concat(F.lit("/lake/registry/"), text("day"), F.lit("_v"), text("version"), F.lit(".meta.json")).alias("metadata_path"),
     )
@@ -152,7 +152,7 @@ def s12_registry_checks(spark, sf_dir):
 
 
 def s11_registry_networks(spark, sf_dir):
-    """Networks of usable evidence by day and version. A day with a network that has host bits gives none."""
+    """Networks of usable evidence by day and version. A response with a network that has host bits is refused as a whole."""
     nets = dated_registry.networks(evidence(spark, sf_dir))
     return nets.groupBy(F.col("day").cast("string").alias("day"), "version").agg(F.count(F.lit(1)).alias("networks"))
 
@@ -237,10 +237,26 @@ def k7_one_day(spark, sf_dir):
     return read_csv(spark, path, DAILY_SUMMARY).select("source", "snapshot_day", "unique_indicators", "raw_rows")
 
 
+def _study_issues(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Study]:
+    rows, found, chosen = selection(spark, sf_dir)
+    s = study_of(spark, sf_dir, rows, found, chosen)
+    return quality.issues(chosen, found, log(spark, sf_dir), s.daily(), s.compare(), evidence(spark, sf_dir)), s
+
+
+def q8_issues(spark, sf_dir):
+    """The issue log of the study, with evidence that had to be refused."""
+    return _study_issues(spark, sf_dir)[0].groupBy("severity", "code", "date", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def a16_study_status(spark, sf_dir):
+    found, s = _study_issues(spark, sf_dir)
+    return quality.study_status(found, s.complete_days())
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        a17_comparison_coverage, a19_status_counts, c5_snapshot_ids, c19_portable_paths, c21_run_kinds, d10_evidence_index, f10_runs_of_day, f11_study_window, j11_raw_files, j12_logged_files, k1_written_table, k2_split_tables,
-        k3_sources_apart, k4_empty_table, k4_exported_summary, k7_one_day, q3_outputs, q4_runs, q5_overall, q10_changed_inputs, s4_feed_formats, s7_parse_notes, s11_registry_networks, s12_registry_checks, w10_newest_runs, x6_expected_sources,
+        a16_study_status, a17_comparison_coverage, a19_status_counts, c5_snapshot_ids, c19_portable_paths, c21_run_kinds, d10_evidence_index, f10_runs_of_day, f11_study_window, j11_raw_files, j12_logged_files, k1_written_table, k2_split_tables,
+        k3_sources_apart, k4_empty_table, k4_exported_summary, k7_one_day, q3_outputs, q4_runs, q5_overall, q8_issues, q10_changed_inputs, s4_feed_formats, s7_parse_notes, s11_registry_networks, s12_registry_checks, w10_newest_runs, x6_expected_sources,
     )
 }

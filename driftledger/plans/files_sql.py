@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from driftledger.plans import adapter
-from driftledger.plans.oracle import _DAILY, _DAILY_STUDY, _SELECT, _STUDY, _q
+from driftledger.plans.oracle import _COMPLETE, _DAILY, _DAILY_STUDY, _ISSUES, _SELECT, _STUDY, EVIDENCE, _q
 
 _FILES = adapter.ctes(raw=adapter.RAW_FILES, runs=adapter.RUNS, outs=adapter.OUTPUTS, feed=adapter.FEED_LINES)
 _AT = "substr(stamp, 1, 4) || '-' || substr(stamp, 5, 2) || '-' || substr(stamp, 7, 5) || ':' || substr(stamp, 12, 2) || ':' || substr(stamp, 14)"
@@ -25,12 +25,7 @@ _LOGGED = " UNION ALL ".join(
 )
 _OUTPUTS = " UNION ALL ".join((_check("outputs exist", "o.path", "FROM outs o WHERE o.path NOT IN (SELECT path FROM raw)"), _check("output digests", "o.path", "FROM outs o JOIN raw f ON f.path = o.path WHERE f.sha256 <> o.sha256")))
 _RUNS = " UNION ALL ".join((_check("run states", "run_id", "FROM runs WHERE status = 'broken'"), _check("run folders", "run_id", "FROM runs WHERE folder <> run_id", "WARN")))
-
-_EVIDENCE = """
-dates AS (SELECT CAST(day AS VARCHAR) AS d, day(day) AS n, count(DISTINCT prefix) AS c FROM reg GROUP BY day),
-told AS (SELECT *, CASE WHEN n % 12 = 10 THEN 'response file is missing' WHEN n % 9 = 7 THEN 'response digest differs' WHEN n % 6 = 2 THEN 'response is not successful' WHEN n % 8 = 5 THEN 'query date differs from the day'
-  WHEN n % 10 = 6 THEN 'another country' WHEN n % 7 = 3 THEN 'both address families need networks' ELSE '' END AS problem, '/lake/registry/' || d || '_v2.meta.json' AS meta FROM dates)
-"""
+_ALL_ISSUES = "SELECT * FROM issues UNION ALL SELECT 'WARN', 'invalid_evidence_cache', d, '' FROM told WHERE problem <> ''"
 
 
 def _files(parts: str, select: str) -> str:
@@ -55,15 +50,20 @@ st AS (SELECT m AS log_match, t.*, CASE WHEN f.path IS NULL THEN 'raw_file_not_f
     "q3_outputs": _files("", _OUTPUTS),
     "q4_runs": _files("", _RUNS),
     "q5_overall": _files("", f"SELECT CASE WHEN count(*) FILTER (WHERE status = 'FAIL') > 0 THEN 'failed' WHEN count(*) FILTER (WHERE status = 'WARN') > 0 THEN 'passed_with_warnings' ELSE 'passed' END AS status, count(*) AS checks FROM ({_LOGGED} UNION ALL {_OUTPUTS} UNION ALL {_RUNS})"),
+    "q8_issues": _q(f"{_STUDY},{_ISSUES},{EVIDENCE}", f"SELECT severity, code, date, source, count(*) AS n FROM ({_ALL_ISSUES}) GROUP BY ALL"),
+    "a16_study_status": _q(
+        f"{_STUDY},{_ISSUES},{EVIDENCE}, {_COMPLETE}",
+        f"SELECT e AS errors, w AS warnings, d AS complete_days, CASE WHEN e > 0 THEN 'blocked' WHEN d < 30 THEN 'interim' ELSE 'month_scale' END AS readiness FROM (SELECT count(*) FILTER (WHERE severity = 'ERROR') AS e, count(*) FILTER (WHERE severity = 'WARN') AS w FROM ({_ALL_ISSUES})), (SELECT count(*) AS d FROM complete)",
+    ),
     "q10_changed_inputs": _files("", "SELECT coalesce(o.path, f.path) AS path FROM (SELECT path, sha256 FROM outs) o FULL JOIN raw f ON f.path = o.path WHERE o.sha256 IS DISTINCT FROM f.sha256"),
     "a17_comparison_coverage": _files("", "SELECT previous_day, current_day, generated_at_utc, run_id, status, missing AS missing_sources, versions FROM (SELECT *, count(*) OVER (PARTITION BY current_day) AS versions FROM runs WHERE previous_day <> '') QUALIFY row_number() OVER (PARTITION BY current_day ORDER BY generated_at_utc DESC) = 1"),
     "a19_status_counts": _files("", "SELECT (SELECT count(*) FROM obs) AS observation_rows, (SELECT count(DISTINCT substr(retrieved_at_utc, 1, 10)) FROM obs) AS days, count(*) AS runs, count(DISTINCT current_day) FILTER (WHERE previous_day <> '') AS comparisons FROM runs"),
     "c21_run_kinds": _files("", "SELECT run_id, CASE collection_status WHEN 'succeeded' THEN 'daily collection' WHEN 'skipped' THEN 'replay' WHEN 'failed' THEN 'collection failed' ELSE 'pipeline run' END AS kind, current_day AS run_day, CASE WHEN run_id LIKE '%am' THEN '06:00:00' ELSE '18:00:00' END AS run_time, status FROM runs"),
     "w10_newest_runs": _files("", "SELECT row_number() OVER (ORDER BY generated_at_utc DESC) AS place, run_id, generated_at_utc FROM runs"),
     "f10_runs_of_day": _files("", "SELECT run_id, status, n_rows FROM runs WHERE current_day = '2024-01-14'"),
-    "s12_registry_checks": _q(_EVIDENCE, "SELECT d AS requested_date, meta AS metadata_path, problem FROM told"),
-    "s11_registry_networks": _q(_EVIDENCE, "SELECT d AS day, 4 AS version, c AS networks FROM told WHERE problem = '' AND n % 11 <> 4 UNION ALL SELECT d, 6, 1 FROM told WHERE problem = '' AND n % 11 <> 4"),
-    "d10_evidence_index": _q(_EVIDENCE, "SELECT 'DK' AS country, d AS requested_date, d || '.json' AS response_file, meta AS metadata_path, '/lake/registry/' || d || '.json' AS response_path FROM told WHERE problem = ''"),
+    "s12_registry_checks": _q(EVIDENCE, "SELECT d AS requested_date, meta AS metadata_path, problem FROM told"),
+    "s11_registry_networks": _q(EVIDENCE, "SELECT d AS day, 4 AS version, c AS networks FROM told WHERE problem = '' UNION ALL SELECT d, 6, 1 FROM told WHERE problem = ''"),
+    "d10_evidence_index": _q(EVIDENCE, "SELECT 'DK' AS country, d AS requested_date, d || '.json' AS response_file, meta AS metadata_path, '/lake/registry/' || d || '.json' AS response_path FROM told WHERE problem = ''"),
     "x6_expected_sources": _q(f"{_STUDY},{_DAILY_STUDY}", "SELECT source, count(*) AS days, count(*) FILTER (WHERE status = 'usable') AS usable_days, sum(global_ip_cidr)::BIGINT AS keys, 0::BIGINT AS complete_days FROM sdaily GROUP BY source UNION ALL SELECT 'expected_feed', 30, 0, NULL, 0"),
     "f11_study_window": _q(
         "e AS (SELECT min(CAST(substr(retrieved_at_utc, 1, 10) AS DATE)) AS a, max(CAST(substr(retrieved_at_utc, 1, 10) AS DATE)) AS b FROM obs), w AS (SELECT 'default' AS window, a, b FROM e UNION ALL SELECT 'from a day', DATE '2024-01-14', b FROM e)",

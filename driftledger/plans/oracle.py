@@ -106,6 +106,18 @@ fl AS (SELECT day, source, indicator_type, indicator, label = 'DK_FULL' AS f, la
 grid AS (SELECT day, source FROM cal CROSS JOIN srcs)
 """
 
+_LEVELS = "lv AS (SELECT unnest(range(0, 33)) AS k)"
+_CIDR = "(w // 16777216) || '.' || (w // 65536 % 256) || '.' || (w // 256 % 256) || '.' || (w % 256) || '/' || (32 - k)"
+
+
+def _least_list(ranges: str, keys: str = "day") -> str:
+    """Aligned blocks that fit into a range and whose enclosing block does not."""
+    # a block whose enclosing one does not fit lies next to one of the ends
+    return f"""whole AS (SELECT {keys}, lo, hi, k, (lo + (1::BIGINT << k) - 1) // (1::BIGINT << k) AS x, (hi + 1) // (1::BIGINT << k) AS y FROM ({ranges}) CROSS JOIN lv),
+piece AS (SELECT DISTINCT {keys}, lo, hi, k, b FROM (SELECT *, unnest([x, x + 1, y - 1, y - 2]) AS b FROM whole) WHERE b >= x AND b < y),
+least_list AS (SELECT {keys}, k, b * (1::BIGINT << k) AS w FROM piece WHERE NOT ((b // 2) * (2::BIGINT << k) >= lo AND (b // 2 + 1) * (2::BIGINT << k) - 1 <= hi))"""
+
+
 #: Single addresses that a source covers in scope on a day: small data only, where counting them is the plainest check.
 _HOSTS = "hosts AS (SELECT DISTINCT day, source, unnest(range(lo, hi + 1)) AS h FROM hit)"
 
@@ -154,6 +166,14 @@ issues AS (
   UNION ALL SELECT 'WARN', 'download_not_in_normalized_input', day, source FROM unseen
   UNION ALL SELECT 'WARN', 'collection_attempt_not_successful', substr(retrieved_at_utc, 1, 10), source FROM rawlog WHERE NOT (lower(status) = 'ok' AND http_status = '200'))"""
 
+#: Refused registry responses, by the rule of their making.
+EVIDENCE = """
+dates AS (SELECT CAST(day AS VARCHAR) AS d, day(day) AS n, count(DISTINCT prefix) AS c FROM reg GROUP BY day),
+told AS (SELECT *, CASE WHEN n % 12 = 10 THEN 'response file is missing' WHEN n % 9 = 7 THEN 'response digest differs' WHEN n % 13 = 11 THEN 'metadata of another country' WHEN n % 6 = 2 THEN 'response is not successful'
+  WHEN n % 8 = 5 THEN 'query date differs from the day' WHEN n % 10 = 6 THEN 'another country' WHEN n % 7 = 3 THEN 'both address families need networks' WHEN n % 11 = 4 THEN 'a network is not valid' ELSE '' END AS problem,
+  '/lake/registry/' || d || '_v2.meta.json' AS meta FROM dates)
+"""
+
 _COMPLETE = "complete AS (SELECT day FROM usable WHERE evidence GROUP BY day HAVING count(DISTINCT source) = (SELECT count(*) FROM srcs))"
 
 
@@ -261,17 +281,17 @@ dx AS (SELECT day, source, count(*) FILTER (WHERE a) AS n FROM fl GROUP BY ALL)"
         "SELECT CAST(g.day AS VARCHAR) AS day, g.source, c.day IS NOT NULL AS normalized_snapshot_available, u.day IS NOT NULL AS snapshot_usable, coalesce(u.evidence, false) AS dated_evidence, CASE WHEN c.day IS NULL THEN 'missing' ELSE 'raw_file_not_found' END AS raw_status, "
         "CASE WHEN c.day IS NULL THEN 'no_normalized_snapshot' ELSE c.blocked END AS reason FROM grid g LEFT JOIN chosen c ON CAST(c.day AS DATE) = g.day AND c.source_name = g.source LEFT JOIN usable u ON u.day = g.day AND u.source = g.source",
     ),
-    "q8_issues": _q(f"{_STUDY},{_ISSUES}", "SELECT severity, code, date, source, count(*) AS n FROM issues GROUP BY ALL"),
-    "a16_study_status": _q(
-        f"{_STUDY},{_ISSUES}, {_COMPLETE}",
-        "SELECT e AS errors, w AS warnings, d AS complete_days, CASE WHEN e > 0 THEN 'blocked' WHEN d < 30 THEN 'interim' ELSE 'month_scale' END AS readiness FROM (SELECT count(*) FILTER (WHERE severity = 'ERROR') AS e, count(*) FILTER (WHERE severity = 'WARN') AS w FROM issues), (SELECT count(*) AS d FROM complete)",
-    ),
     "q9_identities": "SELECT 0::BIGINT AS broken",
     "w5_merged_ranges": _q(_STUDY, "SELECT CAST(day AS VARCHAR) AS day, lo AS low, hi - lo + 1 AS addresses FROM merged"),
     "c20_minimal": _q(
         f"{_STUDY}, lv AS (SELECT unnest(range(0, 33)) AS k), fit AS (SELECT day, lo, hi, k, greatest((hi + 1) // (1::BIGINT << k) - (lo + (1::BIGINT << k) - 1) // (1::BIGINT << k), 0) AS n FROM merged CROSS JOIN lv)",
         "SELECT CAST(day AS VARCHAR) AS day, (sum(n) - 2 * sum(n) FILTER (WHERE k > 0))::BIGINT AS networks, (sum(n) FILTER (WHERE k = 0))::BIGINT AS addresses FROM fit GROUP BY day",
     ),
+    "c20_range_networks": _q(f"{_STUDY}, {_LEVELS}, {_least_list('SELECT day, lo, hi FROM merged')}", f"SELECT CAST(day AS VARCHAR) AS day, {_CIDR} AS network FROM least_list"),
+    "c20_feed_spans": _q(
+        f"{_MACROS}, {_LEVELS}, {_least_list('SELECT source_name, substr(retrieved_at_utc, 1, 10) AS day, min(lo) AS lo, max(hi) AS hi FROM obs JOIN net ON net.x = obs.indicator WHERE indicator_type = {0}ip{0} GROUP BY ALL'.format(chr(39)), 'source_name, day')}",
+        f"SELECT source_name, day, {_CIDR} AS network FROM least_list",
+    ),
     "c20_matched_networks": _q(
         f"""{_STUDY}, lv AS (SELECT unnest(range(0, 33)) AS k),
 ck AS (SELECT DISTINCT CAST(substr(retrieved_at_utc, 1, 10) AS DATE) AS day, indicator FROM obs WHERE indicator_type = 'cidr'),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftledger.checkpoints import kept
 from driftledger.functions import scalars
-from driftledger.functions.addresses import minimal, n_addresses, network_text, parsed
+from driftledger.functions.addresses import minimal, n_addresses, network_text, parsed, range_networks
 from driftledger.operators import compare, evidence, intervals, quality, snapshots, summary
 from driftledger.operators.study import Study, classify, large_changes
 from driftledger.plans import adapter
@@ -43,10 +43,10 @@ def selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
-    return _study(spark, sf_dir, *selection(spark, sf_dir))
+    return study_of(spark, sf_dir, *selection(spark, sf_dir))
 
 
-def _study(spark: SparkSession, sf_dir: str, rows: DataFrame, _: DataFrame, chosen: DataFrame) -> Study:
+def study_of(spark: SparkSession, sf_dir: str, rows: DataFrame, _: DataFrame, chosen: DataFrame) -> Study:
     good = chosen.where("blocked is null").select("source_name", "day", "snapshot_id")
     keys = rows.where("not invalid").join(good, ["source_name", "day", "snapshot_id"], "left_semi").select("day", F.col("source_name").alias("source"), "indicator_type", "indicator").distinct()
     sources = rows.select(F.col("source_name").alias("source")).distinct()
@@ -175,22 +175,10 @@ def a15_complete_days(spark, sf_dir):
 
 def d8_coverage(spark, sf_dir):
     rows, found, chosen = selection(spark, sf_dir)
-    s = _study(spark, sf_dir, rows, found, chosen)
+    s = study_of(spark, sf_dir, rows, found, chosen)
     return _dates(s.coverage(chosen), "day")
 
 
-def q8_issues(spark, sf_dir):
-    rows, found, chosen = selection(spark, sf_dir)
-    s = _study(spark, sf_dir, rows, found, chosen)
-    return quality.issues(chosen, found, log(spark, sf_dir), s.daily(), s.compare()).groupBy("severity", "code", "date", "source").agg(F.count(F.lit(1)).alias("n"))
-
-
-def a16_study_status(spark, sf_dir):
-    rows, found, chosen = selection(spark, sf_dir)
-    s = _study(spark, sf_dir, rows, found, chosen)
-    return quality.study_status(quality.issues(chosen, found, log(spark, sf_dir), s.daily(), s.compare()), s.complete_days())
-
-
 def q9_identities(spark, sf_dir):
     s = study(spark, sf_dir)
     broken = quality.identities(s.compare(), s.daily())
@@ -319,6 +307,21 @@ def c20_minimal(spark, sf_dir):
     return least.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("networks"), F.sum(n_addresses(F.lit(4), F.col("bits"))).cast("long").alias("addresses"))
 
 
+def c20_range_networks(spark, sf_dir):
+    """The merged ranges of a day's registry, each cut into its least list of networks."""
+    out = intervals.merged(registry(spark, sf_dir), ["day"])
+    nets = out.select("day", "version", F.explode(range_networks(F.col("version"), F.col("low"), F.col("next"))).alias("bits"))
+    return nets.select(F.col("day").cast("string").alias("day"), network_text(F.col("version"), F.col("bits")).alias("network"))
+
+
+def c20_feed_spans(spark, sf_dir):
+    """The span from a feed's least to its greatest address of a day as networks: any range, not one made of networks."""
+    rows = observations(spark, sf_dir).where("indicator_type = 'ip'").select("source_name", F.substring("retrieved_at_utc", 1, 10).alias("day"), parsed(F.col("indicator")).alias("p"))
+    spans = rows.groupBy("source_name", "day", "p.version").agg(F.min("p.bits").alias("low"), F.max("p.bits").alias("high"))
+    nets = spans.select("source_name", "day", "version", F.explode(range_networks(F.col("version"), F.col("low"), intervals.bound_next(F.col("version"), F.col("high")))).alias("bits"))
+    return nets.select("source_name", "day", network_text(F.col("version"), F.col("bits")).alias("network"))
+
+
 def _dates(df: DataFrame, *names: str) -> DataFrame:
     """Dates as text, so that results compare across engines."""
     return df.withColumns({n: F.col(n).cast("string") for n in names})
@@ -332,9 +335,9 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         a1_daily_summary, a2_persistence, a3_source_overlap, a4_snapshot_index, a5_two_day_summary, a6_evidence_classes, a7_label_counts, a8_study_daily, a9_exclusive, a10_source_statistics, a11_frequencies, a13_dataset_profile,
-        a14_changes_by_source, a15_complete_days, a16_study_status, a18_address_changes, c1_canonical, c4_domains, c7_digests, c8_json_keys, c20_matched_networks, c20_minimal, d2_comparison_index, d3_scoped_comparison, d4_scope_changes,
+        a14_changes_by_source, a15_complete_days, a18_address_changes, c1_canonical, c4_domains, c7_digests, c8_json_keys, c20_feed_spans, c20_matched_networks, c20_minimal, c20_range_networks, d2_comparison_index, d3_scoped_comparison, d4_scope_changes,
         d5_registry_classes, d6_fixed_registry, d8_coverage, d9_chart_series, f8_large_changes, f9_first_and_last, j5_two_day_changes, j8_same_day_overlap, j13_all_pairs, m1_planned_and_done, m2_median_counts, m3_labels_by_source,
-        m4_persistence_summary, m5_in_many_sources, m6_candidates, m7_metadata_completeness, m8_enrichment_completeness, o3_top_keys, q2_observation_checks, q6_study_report, q7_readiness, q8_issues, q9_identities, q11_summary_guard,
+        m4_persistence_summary, m5_in_many_sources, m6_candidates, m7_metadata_completeness, m8_enrichment_completeness, o3_top_keys, q2_observation_checks, q6_study_report, q7_readiness, q9_identities, q11_summary_guard,
         s3_network_lines, w2_latest_snapshot, w3_selected_snapshots, w4_study_persistence, w5_merged_ranges, w6_registry_space, w7_missing_days,
     )
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from driftledger.functions.addresses import parsed
 from driftledger.functions.scalars import file_name
 
+#: The fields of a response and of its metadata.
 _RESPONSE = "status string, data struct<query_time:string, resource:string, resources:struct<ipv4:array<string>, ipv6:array<string>>>"
 _METADATA = "country string, requested_date string, query_time string, retrieved_at_utc string, url string, response_file string, sha256 string, ipv4_prefixes int, ipv6_prefixes int"
 
@@ -27,29 +28,32 @@ def dated(meta: DataFrame, responses: DataFrame) -> DataFrame:
 
 
 def checked(evidence: DataFrame, country: str = "DK") -> DataFrame:
-    """evidence with `problem`, null where the response may be used for its day."""
+    """evidence with its networks, parsed once, and `problem`, null where the response may be used for its day.
+
+    A response is refused as a whole if one of its networks does not parse, has
+    no length or has host bits.
+    """
     r = F.col("response")
     v4, v6 = r["data"]["resources"]["ipv4"], r["data"]["resources"]["ipv6"]
-    bad = F.exists(F.concat(v4, v6), lambda p: p.isNull() | ~p.contains("/"))
+    rows = evidence.withColumn("nets", F.transform(F.concat(v4, v6), lambda p: parsed(p)))
+    bad = F.exists("nets", lambda n: n.isNull() | (n["kind"] != "cidr") | n["host_bits"])
     problem = (
         F.when(F.col("response_path").isNull(), "response file is missing")
         .when(~F.col("found_sha256").eqNullSafe(F.col("sha256")), "response digest differs")
+        .when(~F.col("country").eqNullSafe(F.lit(country)), "metadata of another country")
         .when(~r["status"].eqNullSafe(F.lit("ok")), "response is not successful")
         .when(~F.substring(r["data"]["query_time"], 1, 10).eqNullSafe(F.col("requested_date")), "query date differs from the day")
         .when(F.upper(F.coalesce(r["data"]["resource"], F.lit(country))) != country, "another country")
         .when((F.coalesce(F.size(v4), F.lit(0)) < 1) | (F.coalesce(F.size(v6), F.lit(0)) < 1), "both address families need networks")
         .when(bad, "a network is not valid")
     )
-    return evidence.withColumn("problem", problem)
+    return rows.withColumn("problem", problem)
 
 
 def networks(evidence: DataFrame) -> DataFrame:
-    """(day, version, bits) of usable evidence.  A day with a network that has host bits or does not parse is left out whole."""
-    res = F.col("response.data.resources")
-    good = evidence.where("problem is null").select(F.to_date("requested_date").alias("day"), F.explode(F.concat(res["ipv4"], res["ipv6"])).alias("prefix"))
-    rows = good.withColumn("p", parsed(F.col("prefix")))
-    wrong = rows.where("p is null or p.host_bits or p.kind <> 'cidr'").select("day").distinct()
-    return rows.join(wrong, "day", "left_anti").select("day", "p.version", "p.bits").distinct()
+    """(day, version, bits) of usable checked evidence."""
+    rows = evidence.where("problem is null").select(F.to_date("requested_date").alias("day"), F.explode("nets").alias("p"))
+    return rows.select("day", "p.version", "p.bits").distinct()
 
 
 def evidence_index(evidence: DataFrame) -> DataFrame:
