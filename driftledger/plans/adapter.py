@@ -74,6 +74,15 @@ FROM ({_BASE}) e
 """
 
 
+#: Snapshots as a stream delivers them: which of three deliveries brings a part, some twice, some later than others of their feed.
+DELIVERIES = f"""
+SELECT s AS source, ts AS told, kind, ip, CAST(lag AS INT) AS delivery FROM (
+  SELECT DISTINCT s, d || CASE WHEN half = 'AM' THEN ' 06:00:00.0000' ELSE ' 06:00:00.0005' END AS ts, kind, net || CAST(c AS STRING) AS ip, CASE WHEN n % 10 < 5 THEN 0 WHEN n % 10 < 9 THEN 1 ELSE 2 END AS lag, n, half FROM ({_BASE}) e
+  UNION ALL SELECT DISTINCT s, d || ' 06:00:00.0005', kind, net || CAST(c AS STRING), 2, n, half FROM ({_BASE}) e WHERE half = 'PM' AND n % 3 = 0
+) p
+"""
+
+
 def table(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
 

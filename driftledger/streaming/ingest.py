@@ -1,58 +1,78 @@
-"""Feeds as they arrive: incremental normalisation, and a running log of what came and went."""
+"""Feeds as they arrive: incremental normalisation into one table, in which no row stands twice.
 
-from __future__ import annotations
+The table is a folder with the rows by batch and day; beside it, `<table>.batches`
+has a manifest for each batch that is complete.  `stored` reads complete batches
+only, so a batch that was lost half-way is as if it had never begun, and one that is
+tried again writes its own folders again.
+"""
 
-from collections.abc import Iterator
+from __future__ import annotations
 
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from driftledger.schemas import OBSERVATION
 from driftledger.sources.feeds import described, observations
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
+#: What makes two rows the same, whatever the name of the file that brought them: a feed's content at a time, and the row in it.
+IDENTITY = ("source_name", "retrieved_at_utc", "sha256", "indicator_type", "indicator", "source_value", "reason", "provider_timestamp", "notes")
+_STORED = ", ".join([*(f"{c} string" for c in OBSERVATION.names), "d1 long", "d2 long", "batch long", "snapshot_day string"])
+_MANIFEST = "n_rows long, first_at string, last_at string, batch long"
 
 
-def ingest(spark: SparkSession, raw: str, table: str, checkpoint: str) -> StreamingQuery:
-    """Append observations of files that were not seen before, and end when all are read.
-
-    The checkpoint remembers files, so a second run reads only new ones.  A batch
-    that is tried again after a loss writes its own folder again, not another.
-    """
-    stream = spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).load(raw)
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
-    def append(files: DataFrame, batch: int) -> None:
-        rows = observations(described(files)).withColumn("snapshot_day", F.substring("retrieved_at_utc", 1, 10))
-        rows.dropDuplicates(["snapshot_id", "indicator_type", "indicator", "notes"]).write.mode("overwrite").partitionBy("snapshot_day").parquet(f"{table}/batch={batch}")
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def stored(spark: SparkSession, table: str) -> DataFrame:
+    """The rows of all complete batches, with their digests, batch and day."""
+    done = _read(spark, f"{table}.batches", _MANIFEST).select("batch")
+    return _read(spark, table, _STORED).join(F.broadcast(done), "batch", "left_semi")
 
 
-def listings(stream: DataFrame) -> DataFrame:
-    """Changes per source from a stream of snapshots (source, at, keys).
+def merge(files: DataFrame, batch: int, table: str) -> None:
+    """Add the observations of some files that the table does not hold yet.
 
-    A source's last keys are its state; each later snapshot gives what came and
-    went.  A snapshot that is older than the state is left out.  State holds one
-    snapshot of one feed.
+    A row's digest is 128 bits of its identity.  Snapshots (source and time) of which
+    the table holds nothing are new as a whole, so only the others' rows are met
+    with stored digests; of those, only the days at hand are read.  A batch that is
+    complete already is left alone.
     """
+    spark = files.sparkSession
+    if _read(spark, f"{table}.batches", _MANIFEST).where(F.col("batch") == batch).head(1):
+        return
+    identity = [F.coalesce(c, F.lit("")) for c in IDENTITY]
+    rows = observations(described(files)).withColumns({"d1": F.xxhash64(*identity), "d2": F.xxhash64(F.lit("second"), *identity)})
+    first = F.min_by(F.struct(*OBSERVATION.names), F.struct("source_path", "snapshot_id")).alias("r")
+    rows = rows.groupBy("d1", "d2").agg(first).select("r.*", "d1", "d2").withColumn("snapshot_day", F.substring("retrieved_at_utc", 1, 10))
+    before = stored(spark, table)
+    days = [r.snapshot_day for r in rows.select("snapshot_day").distinct().limit(1000).collect()]
+    if len(days) < 1000:  # else all days are read
+        before = before.where(F.col("snapshot_day").isin(days))
+    snapshot = ["source_name", "retrieved_at_utc"]
+    seen = before.select(*snapshot).distinct()
+    again = rows.join(seen, snapshot, "left_semi").join(before.select("d1", "d2"), ["d1", "d2"], "left_anti")
+    fresh = rows.join(seen, snapshot, "left_anti").unionByName(again)
+    target = f"{table}/batch={batch}"
+    fresh.write.mode("overwrite").partitionBy("snapshot_day").parquet(target)
+    written = _read(spark, target, _STORED.replace(", batch long", ""))
+    manifest = written.agg(F.count(F.lit(1)).alias("n_rows"), F.min("retrieved_at_utc").alias("first_at"), F.max("retrieved_at_utc").alias("last_at"))
+    manifest.coalesce(1).write.mode("overwrite").parquet(f"{table}.batches/batch={batch}")
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, keys = state.get if state.exists else (None, None)
-        keys = None if keys is None else set(keys)
-        rows = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for r in rows.itertuples():
-            now = set(r.keys)
-            stamp = int(r.at.timestamp())
-            if at is not None and stamp <= at:
-                continue
-            if keys is not None:
-                out += [(key[0], r.at, k, "added") for k in sorted(now - keys)] + [(key[0], r.at, k, "removed") for k in sorted(keys - now)]
-            at, keys = stamp, now
-        if at is not None:
-            state.update((at, sorted(keys)))
-        yield pd.DataFrame(out, columns=["source", "at", "indicator", "change"])
-
-    return stream.groupBy("source").applyInPandasWithState(step, "source string, at timestamp, indicator string, change string", "at long, keys array<string>", "append", GroupStateTimeout.NoTimeout)
+
+def ingest_stream(files: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+    """Merge a stream of files (path, modificationTime, content), and end when all that is there is read."""
+    return files.writeStream.foreachBatch(lambda part, batch: merge(part, batch, table)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest(spark: SparkSession, raw: str, table: str, checkpoint: str) -> StreamingQuery:
+    """Merge the files of a folder that were not read before.  The checkpoint remembers files, the table rows."""
+    return ingest_stream(spark.readStream.format("binaryFile").schema(_FILES).option("recursiveFileLookup", True).load(raw), table, checkpoint)
