@@ -3,12 +3,13 @@
 1. Documents are dealt into batches of a few MB.  A batch cuts its texts into
    pieces and words and takes the fingerprint of every 1- to 3-gram inside a piece
    from prefix polynomials in numpy.  Each different gram of the batch is sent
-   once, with its count and a pointer to one of its places.
+   once, with its count, a pointer to one of its places and 32 bits of its
+   fingerprint besides those that choose its bucket.
 2. Buckets of fingerprints add the counts up.  Where the sum reaches `least`, the
    pointers go back to the batches that they came from.
 3. A batch reads the words at its pointers out of the text.  Spark groups these
-   phrases by their letters and adds the counts up again, so fingerprints that two
-   phrases share cost time and change nothing; only phrases of frequent
+   phrases by their letters and adds the counts up again, so bits that two phrases
+   share cost time and change nothing; only phrases of frequent
    fingerprints are ever made.
 4. Joins of the phrases with their parts give the scores; parts that many phrases
    share are told to them by a broadcast of bounded size.
@@ -51,7 +52,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 _BASE = np.uint64(0xA24BAED4963EE407)
 
-_SENT = "bucket int, batch int, codes binary, counts binary, low binary, high binary"
+_SENT = "bucket int, batch int, codes binary, counts binary, prints binary"
 _BACK = "batch int, codes binary, counts binary"
 _PHRASES = "lang string, words int, phrase string, f long"
 
@@ -174,13 +175,13 @@ def _send(n_buckets: int) -> Callable:
         bucket = ((prints >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket << np.int64(36) | codes)  # a batch holds fewer words than would pass these bits
         b, c, n, p = bucket[order], codes[order], counts[order].astype(np.uint32), prints[order]
-        rows: list[list] = [[] for _ in range(6)]
+        rows: list[list] = [[] for _ in range(5)]
         for lo, hi in zip(*_runs(b), strict=True):
             step = np.diff(c[lo:hi], prepend=0).astype(np.uint32)
-            row = (int(b[lo]), key[0].as_py(), _planes(step), _planes(n[lo:hi]), _planes((p[lo:hi] & np.uint64(0xFFFFFFFF)).astype(np.uint32)), _planes((p[lo:hi] >> np.uint64(48)).astype(np.uint16)))
+            row = (int(b[lo]), key[0].as_py(), _planes(step), _planes(n[lo:hi]), _planes(p[lo:hi].astype(np.uint32)))  # of a bucket that other bits choose, 32 are enough
             for col, v in zip(rows, row, strict=True):
                 col.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(rows, [pa.int32()] * 2 + [pa.binary()] * 4, strict=True)], names=["bucket", "batch", "codes", "counts", "low", "high"])
+        return pa.table([pa.array(c, t) for c, t in zip(rows, [pa.int32()] * 2 + [pa.binary()] * 3, strict=True)], names=["bucket", "batch", "codes", "counts", "prints"])
 
     return run
 
@@ -189,7 +190,7 @@ def _frequent(least: int) -> Callable:
     """The pointers of a bucket's fingerprints whose counts add up to `least`, batch by batch."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        prints = np.concatenate([_unplane(lo, np.uint32).astype(np.uint64) | _unplane(hi, np.uint16).astype(np.uint64) << np.uint64(32) for lo, hi in zip(table.column("low").to_pylist(), table.column("high").to_pylist(), strict=True)])
+        prints = np.concatenate([_unplane(raw, np.uint32) for raw in table.column("prints").to_pylist()])
         counts = np.concatenate([_unplane(raw, np.uint32) for raw in table.column("counts").to_pylist()])
         order = np.argsort(prints)
         head = np.flatnonzero(np.append(True, prints[order[1:]] != prints[order[:-1]]))
