@@ -2,7 +2,9 @@
 
 Markup is cut into lines, one for each block of the page.  Lines that the markup
 says are not part of the article (navigation, headers, footers, asides, forms,
-adverts, notices, reader comments) go.  Each other line weighs as many characters
+adverts, cookie notices, reader comments) go.  Names that may stand for parts of an
+article too (legal, form, social, related and so on) are believed outside article
+elements only; inside, such a line goes if it is mostly links.  Each other line weighs as many characters
 as its text has, and nothing if it is mostly links.  Sums of weights over sliding
 windows of WINDOW lines show a surge where the article begins and a dive where it
 ends: the first and the last line of a window that reaches SURGE, and the lines
@@ -10,8 +12,11 @@ with a weight right before and after.  All lines between surge and dive are kept
 
 Article and main elements raise weights, if they hold at least as many characters
 as the rest of the page: their lines, mostly links or not, weigh RAISED times as
-much, and windows inside and outside sum up their own side only.  If they hold
-fewer (a teaser card beside a body without an element), they change nothing.
+much, and windows inside and outside sum up their own side only.  Beside them, a
+line in an element with a name of its own (trending, discussion: whatever it is
+called) needs a window as heavy as the article's heaviest, and does not count in
+that comparison.  If article elements hold fewer characters (a teaser card beside a
+body without an element), they change nothing.
 
 Character references are decoded after the markup is gone, white space inside a
 block becomes one space, and blocks are joined in page order by one space.
@@ -30,6 +35,8 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -48,8 +55,12 @@ _ROLE = frozenset("navigation banner contentinfo complementary search form menu
 #: Parts of class and id names that mark something else than the article, and names that do so as a whole.
 _MARKED = re.compile(
     r"ads?|advert\w*|adsense|banners?|sponsor\w*|promos?|promotions?|promoted|sidebar|sidenav|nav|navbar|navigation|navigator|menus?|menubar|breadcrumbs?|pagination|pager|footer|masthead|topbar|"
-    r"cookies?|consent|gdpr|notices?|notification|alerts?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|replies|reply|share|sharing|sharebar|social|"
-    r"related|recommended|recommendations?|tagcloud|tags|toolbar|search|searchform|skip|copyright|legal|disclaimer|widgets?|forms?",
+    r"cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|comments?|commentlist|disqus|respond|replies|reply|tagcloud|searchform",
+    re.IGNORECASE,
+)
+#: Parts of names that say so outside article elements only.
+_DOUBTFUL = re.compile(
+    r"notices?|notification|alerts?|share|sharing|sharebar|social|related|recommended|recommendations?|tags|toolbar|search|skip|copyright|legal|disclaimer|widgets?|forms?",
     re.IGNORECASE,
 )
 _COMMENT = re.compile(r"comments?|commentlist|disqus|respond|replies|reply", re.IGNORECASE)
@@ -70,17 +81,24 @@ _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "td": {"td", "th", "p"}, "th": {"td",
 
 
 def _says(value: str, what: re.Pattern) -> bool:
-    """Whether one of the names in a class or id is made of a part that matches and of words for shapes only."""
+    """Whether one of the names in a class or id is made of a part that matches and of words for shapes or other marks only."""
     for name in value.lower().split():
         if what is _MARKED and name in _MARKED_WHOLE:
             return True
         parts = re.split("[-_]", name)
-        found = [what.fullmatch(p) is not None for p in parts]
-        if any(found) and all(f or _MARKED.fullmatch(p) or _SHAPE.fullmatch(p) for f, p in zip(found, parts, strict=True)):
+        if any(what.fullmatch(p) for p in parts) and all(what.fullmatch(p) or _MARKED.fullmatch(p) or _DOUBTFUL.fullmatch(p) or _SHAPE.fullmatch(p) for p in parts):
             return True
     return False
 
 
+def _names(name: str, attributes: str) -> list[str]:
+    """The values of class and id that may say what an element is; ids of headings name places."""
+    if not attributes or name in ("html", "body"):
+        return []
+    found = ((key.lower(), next((v for v in values if v), "")) for key, *values in _NAME.findall(attributes))
+    return [value for key, value in found if key == "class" or key == "id" and name not in _HEADING]
+
+
 def _is_marked(name: str, attributes: str, inside: bool) -> bool:
     if name in _SKIP:
         return True
@@ -88,11 +106,10 @@ def _is_marked(name: str, attributes: str, inside: bool) -> bool:
         return not inside
     if not attributes:
         return False
+    if any(_says(value, _COMMENT if name in ("article", "main") else _MARKED) for value in _names(name, attributes)):
+        return True
     for key, *values in _NAME.findall(attributes):
         key, value = key.lower(), next((v for v in values if v), "")
-        if key == "class" or key == "id" and name not in _HEADING:
-            if name not in ("html", "body") and _says(value, _COMMENT if name in ("article", "main") else _MARKED):
-                return True
         if key == "role" and value.lower() in _ROLE:
             return True
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
@@ -100,32 +117,67 @@ def _is_marked(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, marked as something else, inside an article) for each block with text."""
+def _judged(name: str, attributes: str) -> tuple[bool, bool, bool, bool]:
+    """Whether an element is marked outside and inside an article, has a doubtful name, and a name of its own."""
+    said = _names(name, attributes)
+    own = any(not _SHAPE.fullmatch(p) for v in said for p in re.split(r"[-_\s]+", v))
+    return _is_marked(name, attributes, False), _is_marked(name, attributes, True), any(_says(v, _DOUBTFUL) for v in said), own
+
+
+#: Pages use the same few attributes again and again; those longer than so many characters are not remembered.
+_remembered, _LONG = lru_cache(maxsize=1 << 14)(_judged), 200
+
+
+@dataclass
+class Line:
+    text: str
+    linked: int  # characters in links
+    marked: bool  # as something else than the article
+    doubtful: bool  # by a name that is believed outside article elements only
+    inside: bool  # an article or main element
+    named: bool  # in an element with a name of its own that holds no article element
+
+
+@dataclass
+class _Open:
+    name: str
+    marked: bool
+    doubtful: bool
+    article: bool
+    named: bool
+    holds: bool = False  # an article element
+
+
+def lines(page: str) -> list[Line]:
+    """A line for each block with text."""
     page = _RAW.sub("", page)
-    out: list[tuple[str, int, bool, bool]] = []
+    out: list[tuple[Line, _Open | None]] = []
     text: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # name, marked here, an article
+    stack: list[_Open] = []
+    named: list[_Open] = []
     opened: Counter[str] = Counter()  # names on the stack
-    marked = articles = links = 0
+    marked = doubtful = articles = links = 0
 
     def end_line() -> None:
         nonlocal linked
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             if line:
-                out.append((line, min(linked, len(line)), marked > 0, articles > 0))
+                out.append((Line(line, min(linked, len(line)), marked > 0, doubtful > 0, articles > 0, False), named[-1] if named else None))
             text.clear()
         linked = 0
 
     def close(depth: int) -> None:
-        nonlocal marked, articles
+        nonlocal marked, doubtful, articles
         while len(stack) > depth:
-            name, m, a = stack.pop()
-            opened[name] -= 1
-            marked -= m
-            articles -= a
+            e = stack.pop()
+            opened[e.name] -= 1
+            marked -= e.marked
+            doubtful -= e.doubtful
+            articles -= e.article
+            if e.named:
+                named.pop()
 
     at = 0
     for tag in _TAG.finditer(page):
@@ -141,7 +193,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             links = 0 if ending else 1
             continue
         block = name in _BLOCK or name in _SKIP
-        if not block and not (attributes and not ending and name not in _VOID and _is_marked(name, attributes, articles > 0)) and not opened[name]:
+        opens = not ending and name not in _VOID
+        outer, inner, doubt, own = (_remembered if len(attributes) <= _LONG else _judged)(name, attributes) if opens and (attributes or block) else (False,) * 4
+        if not block and not (inner if articles else outer) and not doubt and not opened[name]:
             continue
         if block:
             end_line()
@@ -149,50 +203,68 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
             if opened[name]:
                 if not block:
                     end_line()
-                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth][0] == name))
-        elif name not in _VOID and not attributes.endswith("/"):
+                close(next(depth for depth in range(len(stack) - 1, -1, -1) if stack[depth].name == name))
+        elif opens and not attributes.endswith("/"):
             if closing := _CLOSES.get(name):
-                while stack and stack[-1][0] in closing:
+                while stack and stack[-1].name in closing:
                     close(len(stack) - 1)
             if not block:
                 end_line()
             article = name in ("article", "main") or 'role="main"' in attributes
-            m = _is_marked(name, attributes, articles > 0)
-            stack.append((name, m, article))
+            e = _Open(name, inner if articles else outer, doubt and not article, article, own and not article)
+            if article:
+                for holder in reversed(stack):  # those further out are told already
+                    if holder.holds:
+                        break
+                    holder.holds = True
+            stack.append(e)
             opened[name] += 1
-            marked += m
+            marked += e.marked
+            doubtful += e.doubtful
             articles += article
+            if e.named:
+                named.append(e)
     text.append(page[at:])
     end_line()
-    return out
+    for line, element in out:
+        line.named = element is not None and not element.holds
+    return [line for line, _ in out]
 
 
 def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page:
         return ""
-    found = [line[:2] + line[3:] for line in lines(page) if not line[2]]
-    inside = sum(len(line) for line, _, within in found if within)
-    raised = 2 * inside >= sum(len(line) for line, _, _ in found)
-    sure = [raised and within for _, _, within in found]
-    weight = [RAISED * len(line) if s else 0 if 2 * linked > len(line) else len(line) for (line, linked, _), s in zip(found, sure, strict=True)]
+    linked_lines = [(line, 2 * line.linked > len(line.text)) for line in lines(page)]
+    found = [(line, linked) for line, linked in linked_lines if not line.marked and not (line.doubtful and (linked or not line.inside))]
+    inside = sum(len(line.text) for line, _ in found if line.inside)
+    raised = inside > 0 and inside >= sum(len(line.text) for line, _ in found if not line.inside and not line.named)
+    sure = [raised and line.inside for line, _ in found]
+    apart = [raised and not line.inside and line.named for line, _ in found]
+    weight = [RAISED * len(line.text) if s else 0 if linked else len(line.text) for (line, linked), s in zip(found, sure, strict=True)]
     if not any(weight):
         return ""
 
+    def window(begin: int, i: int) -> int:
+        """The weight of the window at begin, of lines of the kind of line i."""
+        return sum(weight[j] for j in range(max(0, begin), min(len(found), begin + WINDOW)) if (sure[j], apart[j]) == (sure[i], apart[i]))
+
+    heaviest = max((window(i, i) for i in range(len(found)) if sure[i]), default=0)
+
     def reaches(i: int, begin: int) -> bool:
         """Whether the window at begin, in which line i stands, makes a surge of that line."""
-        return weight[i] > 0 and sum(weight[j] for j in range(max(0, begin), min(len(found), begin + WINDOW)) if sure[j] == sure[i]) >= SURGE
+        return weight[i] > 0 and window(begin, i) >= (max(SURGE, heaviest) if apart[i] else SURGE)
 
     surges = [i for i in range(len(found)) if reaches(i, i)]
     dives = [i for i in range(len(found)) if reaches(i, i - WINDOW + 1)]
     if not surges:  # then no window reaches SURGE, and there is no dive
-        surges = dives = [i for i, w in enumerate(weight) if w and sure[i] == any(sure)]
+        surges = dives = [i for i, w in enumerate(weight) if w and sure[i] == any(sure) and not apart[i]] or [i for i, w in enumerate(weight) if w]
     surge, dive = surges[0], max(surges[0], dives[-1] if dives else 0)
-    while surge and weight[surge - 1] and sure[surge - 1] == sure[surge]:  # a heading or short paragraph right before
+    while surge and weight[surge - 1] and (sure[surge - 1], apart[surge - 1]) == (sure[surge], apart[surge]):  # a heading or short paragraph right before
         surge -= 1
-    while dive + 1 < len(found) and weight[dive + 1] and sure[dive + 1] == sure[dive]:
+    while dive + 1 < len(found) and weight[dive + 1] and (sure[dive + 1], apart[dive + 1]) == (sure[dive], apart[dive]):
         dive += 1
-    return " ".join(line for line, _, _ in found[surge : dive + 1])
+    return " ".join(line.text for line, _ in found[surge : dive + 1])
 
 
 def extract(pages: DataFrame) -> DataFrame:

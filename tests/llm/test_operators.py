@@ -356,6 +356,34 @@ def test_html_extraction_marks():
     assert of(f"<div>Top</div><div class='nav'>x</div><main><p>Short.</p></main><p>{body}</p><p>{body}</p>") == f"Top Short. {body}{body}".strip()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_html_extraction_beside_and_inside_an_article(seed):
+    """Generated pages: elements of any name beside the article go, text inside it stays under names that elsewhere mean something else."""
+    rng = random.Random(seed)
+    text = lambda lo, hi: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(lo, hi)))
+    for _ in range(40):
+        blocks, inner = [], ""
+        for _ in range(rng.randint(4, 10)):
+            t = text(25, 60)
+            name = rng.choice(["", "", "", " class='legal-text'", " class='form'", " class='related-list'", " class='social'", f" class='q{text(1, 1)}'", " id='disclaimer'"])
+            tag = rng.choice(["p", "p", "div", "section"])
+            inner += f"<{tag}{name}>{t}</{tag}>"
+            blocks.append(t)
+        beside = lambda: f"<div class='{rng.choice(['trending', 'discussion', 'teaser-x', 'most-read', 'q' + text(1, 1)])}'>{''.join(f'<p>{text(8, 22)}</p>' for _ in range(rng.randint(1, 3)))}</div>"  # noqa: B023, E731
+        wrap = rng.choice(["{}", "<div class='wrapper'>{}</div>", "<div class='zzq'>{}</div>"])
+        page = f"<body><nav>Home</nav>{wrap.format(beside() * rng.randint(0, 1) + f'<article>{inner}</article>' + beside() * rng.randint(0, 1))}<footer>Foot</footer></body>"
+        assert html_extract.main_text(page) == " ".join(blocks)
+
+
+def test_html_extraction_of_a_body_beside_a_teaser():
+    body = ["A sentence of the body that is long enough to count as one of its own. " * k for k in (2, 3, 2)]
+    page = "<article><h3>Teaser</h3></article><div class='storytext'>" + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+    assert html_extract.main_text(page) == " ".join(b.strip() for b in body)
+    # a list of links under a doubtful name goes, a text stays
+    links = "<div class='related'><a href='/1'>One more story to read</a> <a href='/2'>Another one</a></div>"
+    assert html_extract.main_text(f"<article><p>{body[0]}</p>{links}<p class='notice'>Mind this.</p><p>{body[1]}</p></article>") == f"{body[0].strip()} Mind this. {body[1].strip()}"
+
+
 def test_html_extraction_of_a_deep_page_is_linear():
     n = 25_000
     page = "<div><i class=x><b>" * n + "deep" + "</b></i></div>" * n + "<p>" * n + "</q>" * n
