@@ -39,12 +39,16 @@ from driftledger.llm.common import is_held_out, labelled_sample
 
 #: Labelled rows that a fit may use, half of each class at most.
 SAMPLE_ROWS = 6_000
+#: Characters of text that a fit takes to the driver, about; its rows come in the order of a hash of their ids.
+FIT_BYTES = 60_000_000
 #: Words of weight 1 and no meaning that every bag holds besides its own.
 NEUTRAL = 8
 #: Words in a stretch, and stretches of a document, in the first part of a fit.
 STRETCH, STRETCHES = 8, 4
 #: A word's weight is between exp(-STEEP) and exp(STEEP).
 STEEP = 12.0
+#: Vectors of a fit at most, and the standard errors at which a vector counts for half.
+VECTORS, DOUBT = 10_000, 5.0
 #: Lengths of the character n-grams of a word with its end marks.
 NGRAMS = (3, 4, 5, 6)
 #: Letters of a word at most; longer runs are cut into pieces of PIECE letters, each half over the next, so every n-gram is in one.
@@ -127,12 +131,43 @@ def _sum_by(index: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
     return np.stack([np.bincount(index, values[:, k], minlength=size) for k in range(values.shape[1])], axis=1).astype(np.float32)
 
 
-def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tuple[int, int] = (10, 50), rate: float = 0.08, least: int = 3, strong: float = 5.0, decay: float = 1e-5) -> Model:
+def _loss(params: tuple, bags: _Bags, words: tuple, cost: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """Cross-entropy of the bags and its gradient by vectors, softmax, bias and pull.
+
+    words: (word, subword, share) of each subword in a word, and the number of words;
+    cost: of each bag, as a column.
+    """
+    emb, soft, bias, pull = params
+    rows, cols, share, n_words = words
+    n = len(bags.label)
+    word = _sum_by(rows, emb[cols] * share, n_words)
+    h = word[bags.word]
+    log_weight = h @ pull
+    mass = bags.count * np.exp(np.clip(log_weight, -STEEP, STEEP))
+    total = bags.neutral + np.bincount(bags.owner, mass, minlength=n)
+    alpha = (mass / total[bags.owner]).astype(np.float32)[:, None]
+    mean = _sum_by(bags.owner, alpha * h, n)
+    logit = mean @ soft + bias
+    logit -= logit.max(axis=1, keepdims=True)
+    p = np.exp(logit)
+    p /= p.sum(axis=1, keepdims=True)
+    loss = float(-(np.log(np.maximum(p[np.arange(n), bags.label], 1e-30)) * cost[:, 0]).sum())
+    p[np.arange(n), bags.label] -= 1
+    p = (p * cost).astype(np.float32)
+    g_mean = p @ soft.T
+    g_here = g_mean[bags.owner]
+    g_log = alpha * ((h - mean[bags.owner]) * g_here).sum(axis=1, keepdims=True)
+    g_word = _sum_by(bags.word, alpha * g_here + g_log * pull, n_words)
+    return loss, [_sum_by(cols, g_word[rows] * share, len(emb)), mean.T @ p, p.sum(axis=0), (g_log * h).sum(axis=0)]
+
+
+def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tuple[int, int] = (10, 50), rate: float = 0.08, vectors: int = VECTORS, doubt: float = DOUBT, decay: float = 1e-5) -> Model:
     """Fit vectors, weights and softmax together by Adam on the cross-entropy of the bags.
 
-    Subwords get a vector if they stand in `least` documents and their share of
-    documents differs between the classes by `strong` standard errors; the
-    others are zero vectors in every bag.
+    A subword's vector is shrunk by z^4 / (z^4 + doubt^4), where z says by how many
+    standard errors its share of documents differs between the classes, so that
+    chance has a small part and no subword is judged by a bar.  The table of vectors
+    holds `vectors` subwords, those shrunk least; others are zero vectors.
     """
     y = np.array(labels, dtype=np.int64)
     if not len(y) or y.min() == y.max():
@@ -149,14 +184,17 @@ def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tupl
     n0, n1 = (y == 0).sum(), (y == 1).sum()
     p = seen.sum(axis=0) / (n0 + n1)
     apart = np.abs(seen[1] / n1 - seen[0] / n0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n0 + 1 / n1))
-    kept = (seen.sum(axis=0) >= least) & (apart >= strong)
+    shrunk = apart**4 / (apart**4 + doubt**4)
+    kept = np.zeros(len(number), dtype=bool)
+    kept[np.argsort(-shrunk, kind="stable")[:vectors]] = True
+    kept &= shrunk > 0
     if not kept.any():
         return Model({}, float(np.log(n1 / n0)))
     size = np.array([len(s) for s in split])
     flat = np.concatenate(split)
     use = kept[flat]
     rows, cols = np.repeat(np.arange(len(split)), size)[use], (np.cumsum(kept) - 1)[flat[use]]
-    share = np.repeat(1 / size, size)[use].astype(np.float32)[:, None]
+    share = (np.repeat(1 / size, size)[use] * shrunk[flat[use]]).astype(np.float32)[:, None]
     grams = [s for s, i in number.items() if kept[i]]
     n_words = len(index)
     unknown = np.bincount(rows, minlength=n_words) == 0
@@ -172,39 +210,31 @@ def train(texts: list[str | None], labels: list[int], dim: int = 6, epochs: tupl
     stretches = [(d[b : b + STRETCH], label) for d, label in held for b in rng.integers(0, max(1, len(d) - STRETCH + 1), STRETCHES)]
     for chosen, turns in zip((stretches, held), epochs, strict=True):
         bags = _Bags.of(*zip(*chosen, strict=True), unknown)
-        n = len(bags.label)
         cost = (balance[bags.label] / balance[bags.label].sum())[:, None]
         for _ in range(turns):
             step += 1
-            word = _sum_by(rows, emb[cols] * share, n_words)
-            h = word[bags.word]
-            mass = bags.count * np.exp(np.clip(h @ pull, -STEEP, STEEP))
-            total = bags.neutral + np.bincount(bags.owner, mass, minlength=n)
-            alpha = (mass / total[bags.owner]).astype(np.float32)[:, None]
-            mean = _sum_by(bags.owner, alpha * h, n)
-            logit = mean @ soft + bias
-            logit -= logit.max(axis=1, keepdims=True)
-            p = np.exp(logit)
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(n), bags.label] -= 1
-            p = (p * cost).astype(np.float32)
-            g_mean = p @ soft.T
-            g_here = g_mean[bags.owner]
-            g_log = alpha * ((h - mean[bags.owner]) * g_here).sum(axis=1, keepdims=True)
-            g_word = _sum_by(bags.word, alpha * g_here + g_log * pull, n_words)
-            grads = [_sum_by(cols, g_word[rows] * share, len(grams)) + decay * emb, mean.T @ p + decay * soft, p.sum(axis=0), (g_log * h).sum(axis=0) + decay * pull]
+            grads = _loss(params, bags, (rows, cols, share, n_words), cost)[1]
+            for k in (0, 1, 3):
+                grads[k] = grads[k] + decay * params[k]
             for k, (param, g) in enumerate(zip(params, grads, strict=True)):
                 moment[k] = 0.9 * moment[k] + 0.1 * g
                 square[k] = 0.99 * square[k] + 0.01 * g * g
                 param -= (rate * (moment[k] / (1 - 0.9**step)) / (np.sqrt(square[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    emb *= shrunk[kept][:, None].astype(np.float32)
     odds, weight = emb @ (soft[:, 1] - soft[:, 0]), emb @ pull
     return Model({s: (float(odds[i]), float(weight[i])) for i, s in enumerate(grams)}, float(bias[1] - bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_ROWS) -> Model:
-    """A model from at most `limit` labelled rows outside the held-out fold."""
-    rows = labelled_sample(docs, labels, "toxic", limit).toPandas().sort_values("doc_id")
-    return train(list(rows["text"]), list(rows["label"]))
+    """A model from at most `limit` labelled rows outside the held-out fold, and at most about FIT_BYTES of text."""
+    rows, size = [], 0
+    for r in labelled_sample(docs, labels, "toxic", limit).orderBy(F.xxhash64("doc_id"), "doc_id").toLocalIterator():
+        size += len(r.text or "")
+        if size > FIT_BYTES:
+            break
+        rows.append((r.doc_id, r.text, r.label))
+    rows.sort(key=lambda r: r[0])
+    return train([r[1] for r in rows], [r[2] for r in rows])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -163,3 +163,42 @@ def test_pipeline_equals_plain_python(spark, given, tmp_path):
     want = {i: library.encode(t) for i, t in cut.items() if i not in hit}
     got = {r.doc_id: list(r.token_ids) for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "token_ids").collect()}
     assert marked and hit and len(now) < len(group) and got == want
+
+
+def test_toxicity_gradient():
+    """The gradient of the joint fit against differences of its loss."""
+    rng = np.random.default_rng(4)
+    n_words, grams, dim = 12, 15, 3
+    bags = toxicity._Bags.of([rng.integers(0, n_words, k).astype(np.int32) for k in (4, 9, 1, 6)], [0, 1, 1, 0], np.zeros(n_words, dtype=bool))
+    words = (rng.integers(0, n_words, 40), rng.integers(0, grams, 40), rng.random((40, 1)), n_words)
+    cost = rng.random((4, 1))
+    params = (rng.normal(0, 0.5, (grams, dim)), rng.normal(0, 0.5, (dim, 2)), rng.normal(0, 0.5, 2), rng.normal(0, 0.5, dim))
+    grads = toxicity._loss(params, bags, words, cost)[1]
+    for k, param in enumerate(params):
+        for _ in range(12):
+            at = tuple(rng.integers(0, m) for m in param.shape)
+            kept, sides = param[at], []
+            for step in (1e-2, -1e-2):
+                param[at] = kept + step
+                sides.append(toxicity._loss(params, bags, words, cost)[0])
+            param[at] = kept
+            assert abs((sides[0] - sides[1]) / 2e-2 - grads[k][at]) < 2e-3, (k, at)
+
+
+def test_toxicity_of_few_labels_is_no_constant():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words, 40)) + (" grobian" if k % 6 == 0 else "") for k in range(60)]
+    model = toxicity.train(texts, [int(k % 6 == 0) for k in range(60)])
+    score = model.scorer()
+    bad = [score(" ".join(rng.choice(words, 40)) + w) for w in (" grobian", " grobians", " Grobiann")]
+    good = [score(" ".join(rng.choice(words, 40))) for _ in range(20)]
+    assert min(bad) > 0.5 > sorted(good)[-3] and len(set(good)) > 10
+
+
+def test_toxicity_of_very_long_texts_and_clashing_columns(spark):
+    rows = [(k, f"plain words number {k % 7} " + ("vile thing" if k % 2 else "kind thing")) for k in range(120)] + [(500, "plain words " * 60_000 + "vile thing"), (501, "w" * 200_000), (None, "vile thing"), (502, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", *(F.lit("x").alias(c) for c in ("label", "score", "held_out", "predicted", "t")))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.classify(docs, labels).collect()}
+    assert len(got) == 124 and got[None] > 0.5 and all(0 <= v <= 1 for v in got.values())
