@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+#: Dotted text, with a prefix length or not, that is canonical unless it has host bits.
+_PLAIN_V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?:/(?:[0-9]|[12][0-9]|3[0-2]))?$"
 _V4 = rf"^{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}$"
 #: Bits of an address of each version.
 WIDTH = {4: 32, 6: 128}
@@ -90,8 +92,21 @@ def parsed(value: Column) -> Column:
     """struct(kind, version, bits, text, host_bits) of an address or network; null if it is neither.
 
     Host bits beyond the prefix length are masked and noted.  Leading zeros in
-    octets are refused.
+    octets are refused.  Plain dotted text, nearly all there is, takes a few
+    expressions without lambdas; only other text goes the long way.
     """
+    v = F.trim(value)
+    address, size = ipv4_bits(F.substring_index(v, "/", 1)), F.coalesce(F.substring_index(F.when(v.contains("/"), v), "/", -1).try_cast("int"), F.lit(32))
+    leading, host = F.substring(address, F.lit(1), size), F.substring(address, size + 1, F.lit(32)).contains("1")
+    plain = F.struct(
+        F.when(v.contains("/"), "cidr").otherwise("ip").alias("kind"), F.lit(4).alias("version"), leading.alias("bits"),
+        F.when(host, F.concat(ipv4_text(leading), F.lit("/"), size.cast("string"))).otherwise(v).alias("text"), host.alias("host_bits"),
+    )
+    return F.when(v.rlike(_PLAIN_V4), plain).otherwise(_parsed_any(v))
+
+
+def _parsed_any(value: Column) -> Column:
+    """The same for text of every form."""
 
     def described(x: Column) -> Column:
         """x: struct(version, all bits of the address, prefix length or null)."""

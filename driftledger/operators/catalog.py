@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftledger.operators.ordering import numbered
+
 
 def comparison_coverage(manifests: DataFrame) -> DataFrame:
     """The latest comparison of each two days, with its number of missing snapshots."""
@@ -21,8 +23,8 @@ def run_kinds(manifests: DataFrame) -> DataFrame:
 
 
 def newest_first(table: DataFrame, by: str = "generated_at_utc", name: str = "run_id") -> DataFrame:
-    """Catalogue rows numbered from the newest. For catalogues of runs only: one task orders them."""
-    return table.withColumn("place", F.row_number().over(Window.orderBy(F.col(by).desc(), F.col(name).desc())))
+    """Catalogue rows numbered from the newest."""
+    return numbered(table, [F.col(by).desc(), F.col(name).desc()])
 
 
 def runs_of_day(manifests: DataFrame, day: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftledger.checkpoints import written
 from driftledger.functions.addresses import parsed
 from driftledger.operators.intervals import meeting
 
@@ -33,8 +34,9 @@ def classify(observations: DataFrame, evidence: DataFrame, prefixes: DataFrame,
     ours = evidence.select(F.lower(F.trim("indicator")).alias("k"), name.alias("signal"), place.alias("place"), source.alias("src")).where("k <> '' and place not in ('', 'UNKNOWN', 'N/A', 'NA')")
     told = ours.select("k", F.concat("signal", F.lit(" ("), "src", F.lit(")")).alias("key"), (F.col("place") == country).alias("own"), F.concat("signal", F.lit(":"), "place", F.lit("/"), "src").alias("note")).distinct()
     direct = keys.join(told, F.lower("indicator") == F.col("k")).drop("k")
-    nets = keys.where(F.col("indicator_type").isin("ip", "cidr")).select("indicator").distinct().withColumn("p", parse(F.col("indicator"))).where("p is not null").select("indicator", "p.version", "p.bits")
-    listed = prefixes.select(parse(F.trim("prefix")).alias("p"), _filled("evidence_source", "prefix-register").alias("src")).where("p is not null").select("p.version", "p.bits", "src").distinct()
+    # texts of both sides are parsed once each
+    nets = written(keys.where(F.col("indicator_type").isin("ip", "cidr")).select("indicator").distinct().withColumn("p", parse(F.col("indicator")))).where("p is not null").select("indicator", "p.version", "p.bits")
+    listed = written(prefixes.select(F.trim("prefix").alias("x"), _filled("evidence_source", "prefix-register").alias("src")).distinct().withColumn("p", parse(F.col("x")))).where("p is not null").select("p.version", "p.bits", "src").distinct()
     hit = prefix_matches(nets, listed).select("indicator", F.concat(F.lit("allocation-prefix ("), "src", F.lit(")")).alias("key"), F.lit(True).alias("own"), F.concat(F.lit(f"allocation-prefix:{country}/"), "src").alias("note")).distinct()
     by_net = keys.where(F.col("indicator_type").isin("ip", "cidr")).join(hit, "indicator")
     columns = ["source_name", "indicator_type", "indicator"]

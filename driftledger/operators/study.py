@@ -59,11 +59,11 @@ class Study:
     @classmethod
     def of(cls, keys: DataFrame, snapshots: DataFrame, registry: DataFrame, calendar: DataFrame, sources: DataFrame, parse, country: str = "DK") -> Study:
         """keys: (day, source, indicator_type, indicator) of selected snapshots; snapshots: (day, source) usable ones."""
-        keys, registry = kept(keys), kept(registry)
-        usable = snapshots.select("day", "source").distinct().join(F.broadcast(registry.select("day").distinct().withColumn("evidence", F.lit(True))), "day", "left").fillna(False, ["evidence"])
         address = F.col("indicator_type").isin("ip", "cidr")
-        nets = keys.where(address).withColumn("p", parse(F.col("indicator"))).where("p is not null").select("day", "source", "indicator_type", "indicator", "p.version", "p.bits")
-        return cls(kept(calendar), kept(sources), kept(usable), kept(classify(nets, registry, country)), keys.where(~address), country)
+        keys = written(keys.select("day", "source", "indicator_type", "indicator", F.when(address, parse(F.col("indicator"))).alias("p")))
+        usable = snapshots.select("day", "source").distinct().join(F.broadcast(registry.select("day").distinct().withColumn("evidence", F.lit(True))), "day", "left").fillna(False, ["evidence"])
+        nets = keys.where(address & F.col("p").isNotNull()).select("day", "source", "indicator_type", "indicator", "p.version", "p.bits")
+        return cls(calendar, kept(sources), kept(usable), written(classify(nets, registry, country)), keys.where(~address).drop("p"), country)
 
     @cached_property
     def frame(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftledger.functions.scalars import jaccard, raw_day, safe_integer
@@ -122,14 +122,43 @@ def study_window(days: DataFrame, start: str | None = None, end: str | None = No
     return ends.select(F.explode(day).alias("day"))
 
 
+#: Between the cells of a row's text, and for a null.
+_CELL, _NULL = "\x1f", "\\N"
+
+
+def digest_sums(columns: list[str]) -> list[Column]:
+    """Aggregates `bytes` and `limb0` to `limb3` of rows as text; sums of parts of a table add up to those of the whole.
+
+    A row counts as the 128 bits of its MD5, as often as it stands there, so the
+    sums do not depend on order or partitions.
+    """
+    text = F.concat_ws(_CELL, *(F.coalesce(F.col(c).cast("string"), F.lit(_NULL)) for c in columns))
+    limb = lambda k: F.conv(F.substring(F.md5(text), 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")
+    return [F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).cast("long").alias("bytes"), *(F.coalesce(F.sum(limb(k)), F.lit(0)).cast("decimal(38,0)").alias(f"limb{k}") for k in range(4))]
+
+
+def digest_text() -> Column:
+    """The limbs' sum modulo 2^128 as 32 hexadecimal digits."""
+    base = F.lit(1 << 32).cast("decimal(20,0)")
+    digits, carry = [], F.lit(0).cast("decimal(38,0)")
+    for k in (3, 2, 1, 0):
+        total = (F.col(f"limb{k}") + carry).cast("decimal(38,0)")
+        rest = F.pmod(total, base)
+        digits.insert(0, F.lpad(F.lower(F.hex(rest.cast("long"))), 8, "0"))
+        carry = ((total - rest) / base).cast("decimal(38,0)")
+    return F.concat(*digits)
+
+
 def dataset_profile(observations: DataFrame) -> DataFrame:
-    """Rows, snapshots, sources, keys and days of a table of observations."""
+    """Rows, snapshots, sources, keys and days of a table of observations, its bytes as text and a digest that no order changes."""
     day = F.nullif(raw_day(F.col("retrieved_at_utc")), F.lit("unknown"))
     key = F.struct(*(F.coalesce(c, F.lit("")) for c in ("indicator_type", "indicator")))
-    return observations.agg(
+    counts = observations.agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("snapshot_id").alias("snapshots"), F.count_distinct("source_name").alias("sources"), F.count_distinct(key).alias("keys"),
         F.count_distinct(day).alias("days"), F.min(day).alias("first_day"), F.max(day).alias("last_day"),
     )
+    sums = observations.agg(*digest_sums(observations.columns)).select("bytes", digest_text().alias("digest"))
+    return counts.join(sums)  # one row each
 
 
 def in_many_sources(observations: DataFrame, least: int = 2) -> DataFrame:

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftledger.checkpoints import fresh_folder
 from driftledger.functions import scalars
 from driftledger.functions.addresses import parsed
-from driftledger.operators import catalog, quality, snapshots, summary
+from driftledger.operators import catalog, ordering, quality, snapshots, summary
 from driftledger.operators.study import Study
 from driftledger.plans import adapter
 from driftledger.plans.queries import CURRENT, Query, a1_daily_summary, log, observations, selection, study, study_of
 from driftledger.schemas import DAILY_SUMMARY
-from driftledger.sources import feeds, sinks
+from driftledger.sources import feeds, sinks, tables
 from driftledger.sources import registry as dated_registry
 from driftledger.sources.tables import MANIFEST, read_csv
 
@@ -201,13 +201,64 @@ def k1_written_table(spark, sf_dir):
 
 
 def k2_split_tables(spark, sf_dir):
-    """Classified keys and those in scope, written as two tables and read back."""
+    """Classified keys and those in scope, written in one pass and read back."""
     path = fresh_folder(spark)
-    sinks.write_classified(study(spark, sf_dir).members.select("day", "source", "indicator_type", "indicator", "label", "matched"), f"{path}/all", f"{path}/matched")
-    parts = [spark.read.parquet(f"{path}/{t}").groupBy("source", F.lit(t).alias("table")).agg(F.count(F.lit(1)).alias("n"), F.sum("matched").cast("long").alias("addresses")) for t in ("all", "matched")]
+    sinks.write_classified(study(spark, sf_dir).members.select("day", "source", "indicator_type", "indicator", "label", "matched"), path)
+    parts = [sinks.classified(spark, path, only).groupBy("source", F.lit(t).alias("table")).agg(F.count(F.lit(1)).alias("n"), F.sum("matched").cast("long").alias("addresses")) for t, only in (("all", False), ("matched", True))]
     return quality.union(parts)
 
 
+def k6_run_index(spark, sf_dir):
+    """A run of two tables: rows of each, its files against the index that was written last, and a second run that is refused."""
+    folder = fresh_folder(spark)
+    tables = {"observations": observations(spark, sf_dir), "daily_summary": a1_daily_summary(spark, sf_dir)}
+    sinks.commit_run(tables, folder, {"observations": ["source_name"]})
+    try:
+        sinks.commit_run(tables, folder)
+        again = "written"
+    except FileExistsError:
+        again = "refused"
+    changed = sinks.changed_files(spark, folder).groupBy("table").agg(F.count(F.lit(1)).alias("c"))
+    files = sinks.run_index(spark, folder).groupBy("table").agg(F.count_if((F.col("bytes") < 1) | (F.length("sha256") != 64)).alias("bad_entries")).join(changed, "table", "left")
+    rows = quality.union([sinks.read_run(spark, folder, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t).alias("table"), "n") for t in tables])
+    return rows.join(files, "table").select("table", "n", "bad_entries", F.coalesce("c", F.lit(0)).alias("changed_files"), F.lit(again).alias("second_run"))
+
+
+def o1_ordered_files(spark, sf_dir):
+    """Keys written in order: how many of their files overlap the next one's range, and the rows read back."""
+    path = fresh_folder(spark)
+    order = ["source", "indicator_type", "indicator"]
+    keys = observations(spark, sf_dir).select(F.col("source_name").alias("source"), "indicator_type", "indicator").distinct()
+    ordering.in_ranges(keys, [F.col(c) for c in order]).write.parquet(path)
+    files = spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.min(F.struct(*order)).alias("a"), F.max(F.struct(*order)).alias("b"), F.count(F.lit(1)).alias("n"))
+    # one row a file
+    steps = files.withColumn("next", F.lead("a").over(Window.orderBy("file")))
+    return steps.agg(F.count_if(F.col("next") <= F.col("b")).alias("overlapping"), F.sum("n").alias("n"))
+
+
+def o2_numbered_keys(spark, sf_dir):
+    """Every key with its place in the order of source, kind and text."""
+    keys = observations(spark, sf_dir).select(F.col("source_name").alias("source"), "indicator_type", "indicator").distinct()
+    return ordering.numbered(keys, [F.col("source"), F.col("indicator_type"), F.col("indicator")])
+
+
+def s13_manifest_files(spark, sf_dir):
+    """Manifests as files of three versions, some cut short and one a list, read back field by field."""
+    runs = manifests(spark, sf_dir)
+    n = F.dayofmonth(F.to_date("current_day"))
+    old = F.struct(
+        "run_id", "status", "generated_at_utc", "previous_day", "current_day", F.struct(F.col("current_day").alias("distinct_snapshot_days"), F.col("normalized.rows").cast("string").alias("rows")).alias("normalized"),
+        F.map_from_entries(F.transform(F.array_distinct(F.transform("outputs", lambda o: o["path"])), lambda p: F.struct(p, F.lit("x")))).alias("outputs"),
+    )
+    now = F.struct("run_id", "status", "generated_at_utc", "previous_day", "current_day", "normalized", "outputs")
+    text = F.when(n % 5 == 1, F.to_json(old)).when(n % 5 == 2, F.substring(F.to_json(now), 1, 40)).when(n % 5 == 3, F.concat(F.lit("["), F.to_json(now), F.lit("]"))).when(n % 7 == 4, F.to_json(F.struct("status"))).otherwise(F.to_json(now))
+    path = fresh_folder(spark)
+    runs.select("run_id", text.alias("value")).write.partitionBy("run_id").text(path)
+    texts = spark.read.option("wholetext", True).text(path).select(F.col("run_id").alias("folder"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    found = tables.manifest_fields(texts).join(texts.select("folder", "path"), "path")
+    return found.select("folder", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("status", F.lit("")).alias("status"), "n_rows", F.array_join("days", ",").alias("days"), F.size("outputs").cast("long").alias("outputs"))
+
+
 def k3_sources_apart(spark, sf_dir):
     """The daily summary in one folder for each source, read back by folder."""
     path = fresh_folder(spark)
@@ -257,6 +308,6 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         a16_study_status, a17_comparison_coverage, a19_status_counts, c5_snapshot_ids, c19_portable_paths, c21_run_kinds, d10_evidence_index, f10_runs_of_day, f11_study_window, j11_raw_files, j12_logged_files, k1_written_table, k2_split_tables,
-        k3_sources_apart, k4_empty_table, k4_exported_summary, k7_one_day, q3_outputs, q4_runs, q5_overall, q8_issues, q10_changed_inputs, s4_feed_formats, s7_parse_notes, s11_registry_networks, s12_registry_checks, w10_newest_runs, x6_expected_sources,
+        k3_sources_apart, k4_empty_table, k4_exported_summary, k6_run_index, k7_one_day, o1_ordered_files, o2_numbered_keys, s13_manifest_files, q3_outputs, q4_runs, q5_overall, q8_issues, q10_changed_inputs, s4_feed_formats, s7_parse_notes, s11_registry_networks, s12_registry_checks, w10_newest_runs, x6_expected_sources,
     )
 }

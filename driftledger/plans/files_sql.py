@@ -86,5 +86,12 @@ st AS (SELECT m AS log_match, t.*, CASE WHEN f.path IS NULL THEN 'raw_file_not_f
         "SELECT source, snapshot_day, CAST(unique_indicators AS VARCHAR) AS unique_indicators, CAST(unique_ips_cidrs AS VARCHAR) AS unique_ips_cidrs, CAST(unique_domains_urls AS VARCHAR) AS unique_domains_urls, coalesce(CAST(additions AS VARCHAR), 'NA') AS additions, coalesce(CAST(removals AS VARCHAR), 'NA') AS removals, CAST(raw_rows AS VARCHAR) AS raw_rows FROM daily",
     ),
     "k4_empty_table": _q(_DAILY, "SELECT 'source,snapshot_day,unique_indicators,unique_ips_cidrs,unique_domains_urls,additions,removals,raw_rows' AS header, count(*) AS n FROM daily WHERE raw_rows < 0"),
+    "k6_run_index": _q(_DAILY, "SELECT 'observations' AS \"table\", (SELECT count(*) FROM obs) AS n, 0 AS bad_entries, 0 AS changed_files, 'refused' AS second_run UNION ALL SELECT 'daily_summary', (SELECT count(*) FROM daily), 0, 0, 'refused'"),
+    "o1_ordered_files": _q("", "SELECT 0 AS overlapping, count(*) AS n FROM (SELECT DISTINCT source_name, indicator_type, indicator FROM obs)"),
+    "o2_numbered_keys": _q("", "SELECT source, indicator_type, indicator, row_number() OVER (ORDER BY source, indicator_type, indicator) AS place FROM (SELECT DISTINCT source_name AS source, indicator_type, indicator FROM obs)"),
+    "s13_manifest_files": _files(
+        "m AS (SELECT r.*, CAST(substr(current_day, 9, 2) AS INT) AS n, (SELECT count(DISTINCT path) FROM outs o WHERE o.run_id = r.run_id) AS files FROM runs r), e AS (SELECT *, CASE WHEN n % 5 = 2 THEN 'not JSON' WHEN n % 5 = 3 THEN 'not an object' WHEN n % 5 <> 1 AND n % 7 = 4 THEN 'no run_id' ELSE '' END AS error FROM m)",
+        "SELECT run_id AS folder, error, CASE WHEN error = '' THEN run_id ELSE '' END AS run_id, CASE WHEN error IN ('', 'no run_id') THEN status ELSE '' END AS status, CASE WHEN error = '' THEN n_rows END AS n_rows, CASE WHEN error = '' THEN current_day ELSE '' END AS days, CASE WHEN error = '' THEN files END AS outputs FROM e",
+    ),
     "k7_one_day": _q(_DAILY, "SELECT source, snapshot_day, CAST(unique_indicators AS VARCHAR) AS unique_indicators, CAST(raw_rows AS VARCHAR) AS raw_rows FROM daily WHERE snapshot_day = '2024-01-14'"),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from driftledger.plans import adapter
+from driftledger.schemas import OBSERVATION
 
 _TABLES = adapter.ctes(obs=adapter.OBSERVATIONS, reg=adapter.REGISTRY, ev=adapter.EVIDENCE, pre=adapter.PREFIXES, rawlog=adapter.COLLECTION_LOG)
 _TEXT = "coalesce(indicator_type, '') AS indicator_type, coalesce(indicator, '') AS indicator"
@@ -308,7 +309,14 @@ least_list AS (SELECT day, indicator, k, b * (1::BIGINT << k) AS w FROM piece WH
         "coalesce(sum(additions), 0)::BIGINT AS total_additions, coalesce(sum(removals), 0)::BIGINT AS total_removals, round_even(avg(additions), 4) AS mean_daily_additions, round_even(avg(removals), 4) AS mean_daily_removals FROM daily GROUP BY source",
     ),
     "a11_frequencies": _q("", "SELECT 'indicator_type' AS field, indicator_type AS value, count(*) AS n FROM obs GROUP BY ALL UNION ALL SELECT 'source_name', source_name, count(*) FROM obs GROUP BY ALL"),
-    "a13_dataset_profile": _q("", "SELECT count(*) AS n_rows, count(DISTINCT snapshot_id) AS snapshots, count(DISTINCT source_name) AS sources, count(DISTINCT indicator_type || '|' || indicator) AS keys, count(DISTINCT substr(retrieved_at_utc, 1, 10)) AS days, min(substr(retrieved_at_utc, 1, 10)) AS first_day, max(substr(retrieved_at_utc, 1, 10)) AS last_day FROM obs"),
+    "a13_dataset_profile": _q(
+        f"""t AS (SELECT concat_ws(chr(31), {', '.join(f"coalesce({c}, chr(92) || 'N')" for c in OBSERVATION.names)}) AS x FROM obs),
+v AS (SELECT strlen(x) AS n, ('0x' || md5(x)[1:16])::UBIGINT::HUGEINT AS hi, ('0x' || md5(x)[17:32])::UBIGINT::HUGEINT AS lo FROM t),
+s AS (SELECT sum(n) AS bytes, sum(lo) AS lo, sum(hi) AS hi FROM v),
+w AS (SELECT bytes, lo % 18446744073709551616::HUGEINT AS lo, (hi + lo // 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT AS hi FROM s)""",
+        "SELECT count(*) AS n_rows, count(DISTINCT snapshot_id) AS snapshots, count(DISTINCT source_name) AS sources, count(DISTINCT indicator_type || '|' || indicator) AS keys, count(DISTINCT substr(retrieved_at_utc, 1, 10)) AS days, min(substr(retrieved_at_utc, 1, 10)) AS first_day, "
+        "max(substr(retrieved_at_utc, 1, 10)) AS last_day, (SELECT bytes::BIGINT FROM w) AS bytes, (SELECT lower(lpad(hex(hi::UBIGINT), 16, '0') || lpad(hex(lo::UBIGINT), 16, '0')) FROM w) AS digest FROM obs",
+    ),
     "d9_chart_series": _q(_DAILY, "SELECT 'unique' AS series, source, snapshot_day, unique_indicators AS value FROM daily UNION ALL SELECT 'additions', source, snapshot_day, additions FROM daily WHERE additions IS NOT NULL UNION ALL SELECT 'removals', source, snapshot_day, -removals FROM daily WHERE removals IS NOT NULL"),
     "q2_observation_checks": _q(
         "",

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.checkpoints import kept
+from driftledger.checkpoints import kept, written
 from driftledger.functions import scalars
 from driftledger.functions.addresses import minimal, n_addresses, network_text, parsed, range_networks
 from driftledger.operators import compare, evidence, intervals, quality, snapshots, summary
@@ -28,7 +28,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapter.table(spark, sf_dir, adapter.REGISTRY).withColumn("p", parsed(F.col("prefix")))
-    return rows.select("day", "p.version", "p.bits")
+    return written(rows.select("day", "p")).select("day", "p.version", "p.bits")
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(checked rows, snapshots, selected snapshots)."""
-    rows = kept(snapshots.checked_rows(observations(spark, sf_dir)).drop("net"))
+    rows = written(snapshots.checked_rows(observations(spark, sf_dir)).drop("net"))
     found = kept(snapshots.index(rows))
     return rows, found, kept(snapshots.selected(found, log(spark, sf_dir)))
 

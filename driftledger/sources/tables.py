@@ -66,6 +66,32 @@ def manifests(spark: SparkSession, pattern: str) -> DataFrame:
     return rows.withColumn("manifest_path", F.col("_metadata.file_path")).where("_corrupt is null").drop("_corrupt")
 
 
+def manifest_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of every manifest.json under a folder."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+def manifest_fields(texts: DataFrame) -> DataFrame:
+    """(path, text) with the fields of each manifest by their place, whatever version wrote it, and `error` where it cannot be read.
+
+    Numbers may be written as text, outputs as a list of objects or as an object of
+    digests by path, days as one day or a list.
+    """
+    v = texts.withColumn("v", F.try_parse_json("text"))
+    field = lambda path, kind="string": F.try_variant_get("v", path, kind)
+    listed = F.transform(field("$.outputs", "array<struct<path:string,sha256:string>>"), lambda o: F.struct(o["path"].alias("path"), o["sha256"].alias("sha256")))
+    mapped = F.transform(F.map_entries(field("$.outputs", "map<string,string>")), lambda e: F.struct(e["key"].alias("path"), e["value"].alias("sha256")))
+    # a list is no map and an object no list, so at most one of both is there
+    days = F.coalesce(field("$.normalized.distinct_snapshot_days", "array<string>"), F.array(field("$.normalized.distinct_snapshot_days")))
+    known = F.schema_of_variant("v").startswith("OBJECT")
+    error = F.when(F.col("v").isNull(), "not JSON").when(~known, "not an object").when(field("$.run_id").isNull(), "no run_id")
+    return v.select(
+        "path", "text", field("$.run_id").alias("run_id"), field("$.status").alias("status"), field("$.generated_at_utc").alias("generated_at_utc"), field("$.previous_day").alias("previous_day"), field("$.current_day").alias("current_day"),
+        field("$.normalized.rows", "bigint").alias("n_rows"), F.filter(days, lambda d: d.isNotNull()).alias("days"), F.coalesce(listed, mapped).alias("outputs"), error.alias("error"),
+    )
+
+
 def digests(spark: SparkSession, folder: str) -> DataFrame:
     """(path, bytes, sha256) of every file under a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
