@@ -19,7 +19,9 @@ Defined results: ids need not be unique.  `join` gives one row for each id and
 text, and leaves out rows with a null id, as its SQL twin does; `one_of_each`
 compares all rows.  A text of fewer than n words has its whole word sequence as its
 only n-gram; null texts count as empty; texts without words have no n-grams and
-are linked to nothing, but copies of each other.
+are linked to nothing, but copies of each other; texts of any length are compared on
+all their n-grams; an empty table gives no rows; `one_of_each` returns other columns
+of any name unchanged, `join` does not read them.
 """
 
 from __future__ import annotations

@@ -6,7 +6,9 @@ an Arrow batch down all trees at once.
 
 Defined results: null and empty texts have statistics of 0 and get the score the
 model gives those; repeated rows get one row each; with no usable labels, or one
-class only, every score is the share of label 1 in the sample (0.5 if empty).
+class only, every score is the share of label 1 in the sample (0.5 if empty); texts
+of any length are measured whole; an empty table gives no rows; other columns of any
+name are not read by `classify` and come back unchanged from `keep_good`.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ statistics, which any user can read and edit.
 
 Defined results: null and empty texts have no words, fail the base rule
 (n_words < 50) and are not kept; repeated rows give one row each; without usable
-labels the list is empty and the base rule alone decides.
+labels the list is empty and the base rule alone decides; texts of any length are
+measured whole; an empty table gives no rows; other columns of any name are not read.
 """
 
 from __future__ import annotations

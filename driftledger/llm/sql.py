@@ -78,10 +78,8 @@ words AS (SELECT doc_id, w, unnest(w) AS x, unnest(range(len(w))) AS p FROM d),
 places AS ({base}),
 based AS (SELECT doc_id, count(*) AS n_base, min(first) AS first_word, max(last) AS last_word, list(DISTINCT label) AS base FROM places GROUP BY doc_id),
 hit AS (SELECT doc_id, x, p FROM words WHERE x IN (SELECT x FROM posting)),
-idf AS (SELECT x, ln(((SELECT count(*) FROM d) + 1.0) / (count(DISTINCT doc_id) + 1.0)) AS idf FROM hit GROUP BY x),
-top AS (SELECT doc_id, x FROM (SELECT doc_id, x, row_number() OVER (PARTITION BY doc_id ORDER BY idf DESC, x) AS r FROM (SELECT DISTINCT doc_id, x FROM hit) JOIN idf USING (x)) WHERE r <= {scan.LOOKED_UP}),
 size AS (SELECT t, count(*) AS words, count_if(key) AS keys FROM posting GROUP BY t),
-aligned AS (SELECT doc_id, t, p - q AS d FROM hit JOIN top USING (doc_id, x) JOIN posting USING (x) JOIN size USING (t) GROUP BY doc_id, t, p - q, words HAVING count(*) >= least(2, words)),
+aligned AS (SELECT doc_id, t, p - q AS d FROM hit JOIN posting USING (x) JOIN size USING (t) GROUP BY doc_id, t, p - q, words HAVING count(*) >= least(2, words)),
 whole AS (SELECT doc_id, t, label, p - q AS d, count(*) AS c, count_if(key) AS k FROM hit JOIN posting USING (x) GROUP BY ALL),
 labelled AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(c::DOUBLE / words) AS share FROM whole JOIN aligned USING (doc_id, t, d) JOIN size USING (t)

@@ -22,7 +22,9 @@ The texts are shuffled once; steps 1, 3, 4 and 5 read that one exchange.
 
 Defined results: rows with a null doc_id are never matched and stay whole; null
 texts count as empty; rows that repeat a doc_id never match each other; texts of
-fewer than k words lose nothing.
+fewer than k words lose nothing; texts of any length are read whole, as one batch if
+they are longer than one; an empty table gives no rows; `clean` returns other columns
+of any name unchanged, the other functions do not read them.
 """
 
 from __future__ import annotations

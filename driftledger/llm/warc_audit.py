@@ -12,7 +12,8 @@ node.
 
 Defined results: rows with a null page_id have no place in an archive and are
 left out; a null url or html counts as empty; rows that repeat a page_id share a
-leaf, which hashes all of them with their number; an empty table has no nodes.
+leaf, which hashes all of them with their number; an empty table has no nodes;
+bodies of any length are hashed whole; other columns of any name are not read.
 """
 
 from __future__ import annotations
