@@ -16,22 +16,27 @@ from driftledger.llm.queries import PIECE_MODEL
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps; null and empty texts have a score like any, ids do not matter, an empty table stays empty."""
     return quality_classifier.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates; rows without an id are compared too, texts without words are copies of each other only."""
     return ngram_join.one_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that one with a smaller id holds; rows without an id stay as they are, n_chars is counted anew."""
     return substring_dedup.clean(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item; null and empty texts hold none, an empty benchmark keeps all."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id and token ids of each document; null and empty texts have no tokens."""
     return pieces.encode(docs, pieces.Vocabulary.load(PIECE_MODEL))
 
 
