@@ -66,13 +66,16 @@ def ipv6_text(bits: Column) -> Column:
     """Compressed text of leading bits: the first longest run of two or more zero groups becomes '::'."""
 
     def shorten(text: Column) -> Column:
-        out = F.regexp_replace(text, "^:|:$", "")
-        for n in range(2, 9):
-            run = ":" + "0:" * n
-            at = F.locate(run, text)
-            head, rest = F.substring(text, F.lit(2), at - 1), F.substring(text, at + len(run), F.length(text))
-            out = F.when(at > 0, F.concat(F.regexp_replace(head, ":$", ""), F.lit("::"), F.regexp_replace(rest, ":$", ""))).otherwise(out)
-        return out
+        """':1:0:0:2:' as '1::2': the longest run of zero groups goes, the first of equal ones."""
+        runs = F.regexp_extract_all(text, F.lit("(?<=:)((?:0:){2,})"), F.lit(1))
+        longest = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+
+        def cut(run: Column) -> Column:
+            at = F.position(F.concat(F.lit(":"), run), text)
+            head, rest = F.substring(text, F.lit(2), at - 2), F.substring(text, at + F.length(run) + 1, F.length(text))
+            return F.when(run == "", F.substring(text, F.lit(2), F.length(text) - 2)).otherwise(F.concat(head, F.lit("::"), F.regexp_replace(rest, ":$", "")))
+
+        return let(longest, cut)
 
     def text(full: Column) -> Column:
         groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.lower(F.conv(F.substring(full, 16 * k + 1, F.lit(16)), 2, 16)))
@@ -118,7 +121,7 @@ def _parsed_any(value: Column) -> Column:
             F.when(plain, "ip").otherwise("cidr").alias("kind"),
             x["version"].alias("version"),
             bits.alias("bits"),
-            F.when(plain, text).otherwise(F.concat(text, F.lit("/"), x["size"].cast("string"))).alias("text"),
+            F.concat(text, F.when(plain, "").otherwise(F.concat(F.lit("/"), x["size"].cast("string")))).alias("text"),
             F.substring(x["address"], F.coalesce(x["size"], width) + 1, F.lit(128)).contains("1").alias("host_bits"),
         )
 
