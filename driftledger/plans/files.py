@@ -254,7 +254,7 @@ def s13_manifest_files(spark, sf_dir):
     text = F.when(n % 5 == 1, F.to_json(old)).when(n % 5 == 2, F.substring(F.to_json(now), 1, 40)).when(n % 5 == 3, F.concat(F.lit("["), F.to_json(now), F.lit("]"))).when(n % 7 == 4, F.to_json(F.struct("status"))).otherwise(F.to_json(now))
     path = fresh_folder(spark)
     runs.select("run_id", text.alias("value")).write.partitionBy("run_id").text(path)
-    texts = spark.read.option("wholetext", True).text(path).select(F.col("run_id").alias("folder"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(F.col("run_id").alias("folder"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     found = tables.manifest_fields(texts).join(texts.select("folder", "path"), "path")
     return found.select("folder", F.coalesce("error", F.lit("")).alias("error"), F.coalesce("run_id", F.lit("")).alias("run_id"), F.coalesce("status", F.lit("")).alias("status"), "n_rows", F.array_join("days", ",").alias("days"), F.size("outputs").cast("long").alias("outputs"))
 

@@ -68,7 +68,7 @@ def manifests(spark: SparkSession, pattern: str) -> DataFrame:
 
 def manifest_texts(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of every manifest.json under a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
