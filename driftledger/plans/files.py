@@ -48,7 +48,8 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = adapter.table(spark, sf_dir, adapter.FEED_LINES)
     key = F.when(F.col("n") % 2 == 0, "cidr").otherwise("network")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    item = F.concat(F.lit("{"), quoted(key), F.lit(": "), quoted(F.col("cidr")), F.lit(', "sblid": "S'), "u", F.lit('"}'))
+    broken = (F.col("n") % 9 == 4) & (F.col("k") % 7 == 0)  # a file with such a line is refused
+    item = F.concat(F.lit("{"), quoted(key), F.lit(": "), quoted(F.col("cidr")), F.lit(', "sblid": "S'), "u", F.when(broken, '"').otherwise('"}'))
     url = F.concat(F.col("k").cast("string"), F.lit(',"http://H'), "u", F.lit('.Example.org/a,b",online,"say ""x"""'))
     shapes = (
         ("firehol", "netset", F.concat("ip", F.lit(" # seen")), "; head"), ("blocklist", "txt", F.col("ip"), "# head"), ("spamhaus", "json", item, "# head"),
@@ -70,7 +71,7 @@ def s4_feed_formats(spark, sf_dir):
 
 
 def s7_parse_notes(spark, sf_dir):
-    """Files without rows, with the reason."""
+    """Files without rows, with the reason: no parser for their name, or a parser that refused them."""
     files = feeds.described(feed_files(spark, sf_dir))
     return feeds.parse_notes(files, feeds.observations(files))
 

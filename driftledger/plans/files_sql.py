@@ -32,13 +32,17 @@ def _files(parts: str, select: str) -> str:
     return _q(f"{_FILES}{', ' + parts if parts else ''}", select)
 
 
-def _feed(name: str, kind: str, indicator: str, reason: str) -> str:
-    return f"SELECT '{name}' AS source_name, '{kind}' AS indicator_type, {_AT} AS retrieved_at_utc, count(*) AS n, count(DISTINCT {indicator}) AS indicators, count(DISTINCT s || '_' || part) AS snapshots, min({indicator}) AS least, max({reason}) AS reason, 64 AS digest_length FROM feed GROUP BY stamp"
+#: Events of JSON files without a broken line, and those files that have one.
+SOUND = "(SELECT * FROM feed WHERE (s, stamp, part) NOT IN (SELECT (s, stamp, part) FROM feed WHERE n % 9 = 4 AND k % 7 = 0))"
+
+
+def _feed(name: str, kind: str, indicator: str, reason: str, rows: str = "feed") -> str:
+    return f"SELECT '{name}' AS source_name, '{kind}' AS indicator_type, {_AT} AS retrieved_at_utc, count(*) AS n, count(DISTINCT {indicator}) AS indicators, count(DISTINCT s || '_' || part) AS snapshots, min({indicator}) AS least, max({reason}) AS reason, 64 AS digest_length FROM {rows} GROUP BY stamp"
 
 
 SQL: dict[str, str] = {
-    "s4_feed_formats": _files("", " UNION ALL ".join((_feed("FireHOL", "ip", "ip", "''"), _feed("blocklist.de", "ip", "ip", "''"), _feed("Spamhaus DROP", "cidr", "cidr", "'S' || u"), _feed("URLhaus", "url", "'http://H' || u || '.Example.org/a,b'", "'say \"x\"'")))),
-    "s7_parse_notes": _files("", "SELECT DISTINCT '/lake/data/raw/' || s || '/unrouted_' || s || '_' || part || '_' || stamp || '.txt' AS path, 'no parser for this file name' AS error FROM feed"),
+    "s4_feed_formats": _files("", " UNION ALL ".join((_feed("FireHOL", "ip", "ip", "''"), _feed("blocklist.de", "ip", "ip", "''"), _feed("Spamhaus DROP", "cidr", "cidr", "'S' || u", SOUND), _feed("URLhaus", "url", "'http://H' || u || '.Example.org/a,b'", "'say \"x\"'")))),
+    "s7_parse_notes": _files("", "SELECT DISTINCT '/lake/data/raw/' || s || '/unrouted_' || s || '_' || part || '_' || stamp || '.txt' AS path, 'no parser for this file name' AS error FROM feed UNION ALL SELECT DISTINCT '/lake/data/raw/' || s || '/spamhaus_' || s || '_' || part || '_' || stamp || '.json', 'a line is not JSON' FROM feed WHERE n % 9 = 4 AND k % 7 = 0"),
     "j11_raw_files": _files(
         f"""{_SELECT},
 lost AS (SELECT 'exact' AS log_match, source, day, max(seen) AS seen FROM unseen GROUP BY ALL UNION ALL SELECT 'digest', source, day, max(seen) FROM good_log g WHERE NOT EXISTS (SELECT 1 FROM snap s WHERE s.source_name = g.source AND s.sha = g.sha256) GROUP BY ALL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftledger.checkpoints import fresh_folder
 from driftledger.plans import adapter, files
+from driftledger.plans.files_sql import SOUND
 from driftledger.plans.oracle import _q
 from driftledger.plans.queries import Query
 from driftledger.streaming import changes, ingest
@@ -57,9 +58,9 @@ _AT = "substr(stamp, 1, 4) || '-' || substr(stamp, 5, 2) || '-' || substr(stamp,
 _PLACE = "row_number() OVER (PARTITION BY s, stamp, part ORDER BY line)"
 
 
-def _stored(name: str, kind: str, indicator: str, line: str, same: str) -> str:
+def _stored(name: str, kind: str, indicator: str, line: str, same: str, feed: str = "feed") -> str:
     """What is stored of one format: rows of a time and a file's content that agree in `same` are one."""
-    rows = f"SELECT *, {_PLACE} AS place, string_agg(line, ',') OVER (PARTITION BY s, stamp, part ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS content FROM (SELECT *, {line} AS line FROM feed)"
+    rows = f"SELECT *, {_PLACE} AS place, string_agg(line, ',') OVER (PARTITION BY s, stamp, part ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS content FROM (SELECT *, {line} AS line FROM {feed}) x"
     return f"SELECT '{name}' AS source_name, '{kind}' AS indicator_type, {_AT} AS retrieved_at_utc, count(DISTINCT (content, {same})) AS n, count(DISTINCT {indicator}) AS indicators, min({indicator}) AS least FROM ({rows}) GROUP BY stamp"
 
 
@@ -69,7 +70,7 @@ SQL: dict[str, str] = {
         " UNION ALL ".join(
             (
                 _stored("FireHOL", "ip", "ip", "ip || ' # seen'", "ip, place"), _stored("blocklist.de", "ip", "ip", "ip", "ip, place"),
-                _stored("Spamhaus DROP", "cidr", "cidr", "cidr || ',' || u", "cidr, u"), _stored("URLhaus", "url", "'http://H' || u || '.Example.org/a,b'", "CAST(k AS VARCHAR) || ',' || u", "u"),
+                _stored("Spamhaus DROP", "cidr", "cidr", "cidr || ',' || u", "cidr, u", SOUND), _stored("URLhaus", "url", "'http://H' || u || '.Example.org/a,b'", "CAST(k AS VARCHAR) || ',' || u", "u"),
             )
         ),
     ),

@@ -40,9 +40,10 @@ def described(files: DataFrame) -> DataFrame:
     """(path, modificationTime, content) with what names and contents tell; bad bytes become the replacement character."""
     name = file_name(F.col("path"))
     at = retrieved_at(name, F.col("modificationTime"))
+    more = ["error"] if "error" in files.columns else []
     return files.select(
         F.col("path").alias("source_path"), name.alias("name"), _routed(name, 2).alias("format"), _routed(name, 1).alias("source_name"), at.alias("retrieved_at_utc"), snapshot_id(name, at).alias("snapshot_id"),
-        F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"),
+        F.sha2("content", 256).alias("sha256"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"), *more,
     )
 
 
@@ -66,13 +67,26 @@ def network_lines(files: DataFrame) -> DataFrame:
     return rows.select(*_row(indicator_type=F.col("p.kind"), indicator=F.col("p.text"), source_value=F.col("content"), notes=F.concat(F.lit("line "), F.col("at") + 1)))
 
 
+def _json_lines(text: Column) -> Column:
+    return F.filter(F.transform(F.split(text, "\r\n|\r|\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+
+
+def is_refused(kind: Column, text: Column) -> Column:
+    """Whether the parser of a format refuses a file: JSON that is neither one value nor a value a line."""
+    one = lambda x: F.coalesce(F.json_array_length(F.concat(F.lit("["), x, F.lit("]"))) == 1, F.lit(False))  # noqa: E731  (other readers stop after the first value)
+    broken = ~one(text) & F.exists(_json_lines(text), lambda x: ~one(x))
+    return F.coalesce((kind == "json") & broken, F.lit(False))
+
+
 def json_items(files: DataFrame) -> DataFrame:
     """JSON feeds: an object with a list or object of items, a list, or an object a line.
 
+    A file with a line that does not parse gives no rows at all; `parse_notes` names it.
+
     Two shapes that the plain reading of the format leaves without rows, a list
     at top level and a single line that is itself an item, give their items.
     """
-    text = files.where("format = 'json'").withColumn("whole", F.trim("text"))
+    text = files.where((F.col("format") == "json") & ~is_refused(F.col("format"), F.col("text"))).withColumn("whole", F.trim("text"))
     items = F.lit(None).cast("array<string>")
     for key in reversed(LIST_KEYS):
         inner = F.get_json_object("whole", f"$.{key}")
@@ -80,7 +94,7 @@ def json_items(files: DataFrame) -> DataFrame:
         mapped = F.map_values(F.from_json(inner, "map<string,string>"))
         items = F.when(inner.startswith("[") & (F.size(listed) > 0), listed).when(inner.startswith("{") & (F.size(mapped) > 0), mapped).otherwise(items)
     single = F.try_parse_json("whole").isNotNull()
-    lines = F.filter(F.transform(F.split("text", "\r\n|\r|\n"), F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = _json_lines(F.col("text"))
     items = F.when(single & F.col("whole").startswith("["), F.from_json("whole", "array<string>")).when(single & items.isNotNull(), items).otherwise(lines)
     rows = text.select(*_META, F.explode(items).alias("item"))
     value = F.when(F.col("item").startswith("{"), first_filled(F.col("item"), VALUE_KEYS)).otherwise(F.regexp_replace("item", '^"|"$', ""))
@@ -123,7 +137,10 @@ def observations(files: DataFrame) -> DataFrame:
 
 
 def parse_notes(files: DataFrame, rows: DataFrame) -> DataFrame:
-    """(path, error) of files that gave no observation."""
-    empty = files.select("source_path", "format").join(rows.select("source_path").distinct(), "source_path", "left_anti")
-    error = F.when(F.col("format").isNull(), "no parser for this file name").otherwise("no supported records parsed")
+    """(path, error) of files that gave no observation, also of those that could not be read (`error` of a feed folder)."""
+    unread = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    empty = files.select("source_path", "format", unread.alias("unread"), is_refused(F.col("format"), F.col("text")).alias("refused")).join(rows.select("source_path").distinct(), "source_path", "left_anti")
+    error = (
+        F.when(F.col("unread").isNotNull(), F.col("unread")).when(F.col("format").isNull(), "no parser for this file name").when(F.col("refused"), "a line is not JSON").otherwise("no supported records parsed")
+    )
     return empty.select(F.col("source_path").alias("path"), error.alias("error"))
