@@ -309,6 +309,11 @@ least_list AS (SELECT day, indicator, k, b * (1::BIGINT << k) AS w FROM piece WH
         "coalesce(sum(additions), 0)::BIGINT AS total_additions, coalesce(sum(removals), 0)::BIGINT AS total_removals, round_even(avg(additions), 4) AS mean_daily_additions, round_even(avg(removals), 4) AS mean_daily_removals FROM daily GROUP BY source",
     ),
     "a11_frequencies": _q("", "SELECT 'indicator_type' AS field, indicator_type AS value, count(*) AS n FROM obs GROUP BY ALL UNION ALL SELECT 'source_name', source_name, count(*) FROM obs GROUP BY ALL"),
+    "a3_sketched_overlap": _q(
+        "k AS (SELECT DISTINCT source_name AS source, indicator_type, indicator FROM obs WHERE substr(retrieved_at_utc, 1, 10) BETWEEN '2024-01-01' AND '2024-01-30'), n AS (SELECT source, indicator_type, count(*) AS n FROM k GROUP BY ALL), "
+        "c AS (SELECT a.source AS x, b.source AS y, a.indicator_type, count(*) AS c FROM k a JOIN k b USING (indicator_type, indicator) WHERE a.source < b.source GROUP BY ALL)",
+        "SELECT a.source AS source_a, b.source AS source_b, a.indicator_type, coalesce(c, 0) AS intersection, a.n + b.n - coalesce(c, 0) AS \"union\" FROM n a JOIN n b ON a.indicator_type = b.indicator_type AND a.source < b.source LEFT JOIN c ON x = a.source AND y = b.source AND c.indicator_type = a.indicator_type",
+    ),
     "a13_dataset_profile": _q(
         f"""t AS (SELECT concat_ws(chr(31), {', '.join(f"coalesce({c}, chr(92) || 'N')" for c in OBSERVATION.names)}) AS x FROM obs),
 v AS (SELECT strlen(x) AS n, ('0x' || md5(x)[1:16])::UBIGINT::HUGEINT AS hi, ('0x' || md5(x)[17:32])::UBIGINT::HUGEINT AS lo FROM t),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from driftledger.checkpoints import kept, written
 from driftledger.functions import scalars
 from driftledger.functions.addresses import minimal, n_addresses, network_text, parsed, range_networks
-from driftledger.operators import compare, evidence, intervals, quality, snapshots, summary
+from driftledger.operators import compare, evidence, intervals, quality, sketches, snapshots, summary
 from driftledger.operators.study import Study, classify, large_changes
 from driftledger.plans import adapter
 from driftledger.sources.feeds import network_lines
@@ -79,6 +79,12 @@ def w2_latest_snapshot(spark, sf_dir):
     return snapshots.latest_index(observations(spark, sf_dir)).select("source_name", F.col("day").cast("string").alias("day"), F.col("snapshot").alias("snapshot_id"), "retrieved_at_utc", "sha256", "indicator_count")
 
 
+def a3_sketched_overlap(spark, sf_dir):
+    """The overlap of sources over the study's window from daily sketches; with 2^20 entries it is exact for up to a million keys."""
+    days = kept(sketches.daily(observations(spark, sf_dir), 20))
+    return sketches.overlap(days, START, END, 20)
+
+
 def a5_two_day_summary(spark, sf_dir):
     return compare.summary(observations(spark, sf_dir), PREVIOUS, CURRENT)
 
@@ -334,7 +340,7 @@ def _longs(df: DataFrame, day: str, *names: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        a1_daily_summary, a2_persistence, a3_source_overlap, a4_snapshot_index, a5_two_day_summary, a6_evidence_classes, a7_label_counts, a8_study_daily, a9_exclusive, a10_source_statistics, a11_frequencies, a13_dataset_profile,
+        a1_daily_summary, a2_persistence, a3_sketched_overlap, a3_source_overlap, a4_snapshot_index, a5_two_day_summary, a6_evidence_classes, a7_label_counts, a8_study_daily, a9_exclusive, a10_source_statistics, a11_frequencies, a13_dataset_profile,
         a14_changes_by_source, a15_complete_days, a18_address_changes, c1_canonical, c4_domains, c7_digests, c8_json_keys, c20_feed_spans, c20_matched_networks, c20_minimal, c20_range_networks, d2_comparison_index, d3_scoped_comparison, d4_scope_changes,
         d5_registry_classes, d6_fixed_registry, d8_coverage, d9_chart_series, f8_large_changes, f9_first_and_last, j5_two_day_changes, j8_same_day_overlap, j13_all_pairs, m1_planned_and_done, m2_median_counts, m3_labels_by_source,
         m4_persistence_summary, m5_in_many_sources, m6_candidates, m7_metadata_completeness, m8_enrichment_completeness, o3_top_keys, q2_observation_checks, q6_study_report, q7_readiness, q9_identities, q11_summary_guard,

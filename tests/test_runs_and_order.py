@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftledger.operators import ordering, summary
+from driftledger.operators import ordering, sketches, summary
 from driftledger.sources import sinks, tables
 
 
@@ -105,3 +105,17 @@ def test_manifests_of_many_versions(spark, tmp_path):
     assert (got["now"].n_rows, got["now"].days, [tuple(o) for o in got["now"].outputs]) == (7, ["2024-01-01", "2024-01-02"], [("a", "1")])
     assert (got["old"].n_rows, got["old"].days, sorted(tuple(o) for o in got["old"].outputs)) == (9, ["2024-01-01"], [("a", "1"), ("b", "2")])
     assert (got["drifted"].run_id, got["drifted"].n_rows, got["drifted"].outputs) == ("r3", None, None)
+
+
+def test_sketches_keep_their_bounds(spark):
+    """Windows and overlaps from daily sketches of 4,096 entries: exact for few keys, within four standard errors for 60,000."""
+    rows = spark.range(60_000).select(F.col("id"), F.explode(F.array(F.lit("2024-01-01"), F.lit("2024-01-02"), F.lit("2024-01-09"))).alias("day"), F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("few"))).alias("source_name"))
+    listed = (F.col("source_name") == "a") & (F.col("id") < 40_000) | (F.col("source_name") == "b") & (F.col("id") >= 20_000) | (F.col("source_name") == "few") & (F.col("id") < 1000)
+    obs = rows.where(listed & ((F.col("day") != "2024-01-09") | (F.col("id") % 2 == 0))).select("source_name", F.concat("day", F.lit("T06:00:00Z")).alias("retrieved_at_utc"), F.lit("domain").alias("indicator_type"), F.col("id").cast("string").alias("indicator"))
+    days = sketches.daily(obs).cache()
+    got = {r.source: r["keys"] for r in sketches.counts(days, "2024-01-01", "2024-01-02").collect()}
+    assert got["few"] == 1000 and all(abs(got[s] - 40_000) < 4 * 40_000 / 64 for s in "ab")
+    assert abs({r.source: r["keys"] for r in sketches.counts(days, "2024-01-09", "2024-01-09").collect()}["a"] - 20_000) < 4 * 20_000 / 64
+    both = {(r.source_a, r.source_b): (r.intersection, r.union) for r in sketches.overlap(days, "2024-01-01", "2024-01-09").collect()}
+    common, joint = both["a", "b"]
+    assert abs(joint - 60_000) < 4 * 60_000 / 64 and abs(common - 20_000) < 4 * 60_000 / 64
