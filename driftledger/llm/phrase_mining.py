@@ -43,7 +43,7 @@ MOST_WORDS = 3
 #: A part that over one in so many uses of parts name is told by a broadcast; there are about that many at most.
 HOT_SHARE = 1000
 #: Candidates of one language to a task of the first ranking, about.
-RANK_ROWS = 200_000
+RANK_ROWS = 20_000
 
 _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = 1
