@@ -27,7 +27,8 @@ def is_ipv4(value: Column) -> Column:
 
 def ipv4_bits(value: Column) -> Column:
     """The 32 bits of dotted text that `is_ipv4` accepts."""
-    return F.concat(*(F.lpad(F.conv(F.split(value, r"\.")[k], 10, 2), 8, "0") for k in range(4)))
+    octet = lambda k: F.substring_index(F.substring_index(value, ".", k), ".", -1).try_cast("bigint")
+    return F.lpad(F.bin(((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4)), 32, "0")
 
 
 def ipv4_text(bits: Column) -> Column:
@@ -108,6 +109,11 @@ def parsed(value: Column) -> Column:
     return F.when(v.rlike(_PLAIN_V4), plain).otherwise(_parsed_any(v))
 
 
+def is_parsed(value: Column) -> Column:
+    """Whether `parsed` gives something: as a filter it costs plain dotted text one match, not its parts."""
+    return F.coalesce(F.trim(value).rlike(_PLAIN_V4), F.lit(False)) | _parsed_any(F.trim(value)).isNotNull()
+
+
 def _parsed_any(value: Column) -> Column:
     """The same for text of every form."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _STAMP = r"([0-9]{8}T[0-9]{6}Z)"
@@ -10,6 +10,11 @@ _STAMP = r"([0-9]{8}T[0-9]{6}Z)"
 SOURCE_ALIASES = {"firehol": "FireHOL", "spamhaus": "Spamhaus DROP", "spamhaus drop": "Spamhaus DROP", "blocklist_de": "blocklist.de"}
 
 
+def computed(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """rows with a costly column that is computed once a row: a generator is not merged into the filters and columns that read it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def file_name(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 

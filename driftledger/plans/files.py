@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from driftledger.checkpoints import fresh_folder
+from driftledger.checkpoints import fresh_folder, written
 from driftledger.functions import scalars
 from driftledger.functions.addresses import parsed
 from driftledger.operators import catalog, ordering, quality, snapshots, summary
@@ -44,6 +44,7 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, modificationTime, content): each half day of a feed in four formats and in one that no parser knows.
 
     A file holds at most 4,096 events; each ends in a remark with a byte that is no UTF-8.
+    The files are written once, since each parser reads them.
     """
     rows = adapter.table(spark, sf_dir, adapter.FEED_LINES)
     key = F.when(F.col("n") % 2 == 0, "cidr").otherwise("network")
@@ -51,15 +52,15 @@ def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = (F.col("n") % 9 == 4) & (F.col("k") % 7 == 0)  # a file with such a line is refused
     item = F.concat(F.lit("{"), quoted(key), F.lit(": "), quoted(F.col("cidr")), F.lit(', "sblid": "S'), "u", F.when(broken, '"').otherwise('"}'))
     url = F.concat(F.col("k").cast("string"), F.lit(',"http://H'), "u", F.lit('.Example.org/a,b",online,"say ""x"""'))
+    lines = rows.groupBy("s", "stamp", "part").agg(F.collect_list(F.struct("ip", F.concat("ip", F.lit(" # seen")).alias("seen"), item.alias("item"), url.alias("url"))).alias("lines"))
     shapes = (
-        ("firehol", "netset", F.concat("ip", F.lit(" # seen")), "; head"), ("blocklist", "txt", F.col("ip"), "# head"), ("spamhaus", "json", item, "# head"),
-        ("urlhaus", "csv", url, "id,url,url_status,threat"), ("unrouted", "txt", F.col("ip"), "# head"),
+        ("firehol", "netset", "seen", "; head"), ("blocklist", "txt", "ip", "# head"), ("spamhaus", "json", "item", "# head"), ("urlhaus", "csv", "url", "id,url,url_status,threat"), ("unrouted", "txt", "ip", "# head"),
     )
-    lines = rows.select("s", "stamp", "part", F.explode(F.array(*(F.struct(F.lit(n).alias("feed"), F.lit(x).alias("ending"), v.alias("line"), F.lit(h).alias("head")) for n, x, v, h in shapes))).alias("f")).select("s", "stamp", "part", "f.*")
-    files = lines.groupBy("s", "stamp", "part", "feed", "ending", "head").agg(F.array_join(F.array_sort(F.collect_list("line")), "\r\n").alias("body"))
+    shaped = [F.struct(F.lit(n).alias("feed"), F.lit(x).alias("ending"), F.array_join(F.sort_array(f"lines.{v}"), "\r\n").alias("body"), F.lit(h).alias("head")) for n, x, v, h in shapes]
+    files = lines.select("s", "stamp", "part", F.explode(F.array(*shaped)).alias("f")).select("s", "stamp", "part", "f.*")
     name = F.concat("feed", F.lit("_"), "s", F.lit("_"), "part", F.lit("_"), "stamp", F.lit("."), "ending")
     body = F.concat(F.encode(F.concat("head", F.lit("\r\n"), "body", F.lit("\n# ")), "UTF-8"), F.unhex(F.lit("FF")))
-    return files.select(F.concat(F.lit("/lake/data/raw/"), "s", F.lit("/"), name).alias("path"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("modificationTime"), body.alias("content"))
+    return written(files.select(F.concat(F.lit("/lake/data/raw/"), "s", F.lit("/"), name).alias("path"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("modificationTime"), body.alias("content")))
 
 
 def s4_feed_formats(spark, sf_dir):

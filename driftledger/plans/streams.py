@@ -28,8 +28,11 @@ def r1_ingested(spark, sf_dir):
     part = F.pmod(F.crc32("path"), F.lit(2)).cast("int")
     again = found.where(part == 0).withColumn("path", F.regexp_replace("path", "/lake/", "/mirror/copy_")).withColumn("path", F.regexp_replace("path", "_([^_]*)$", "_again_$1"))
     told = found.withColumn("delivery", part).unionByName(again.withColumn("delivery", F.lit(2)))
-    table = fresh_folder(spark)
-    ingest.ingest_stream(replayed(spark, told, "delivery"), table, fresh_folder(spark)).awaitTermination()
+    table, inbox, checkpoint = fresh_folder(spark), fresh_folder(spark), fresh_folder(spark)
+    # each delivery lies there as many files, and one run of the stream with the same checkpoint takes what is new
+    for n in range(3):
+        told.where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(inbox)
+        ingest.ingest_stream(spark.readStream.schema(told.drop("delivery").schema).parquet(inbox), table, checkpoint).awaitTermination()
     rows = ingest.stored(spark, table)
     return rows.groupBy("source_name", "indicator_type", "retrieved_at_utc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("indicator").alias("indicators"), F.min("indicator").alias("least"))
 

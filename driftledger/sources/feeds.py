@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.functions.addresses import parsed
-from driftledger.functions.scalars import domain_of, file_name, first_filled, retrieved_at, snapshot_id
+from driftledger.functions.addresses import is_parsed, parsed
+from driftledger.functions.scalars import computed, domain_of, file_name, first_filled, retrieved_at, snapshot_id
 from driftledger.schemas import OBSERVATION
 
 #: Part of a file name, source name and format; the first that fits counts.
@@ -63,7 +63,8 @@ def network_lines(files: DataFrame) -> DataFrame:
     """Netsets and plain lists: one address or network a line, comments from '#', in netsets also lines from ';'."""
     content = F.trim(F.substring_index("line", "#", 1))
     rows = _lines(files.where(F.col("format").isin("netset", "list"))).withColumn("content", content)
-    rows = rows.where((F.col("content") != "") & ~((F.col("source_name") == "FireHOL") & F.col("content").startswith(";"))).withColumn("p", parsed(F.col("content"))).where("p is not null")
+    rows = rows.where((F.col("content") != "") & ~((F.col("source_name") == "FireHOL") & F.col("content").startswith(";")))
+    rows = rows.where(is_parsed(F.col("content"))).withColumn("p", parsed(F.col("content")))
     return rows.select(*_row(indicator_type=F.col("p.kind"), indicator=F.col("p.text"), source_value=F.col("content"), notes=F.concat(F.lit("line "), F.col("at") + 1)))
 
 
@@ -98,7 +99,7 @@ def json_items(files: DataFrame) -> DataFrame:
     items = F.when(single & F.col("whole").startswith("["), F.from_json("whole", "array<string>")).when(single & items.isNotNull(), items).otherwise(lines)
     rows = text.select(*_META, F.explode(items).alias("item"))
     value = F.when(F.col("item").startswith("{"), first_filled(F.col("item"), VALUE_KEYS)).otherwise(F.regexp_replace("item", '^"|"$', ""))
-    rows = rows.withColumn("value", value).withColumn("p", parsed(F.col("value"))).where("p is not null")
+    rows = computed(rows, "value", value).where(is_parsed(F.col("value"))).withColumn("p", parsed(F.col("value")))
     return rows.select(
         *_row(indicator_type=F.col("p.kind"), indicator=F.col("p.text"), source_value=F.col("value"), reason=first_filled(F.col("item"), REASON_KEYS), provider_timestamp=first_filled(F.col("item"), TIME_KEYS))
     )
@@ -114,7 +115,9 @@ def url_rows(files: DataFrame) -> DataFrame:
         found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
         return F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
-    rows = kept.select(*_META, cells(F.element_at("lines", 1)).alias("names"), F.explode(F.slice("lines", F.lit(2), F.size("lines") - 1)).alias("line")).withColumn("cells", cells(F.col("line")))
+    # names are taken before the lines part, so that no row carries its whole file
+    headed = kept.select(*_META, cells(F.element_at("lines", 1)).alias("names"), F.slice("lines", F.lit(2), F.size("lines") - 1).alias("rest"))
+    rows = computed(headed.select(*_META, "names", F.explode("rest").alias("line")), "cells", cells(F.col("line")))
 
     def cell(name: str) -> Column:
         place = F.array_position("names", F.lit(name)).cast("int")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from driftledger.checkpoints import written
 from driftledger.schemas import OBSERVATION
 from driftledger.sources.feeds import described, observations
 
@@ -41,7 +42,8 @@ def stored(spark: SparkSession, table: str) -> DataFrame:
 def merge(files: DataFrame, batch: int, table: str) -> None:
     """Add the observations of some files that the table does not hold yet.
 
-    A row's digest is 128 bits of its identity.  Snapshots (source and time) of which
+    Files are parsed once, and their rows written, since they are read for days and snapshots
+    too.  A row's digest is 128 bits of its identity.  Snapshots (source and time) of which
     the table holds nothing are new as a whole, so only the others' rows are met
     with stored digests; of those, only the days at hand are read.  A batch that is
     complete already is left alone.
@@ -52,7 +54,7 @@ def merge(files: DataFrame, batch: int, table: str) -> None:
     identity = [F.coalesce(c, F.lit("")) for c in IDENTITY]
     rows = observations(described(files)).withColumns({"d1": F.xxhash64(*identity), "d2": F.xxhash64(F.lit("second"), *identity)})
     first = F.min_by(F.struct(*OBSERVATION.names), F.struct("source_path", "snapshot_id")).alias("r")
-    rows = rows.groupBy("d1", "d2").agg(first).select("r.*", "d1", "d2").withColumn("snapshot_day", F.substring("retrieved_at_utc", 1, 10))
+    rows = written(rows.groupBy("d1", "d2").agg(first).select("r.*", "d1", "d2").withColumn("snapshot_day", F.substring("retrieved_at_utc", 1, 10)))
     before = stored(spark, table)
     days = [r.snapshot_day for r in rows.select("snapshot_day").distinct().limit(1000).collect()]
     if len(days) < 1000:  # else all days are read
@@ -62,9 +64,10 @@ def merge(files: DataFrame, batch: int, table: str) -> None:
     again = rows.join(seen, snapshot, "left_semi").join(before.select("d1", "d2"), ["d1", "d2"], "left_anti")
     fresh = rows.join(seen, snapshot, "left_anti").unionByName(again)
     target = f"{table}/batch={batch}"
-    fresh.write.mode("overwrite").partitionBy("snapshot_day").parquet(target)
-    written = _read(spark, target, _STORED.replace(", batch long", ""))
-    manifest = written.agg(F.count(F.lit(1)).alias("n_rows"), F.min("retrieved_at_utc").alias("first_at"), F.max("retrieved_at_utc").alias("last_at"))
+    # files by day, of a size, whatever the number of tasks and the largest day
+    fresh.hint("rebalance", "snapshot_day").write.mode("overwrite").partitionBy("snapshot_day").parquet(target)
+    here = _read(spark, target, _STORED.replace(", batch long", ""))
+    manifest = here.agg(F.count(F.lit(1)).alias("n_rows"), F.min("retrieved_at_utc").alias("first_at"), F.max("retrieved_at_utc").alias("last_at"))
     manifest.coalesce(1).write.mode("overwrite").parquet(f"{table}.batches/batch={batch}")
 
 
