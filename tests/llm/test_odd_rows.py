@@ -1,11 +1,12 @@
 """Very long texts, columns with clashing names, nulls, repeats and empty tables: each operator gives what it gives for the bare rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftledger.llm import html_extract, license_scan, ngram_join, pieces, quality_classifier, quality_rules, substring_dedup, warc_audit
+from driftledger.llm import html_extract, license_scan, ngram_join, pieces, quality_classifier, quality_rules, queries, substring_dedup, warc_audit
 from driftledger.llm.queries import PIECE_MODEL
 
 RNG = random.Random(77)
@@ -72,3 +73,17 @@ def test_pages_and_records(spark):
     found = warc_audit.audit(warc_audit.records(clashing), warc_audit.records(cut)).collect()
     assert [(r.page_id, r.status) for r in found] == [(3, "changed")]
     assert warc_audit.audit(warc_audit.records(clashing.where("false")), warc_audit.records(cut.where("false"))).collect() == []
+
+
+def test_license_query_gives_starts(spark, tmp_path):
+    """Against a plain reading of the contract: n_words, n_base, first_word, last_word, base_labels."""
+    phrases = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+    texts = ["Under THE mit-license, apache license version 2 cc by nc", "cc by nc cc by nc", "cc\x00by\x7fnc Kelvin mit", "under the mit license", "apache license version 20", "", None, "écc by nc \U0001f600 cc\nby\tnc", "the mit license under the mit license"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: tuple(r[c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) for r in queries.op10_license_scan(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+        at = [(j, label) for p, label in phrases.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+        starts = [j for j, _ in at]
+        assert found[i] == (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})))
