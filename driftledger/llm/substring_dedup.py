@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from driftledger.llm.wordhash import Words, mix
 
 #: Bytes of text in a batch, about, and words to a bucket, about.
-BATCH_BYTES, BUCKET_WORDS = 4 << 20, 1_000_000
+BATCH_BYTES, BUCKET_WORDS = 3 << 20, 1_000_000
 #: Words of a minimiser.
 MINIMISER = 6
 _SENT = "bucket int, batch int, docs binary, begins binary, sizes binary, low binary, high binary"
@@ -214,6 +214,8 @@ def _paths(k: int, n_batches: int) -> Callable:
             inside = ~has & (doc[lead] < doc)
             source_doc = np.where(has, source_doc[lead], np.where(inside, doc[lead], 0))
             source_at = np.where(has, source_at[lead], np.where(inside, first[lead], -1))
+            del lead, has, inside
+        del prints, doc
         on = np.flatnonzero(source_at >= 0)
         if not len(on):
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int64())], names=_names(_PATH))
@@ -254,7 +256,7 @@ def _batched(docs: DataFrame, columns: tuple[str, ...] = ()) -> tuple[DataFrame,
     """doc_id, text and the batch of each row; the numbers of batches and buckets, from the bytes of all texts."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(96, -(-size // (6 * BUCKET_WORDS)))
-    n_batches = max(24, -(-size // min(16 * BATCH_BYTES, max(BATCH_BYTES, 100 * n_buckets))))
+    n_batches = max(24, -(-size // min(64 << 20, max(BATCH_BYTES, 100 * n_buckets))))
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int").alias("batch")
     rest = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(columns)]
     return docs.select("doc_id", "text", *rest, batch), int(n_batches), int(n_buckets)

@@ -83,11 +83,17 @@ class Words:
         begins = np.cumsum([0] + [len(t or b"") + 1 for t in texts])
         self.ptr = np.searchsorted(self.start, begins)
         values = np.random.default_rng(seed).integers(1, 1 << 64, 256, dtype=np.uint64)
-        n = len(self.buf)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(values[self.buf] * _power_table(_BASE, n), out=sums[1:])
-        got = (sums[self.end] - sums[self.start]) * _power_table(_INVERSE[_BASE], n)[self.start]
-        self.hash = mix(got + (self.end - self.start).astype(np.uint64))
+        self.hash = np.empty(len(self.start), dtype=np.uint64)
+        at = 0
+        while at < len(self.start):  # about a block of bytes is at work at once: its numbers take eight times its room, thrice
+            lo = int(self.start[at])
+            to = max(at + 1, int(np.searchsorted(self.start, lo + BLOCK_BYTES)))
+            hi = int(self.end[to - 1])
+            sums = np.zeros(hi - lo + 1, dtype=np.uint64)
+            np.cumsum(values[self.buf[lo:hi]] * _power_table(_BASE, hi - lo), out=sums[1:])
+            s, e = self.start[at:to] - lo, self.end[at:to] - lo
+            self.hash[at:to] = mix((sums[e] - sums[s]) * _power_table(_INVERSE[_BASE], hi - lo)[s] + (e - s).astype(np.uint64))
+            at = to
 
     def counts(self) -> np.ndarray:
         return np.diff(self.ptr)

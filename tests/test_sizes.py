@@ -1,5 +1,9 @@
 """Work that must not grow faster than its input: what rows carry, and what is computed once."""
 
+import tracemalloc
+
+from driftledger.llm import wordhash
+from driftledger.operators import intervals
 from driftledger.plans import files
 from driftledger.sources import feeds
 from test_entry import DIR
@@ -24,3 +28,20 @@ def test_lines_of_a_csv_feed_do_not_carry_their_file(spark):
 def test_feed_files_are_made_once(spark):
     found = files.feed_files(spark, DIR)
     assert "Aggregate" not in _plan(found) and found.where("path like '%unrouted%'").count() * 5 == found.count()
+
+
+def test_least_networks_join_across_all_parts(spark):
+    nets = [f"{10 << 24 | i << 10:032b}"[:22] for i in range(1 << 8)] + [f"{11 << 24 | i << 16:032b}"[:16] for i in range(256)] + [f"{12 << 24 | i:032b}" for i in range(5)]
+    got = intervals.least(spark.createDataFrame([("a", 4, b) for b in nets], "k string, version int, bits string"), ["k"], width=32).collect()
+    # 10.0.0.0/14, 11.0.0.0/8 and 12.0.0.0/30 with one address more
+    assert sorted(r.bits for r in got) == sorted([f"{10:08b}000000", f"{11:08b}", f"{12:08b}" + "0" * 22, f"{12 << 24 | 4:032b}"])
+
+
+def test_words_are_hashed_in_blocks():
+    text = b" ".join(b"w%d" % i for i in range(400_000)) + b" " + b"x" * 3_000_000 + b" last"
+    tracemalloc.start()
+    words = wordhash.Words([text, b"w7 last"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert words.hash[7] == words.hash[-2] and words.hash[-3] == words.hash[-1] and len(set(words.hash.tolist())) == 400_002
+    assert peak < 28 * len(text)
