@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftledger.functions.addresses import n_addresses
+from driftledger.functions.addresses import minimal, n_addresses
 
 
 def containing(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,6 +30,20 @@ def disjoint(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return one.join(held, [*keys, "version", "bits"], "left_anti")
 
 
+def least(blocks: DataFrame, keys: list[str], width: int = 128) -> DataFrame:
+    """(keys, version, bits): the least list of networks that covers the same addresses as disjoint ones of at most `width` bits.
+
+    Halves are joined eight bits at a time: networks of k + 1 to k + 8 bits meet
+    by their first k, at most 256 in a group, and what became of k bits meets on.
+    """
+    out = blocks.select(*keys, "version", "bits")
+    for k in range(width - 8, -1, -8):
+        part = F.when(F.length("bits").between(k + 1, k + 8), F.substring("bits", 1, k)).otherwise(F.col("bits"))
+        met = out.groupBy(*keys, "version", part.alias("_part")).agg(F.collect_list("bits").alias("_b"))
+        out = met.select(*keys, "version", F.explode(F.when(F.size("_b") == 1, F.col("_b")).otherwise(minimal(F.col("_b")))).alias("bits"))
+    return out
+
+
 def addresses(blocks: DataFrame, keys: list[str], name: str = "addresses") -> DataFrame:
     """Addresses that disjoint blocks cover, by keys and version."""
     return blocks.groupBy(*keys, "version").agg(F.sum(n_addresses(F.col("version"), F.col("bits"))).cast("decimal(38,0)").alias(name))

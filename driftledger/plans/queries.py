@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from driftledger.checkpoints import kept, written
 from driftledger.functions import scalars
-from driftledger.functions.addresses import minimal, n_addresses, network_text, parsed, range_networks
+from driftledger.functions.addresses import n_addresses, network_text, parsed, range_networks
 from driftledger.operators import compare, evidence, intervals, quality, sketches, snapshots, summary
 from driftledger.operators.study import Study, classify, large_changes
 from driftledger.plans import adapter
@@ -308,8 +308,7 @@ def c1_canonical(spark, sf_dir):
 def c20_minimal(spark, sf_dir):
     """All listed networks of a day as the least list of networks, with its number and addresses."""
     rows = registry(spark, sf_dir)
-    flat = intervals.disjoint(rows, ["day"]).groupBy("day", F.substring("bits", 1, 16).alias("part")).agg(F.collect_list("bits").alias("b"))
-    least = flat.select("day", F.explode(minimal(F.col("b"))).alias("bits"))
+    least = intervals.least(intervals.disjoint(rows, ["day"]), ["day"], width=32)
     return least.groupBy(F.col("day").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("networks"), F.sum(n_addresses(F.lit(4), F.col("bits"))).cast("long").alias("addresses"))
 
 
