@@ -1,4 +1,4 @@
-"""A folder for checkpoint(), which cuts long lineages of tables that several results read."""
+"""A folder for tables that several results read, which are written once."""
 
 from __future__ import annotations
 
@@ -8,19 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df written once and read back.
+def fresh_folder(spark: SparkSession) -> str:
+    """A path that does not exist yet, in the shared folder.
 
-    The folder is the one that spark.checkpoint.dir names, shared by all
-    executors; only where none is set, as in tests on one machine, a temporary
-    one is used.
+    It is the one that spark.checkpoint.dir names, shared by all executors; only
+    where none is set, as in tests on one machine, a temporary one is used.
     """
-    _shared(df.sparkSession)
-    return df.checkpoint()
-
-
-def fresh_folder(spark: SparkSession) -> str:
-    """A path that does not exist yet, in the same shared folder."""
     return f"{_shared(spark)}/tables-{uuid.uuid4().hex}"
 
 
@@ -35,7 +28,10 @@ def _shared(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written once as Parquet to the same shared folder and read back, so that later reads take only the columns they need."""
+    """df written once as Parquet to the shared folder and read back: later reads take only the columns they need, and joins know its size.
+
+    checkpoint() would compute df twice, once to count its rows and once to write them.
+    """
     path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

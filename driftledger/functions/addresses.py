@@ -100,10 +100,12 @@ def parsed(value: Column) -> Column:
     expressions without lambdas; only other text goes the long way.
     """
     v = F.trim(value)
-    address, size = ipv4_bits(F.substring_index(v, "/", 1)), F.coalesce(F.substring_index(F.when(v.contains("/"), v), "/", -1).try_cast("int"), F.lit(32))
-    leading, host = F.substring(address, F.lit(1), size), F.substring(address, size + 1, F.lit(32)).contains("1")
+    slash = v.contains("/")
+    address, size = ipv4_bits(F.substring_index(v, "/", 1)), F.substring_index(v, "/", -1).try_cast("int")
+    leading, host = F.substring(address, F.lit(1), size), slash & F.substring(address, size + 1, F.lit(32)).contains("1")
+    # only networks are cut and looked through for host bits: an address's bits are computed once
     plain = F.struct(
-        F.when(v.contains("/"), "cidr").otherwise("ip").alias("kind"), F.lit(4).alias("version"), leading.alias("bits"),
+        F.when(slash, "cidr").otherwise("ip").alias("kind"), F.lit(4).alias("version"), F.when(slash, leading).otherwise(ipv4_bits(v)).alias("bits"),
         F.when(host, F.concat(ipv4_text(leading), F.lit("/"), size.cast("string"))).otherwise(v).alias("text"), host.alias("host_bits"),
     )
     return F.when(v.rlike(_PLAIN_V4), plain).otherwise(_parsed_any(v))
@@ -152,7 +154,8 @@ def n_addresses(version: Column, bits: Column) -> Column:
     power = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int")).cast("decimal(19,0)")
     first, second = F.least(free, F.lit(62)), F.least(F.greatest(free - 62, F.lit(0)), F.lit(62))
     third = F.greatest(free - 124, F.lit(0))
-    return F.when(free <= 126, (power(first) * power(second)).cast("decimal(38,0)") * power(third).cast("decimal(1,0)")).cast("decimal(38,0)")
+    six = F.when(free <= 126, (power(first) * power(second)).cast("decimal(38,0)") * power(third).cast("decimal(1,0)")).cast("decimal(38,0)")
+    return F.when(version == 4, F.call_function("shiftleft", F.lit(1).cast("long"), free).cast("decimal(38,0)")).otherwise(six)
 
 
 def network_text(version: Column, bits: Column) -> Column:

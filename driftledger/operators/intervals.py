@@ -26,7 +26,10 @@ def containing(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame
 def disjoint(blocks: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, version, bits) without networks that another one of the same keys holds."""
     one = blocks.select(*keys, "version", "bits").distinct()
-    held = containing(one, one, keys).where("bits <> holder").select(*keys, "version", "bits").distinct()
+    lengths = one.select(F.col("version").alias("_v"), F.length("bits").alias("_l")).distinct()
+    # only shorter networks are looked for, and only those that are there stay
+    shorter = one.join(F.broadcast(lengths), (F.col("version") == F.col("_v")) & (F.col("_l") < F.length("bits"))).withColumn("_t", F.substring(F.col("bits"), F.lit(1), F.col("_l")))
+    held = shorter.join(one.withColumnRenamed("bits", "_t"), [*keys, "version", "_t"], "left_semi").select(*keys, "version", "bits").distinct()
     return one.join(held, [*keys, "version", "bits"], "left_anti")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftledger.checkpoints import kept, written
+from driftledger.checkpoints import written
 from driftledger.functions.addresses import minimal, n_addresses
 from driftledger.functions.scalars import jaccard, percent_change
 from driftledger.operators.intervals import addresses, containing, disjoint, meeting
@@ -31,7 +31,7 @@ def classify(members: DataFrame, registry: DataFrame, country: str = "DK", with_
     registry: (day, version, bits).  A day without registry rows is unknown, not
     empty.  with_text: hits as the least list of networks.
     """
-    blocks = kept(disjoint(registry, ["day"]))
+    blocks = written(disjoint(registry, ["day"]))
     days = blocks.select("day").distinct().withColumn("evidence", F.lit(True))
     nets = members.select("day", "version", "bits").distinct()
     whole = containing(nets, blocks, ["day"]).select("day", "version", "bits").distinct().withColumn("full", F.lit(True))
@@ -58,12 +58,16 @@ class Study:
 
     @classmethod
     def of(cls, keys: DataFrame, snapshots: DataFrame, registry: DataFrame, calendar: DataFrame, sources: DataFrame, parse, country: str = "DK") -> Study:
-        """keys: (day, source, indicator_type, indicator) of selected snapshots; snapshots: (day, source) usable ones."""
+        """keys: (day, source, indicator_type, indicator) of selected snapshots; snapshots: (day, source) usable ones.
+
+        Keys that come with their version and bits are not parsed again.
+        """
         address = F.col("indicator_type").isin("ip", "cidr")
-        keys = written(keys.select("day", "source", "indicator_type", "indicator", F.when(address, parse(F.col("indicator"))).alias("p")))
+        net = F.when(F.col("bits").isNotNull(), F.struct("version", "bits")) if {"version", "bits"} <= set(keys.columns) else parse(F.col("indicator"))
+        keys = written(keys.select("day", "source", "indicator_type", "indicator", F.when(address, net).alias("p")))
         usable = snapshots.select("day", "source").distinct().join(F.broadcast(registry.select("day").distinct().withColumn("evidence", F.lit(True))), "day", "left").fillna(False, ["evidence"])
         nets = keys.where(address & F.col("p").isNotNull()).select("day", "source", "indicator_type", "indicator", "p.version", "p.bits")
-        return cls(calendar, kept(sources), kept(usable), written(classify(nets, registry, country)), keys.where(~address).drop("p"), country)
+        return cls(calendar, written(sources), written(usable), written(classify(nets, registry, country)), keys.where(~address).drop("p"), country)
 
     @cached_property
     def frame(self) -> DataFrame:
@@ -78,7 +82,7 @@ class Study:
     @cached_property
     def covered(self) -> DataFrame:
         """(day, source, version, bits): disjoint networks in scope that a source covers on a day."""
-        return kept(disjoint(kept(self.members.where(F.size("hits") > 0).select("day", "source", "version", F.explode("hits").alias("bits")).distinct()), ["day", "source"]))
+        return written(disjoint(written(self.members.where(F.size("hits") > 0).select("day", "source", "version", F.explode("hits").alias("bits")).distinct()), ["day", "source"]))
 
     def label_counts(self) -> DataFrame:
         other = self.named.select("day", "source", F.lit("NOT_IP_IN_SCOPE").alias("label"))

@@ -22,13 +22,13 @@ EXPECTED = "expected_feed"
 
 
 def raw_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapter.table(spark, sf_dir, adapter.RAW_FILES)
+    return adapter.of_half_days(spark, sf_dir, adapter.RAW_FILES)
 
 
 def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run manifests in the shape of saved ones. A run lists one output for each source."""
     runs = adapter.table(spark, sf_dir, adapter.RUNS)
-    listed = adapter.table(spark, sf_dir, adapter.OUTPUTS).groupBy("run_id").agg(F.collect_list(F.struct("path", "sha256")).alias("outputs"))
+    listed = adapter.of_half_days(spark, sf_dir, adapter.OUTPUTS).groupBy("run_id").agg(F.collect_list(F.struct("path", "sha256")).alias("outputs"))
     out = runs.join(listed, "run_id", "left")
     out = out.withColumns(
         {
@@ -85,7 +85,7 @@ def j11_raw_files(spark, sf_dir):
 
 
 def j12_logged_files(spark, sf_dir):
-    return quality.collection_log(adapter.table(spark, sf_dir, adapter.COLLECTION_LOG), raw_files(spark, sf_dir))
+    return quality.collection_log(adapter.of_half_days(spark, sf_dir, adapter.COLLECTION_LOG), raw_files(spark, sf_dir))
 
 
 def q3_outputs(spark, sf_dir):
@@ -102,7 +102,7 @@ def q5_overall(spark, sf_dir):
 
 def q10_changed_inputs(spark, sf_dir):
     """Raw files that differ between what runs listed and what lies there."""
-    before = adapter.table(spark, sf_dir, adapter.OUTPUTS).select("path", "sha256")
+    before = adapter.of_half_days(spark, sf_dir, adapter.OUTPUTS).select("path", "sha256")
     return quality.changed_inputs(before, raw_files(spark, sf_dir))
 
 
@@ -128,7 +128,7 @@ def f10_runs_of_day(spark, sf_dir):
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registry responses, one file a day, with metadata that some of them contradict. A day has two versions of its metadata."""
-    rows = adapter.table(spark, sf_dir, adapter.REGISTRY).groupBy("day").agg(F.array_sort(F.collect_set("prefix")).alias("ipv4"))
+    rows = written(adapter.table(spark, sf_dir, adapter.REGISTRY).groupBy("day").agg(F.array_sort(F.collect_set("prefix")).alias("ipv4")))
     n, day = F.dayofmonth("day"), F.col("day").cast("string")
     v6 = F.when(n % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(F.lit("2001:db8::/32")))
     v4 = F.when(n % 11 == 4, F.concat("ipv4", F.array(F.lit("10.0.0.1/8")))).otherwise(F.col("ipv4"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.checkpoints import kept, written
+from driftledger.checkpoints import written
 from driftledger.functions import scalars
 from driftledger.functions.addresses import n_addresses, network_text, parsed, range_networks
 from driftledger.operators import compare, evidence, intervals, quality, sketches, snapshots, summary
@@ -32,14 +32,14 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described_log(adapter.table(spark, sf_dir, adapter.COLLECTION_LOG))
+    return written(described_log(adapter.of_half_days(spark, sf_dir, adapter.COLLECTION_LOG)))
 
 
 def selection(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(checked rows, snapshots, selected snapshots)."""
-    rows = written(snapshots.checked_rows(observations(spark, sf_dir)).drop("net"))
-    found = kept(snapshots.index(rows))
-    return rows, found, kept(snapshots.selected(found, log(spark, sf_dir)))
+    """(what is needed of checked rows, snapshots, selected snapshots)."""
+    rows = written(snapshots.checked_rows(observations(spark, sf_dir)).select("source_name", "day", "snapshot_id", "at", "source_path", "sha256", "indicator_type", "indicator", "invalid", "net.version", "net.bits"))
+    found = written(snapshots.index(rows))
+    return rows, found, written(snapshots.selected(found, log(spark, sf_dir)))
 
 
 def study(spark: SparkSession, sf_dir: str) -> Study:
@@ -48,7 +48,7 @@ def study(spark: SparkSession, sf_dir: str) -> Study:
 
 def study_of(spark: SparkSession, sf_dir: str, rows: DataFrame, _: DataFrame, chosen: DataFrame) -> Study:
     good = chosen.where("blocked is null").select("source_name", "day", "snapshot_id")
-    keys = rows.where("not invalid").join(good, ["source_name", "day", "snapshot_id"], "left_semi").select("day", F.col("source_name").alias("source"), "indicator_type", "indicator").distinct()
+    keys = rows.where("not invalid").join(good, ["source_name", "day", "snapshot_id"], "left_semi").select("day", F.col("source_name").alias("source"), "indicator_type", "indicator", "version", "bits").distinct()
     sources = rows.select(F.col("source_name").alias("source")).distinct()
     return Study.of(keys, good.select("day", F.col("source_name").alias("source")), registry(spark, sf_dir), summary.calendar(spark, START, END), sources, parsed)
 
@@ -81,7 +81,7 @@ def w2_latest_snapshot(spark, sf_dir):
 
 def a3_sketched_overlap(spark, sf_dir):
     """The overlap of sources over the study's window from daily sketches; with 2^20 entries it is exact for up to a million keys."""
-    days = kept(sketches.daily(observations(spark, sf_dir), 20))
+    days = written(sketches.daily(observations(spark, sf_dir), 20))
     return sketches.overlap(days, START, END, 20)
 
 

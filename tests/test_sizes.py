@@ -2,9 +2,12 @@
 
 import tracemalloc
 
+from pyspark.sql import functions as F
+
 from driftledger.llm import wordhash
 from driftledger.operators import intervals
-from driftledger.plans import files
+from driftledger.operators.study import Study
+from driftledger.plans import adapter, files
 from driftledger.sources import feeds
 from test_entry import DIR
 
@@ -45,3 +48,30 @@ def test_words_are_hashed_in_blocks():
     tracemalloc.stop()
     assert words.hash[7] == words.hash[-2] and words.hash[-3] == words.hash[-1] and len(set(words.hash.tolist())) == 400_002
     assert peak < 28 * len(text)
+
+
+def test_half_day_tables_equal_the_sql_over_all_events(spark):
+    for sql in (adapter.COLLECTION_LOG, adapter.RAW_FILES, adapter.OUTPUTS):
+        every, told_apart = adapter.table(spark, DIR, sql), adapter.of_half_days(spark, DIR, sql)
+        assert sorted(map(tuple, told_apart.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_keys_with_bits_are_not_parsed_again(spark):
+    day = F.to_date(F.lit("2024-01-01")).alias("day")
+    keys = spark.createDataFrame([("a", "ip", "10.0.0.1", 4, f"{0x0A000001:032b}"), ("a", "url", "http://x", None, None)], "source string, indicator_type string, indicator string, version int, bits string").select(day, "*")
+    registry = spark.createDataFrame([(4, f"{0x0A:08b}")], "version int, bits string").select(day, "*")
+    days = spark.range(1).select(day)
+    source = keys.select("day", "source").distinct()
+
+    def refused(_):
+        raise AssertionError("parsed again")
+
+    s = Study.of(keys, source, registry, days, source.select("source"), refused)
+    assert {(r.label, r.n) for r in s.label_counts().collect()} == {("DK_FULL", 1), ("NOT_IP_IN_SCOPE", 1)}
+
+
+def test_nested_networks_go_at_every_depth(spark):
+    texts = ["0", "01", "0110", "10", "1011", "110", "111"]
+    rows = spark.createDataFrame([(k, 4, b) for k in ("a", "b") for b in texts if k == "a" or len(b) > 1], "k string, version int, bits string")
+    left = {k: sorted(r.bits for r in intervals.disjoint(rows, ["k"]).collect() if r.k == k) for k in ("a", "b")}
+    assert left == {"a": ["0", "10", "110", "111"], "b": ["01", "10", "110", "111"]}
