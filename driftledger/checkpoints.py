@@ -8,6 +8,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df checkpointed, which computes it twice, once to count its rows and once to write them."""
+    _shared(df.sparkSession)
+    return df.checkpoint()
+
+
 def fresh_folder(spark: SparkSession) -> str:
     """A path that does not exist yet, in the shared folder.
 
@@ -30,7 +36,7 @@ def _shared(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """df written once as Parquet to the shared folder and read back: later reads take only the columns they need, and joins know its size.
 
-    checkpoint() would compute df twice, once to count its rows and once to write them.
+    `kept` would compute df twice.
     """
     path = fresh_folder(df.sparkSession)
     df.write.parquet(path)
