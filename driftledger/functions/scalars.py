@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from driftledger.functions.addresses import let
+
 _STAMP = r"([0-9]{8}T[0-9]{6}Z)"
 #: Source names that a file name or a log may use.
 SOURCE_ALIASES = {"firehol": "FireHOL", "spamhaus": "Spamhaus DROP", "spamhaus drop": "Spamhaus DROP", "blocklist_de": "blocklist.de"}
@@ -45,8 +47,28 @@ def domain_of(value: Column) -> Column:
 
 
 def first_filled(item: Column, names: tuple[str, ...]) -> Column:
-    """The first non-empty of several keys of a JSON object in text, else ''."""
-    return F.coalesce(*(F.nullif(F.get_json_object(item, f"$.{n}"), F.lit("")) for n in names), F.lit(""))
+    """The first non-empty of several keys of a JSON object in text, else ''.  Text without a key's letters, and without an escape that may stand for them, is not read for it."""
+    found = (F.when(item.contains(n) | item.contains("\\"), F.get_json_object(item, f"$.{n}")) for n in names)
+    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.lit(""))
+
+
+def packed(*texts: Column) -> Column:
+    """Texts as one that is equal for equal texts only: the lengths of all but the last one, then themselves."""
+    return F.concat(*(x for t in texts[:-1] for x in (F.length(t).cast("string"), F.lit(","))), *texts)
+
+
+def unpacked(pack: Column, names: tuple[str, ...]) -> Column:
+    """What `packed` was given, as fields of a struct."""
+    last = len(names) - 1
+
+    def fields(parts: Column) -> Column:
+        ends = [F.lit(0)]
+        for k in range(last):
+            ends.append(ends[-1] + parts[k].cast("int"))
+        lengths = [parts[k].cast("int") for k in range(last)] + [F.length(parts[last])]
+        return F.struct(*(F.substring(parts[last], e + 1, n).alias(name) for e, n, name in zip(ends, lengths, names, strict=True)))
+
+    return let(F.split(pack, ",", last + 1), fields)
 
 
 def raw_day(at: Column) -> Column:

@@ -40,27 +40,34 @@ def manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*(c for c in MANIFEST.names if c != "_corrupt"), "manifest_path")
 
 
-def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def feed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(path, modificationTime, content): each half day of a feed in four formats and in one that no parser knows.
 
     A file holds at most 4,096 events; each ends in a remark with a byte that is no UTF-8.
-    The files are written once, since each parser reads them.
+    Events come together as what they have in common in all formats, and become lines there.
     """
     rows = adapter.table(spark, sf_dir, adapter.FEED_LINES)
+    lines = rows.groupBy("s", "stamp", "part", "n").agg(F.collect_list(F.struct("k", "ip", "cidr", "u")).alias("events"))
     key = F.when(F.col("n") % 2 == 0, "cidr").otherwise("network")
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    broken = (F.col("n") % 9 == 4) & (F.col("k") % 7 == 0)  # a file with such a line is refused
-    item = F.concat(F.lit("{"), quoted(key), F.lit(": "), quoted(F.col("cidr")), F.lit(', "sblid": "S'), "u", F.when(broken, '"').otherwise('"}'))
-    url = F.concat(F.col("k").cast("string"), F.lit(',"http://H'), "u", F.lit('.Example.org/a,b",online,"say ""x"""'))
-    lines = rows.groupBy("s", "stamp", "part").agg(F.collect_list(F.struct("ip", F.concat("ip", F.lit(" # seen")).alias("seen"), item.alias("item"), url.alias("url"))).alias("lines"))
+    broken = lambda e: (F.col("n") % 9 == 4) & (e["k"] % 7 == 0)  # noqa: E731  (a file with such a line is refused)
+    seen = lambda e: F.concat(e["ip"], F.lit(" # seen"))
+    item = lambda e: F.concat(F.lit("{"), quoted(key), F.lit(": "), quoted(e["cidr"]), F.lit(', "sblid": "S'), e["u"], F.when(broken(e), '"').otherwise('"}'))
+    url = lambda e: F.concat(e["k"].cast("string"), F.lit(',"http://H'), e["u"], F.lit('.Example.org/a,b",online,"say ""x"""'))
     shapes = (
-        ("firehol", "netset", "seen", "; head"), ("blocklist", "txt", "ip", "# head"), ("spamhaus", "json", "item", "# head"), ("urlhaus", "csv", "url", "id,url,url_status,threat"), ("unrouted", "txt", "ip", "# head"),
+        ("firehol", "netset", seen, "; head"), ("blocklist", "txt", lambda e: e["ip"], "# head"), ("spamhaus", "json", item, "# head"),
+        ("urlhaus", "csv", url, "id,url,url_status,threat"), ("unrouted", "txt", lambda e: e["ip"], "# head"),
     )
-    shaped = [F.struct(F.lit(n).alias("feed"), F.lit(x).alias("ending"), F.array_join(F.sort_array(f"lines.{v}"), "\r\n").alias("body"), F.lit(h).alias("head")) for n, x, v, h in shapes]
+    shaped = [F.struct(F.lit(n).alias("feed"), F.lit(x).alias("ending"), F.array_join(F.sort_array(F.transform("events", v)), "\r\n").alias("body"), F.lit(h).alias("head")) for n, x, v, h in shapes]
     files = lines.select("s", "stamp", "part", F.explode(F.array(*shaped)).alias("f")).select("s", "stamp", "part", "f.*")
     name = F.concat("feed", F.lit("_"), "s", F.lit("_"), "part", F.lit("_"), "stamp", F.lit("."), "ending")
     body = F.concat(F.encode(F.concat("head", F.lit("\r\n"), "body", F.lit("\n# ")), "UTF-8"), F.unhex(F.lit("FF")))
-    return written(files.select(F.concat(F.lit("/lake/data/raw/"), "s", F.lit("/"), name).alias("path"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("modificationTime"), body.alias("content")))
+    return files.select(F.concat(F.lit("/lake/data/raw/"), "s", F.lit("/"), name).alias("path"), F.lit("2024-02-01 00:00:00").cast("timestamp").alias("modificationTime"), body.alias("content"))
+
+
+def feed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, written once, since each parser reads them."""
+    return written(feed_lines(spark, sf_dir))
 
 
 def s4_feed_formats(spark, sf_dir):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.checkpoints import fresh_folder
+from driftledger.checkpoints import fresh_folder, unsorted_parts
 from driftledger.plans import adapter, files
 from driftledger.plans.files_sql import SOUND
 from driftledger.plans.oracle import _q
@@ -24,15 +24,18 @@ def replayed(spark: SparkSession, rows: DataFrame, delivery: str) -> DataFrame:
 
 def r1_ingested(spark, sf_dir):
     """Feed files ingested in three deliveries; a half of them comes again under another name. Stored rows by feed, kind and time."""
-    found = files.feed_files(spark, sf_dir)
+    found = files.feed_lines(spark, sf_dir)
     part = F.pmod(F.crc32("path"), F.lit(2)).cast("int")
-    again = found.where(part == 0).withColumn("path", F.regexp_replace("path", "/lake/", "/mirror/copy_")).withColumn("path", F.regexp_replace("path", "_([^_]*)$", "_again_$1"))
-    told = found.withColumn("delivery", part).unionByName(again.withColumn("delivery", F.lit(2)))
-    table, inbox, checkpoint = fresh_folder(spark), fresh_folder(spark), fresh_folder(spark)
-    # each delivery lies there as many files, and one run of the stream with the same checkpoint takes what is new
+    again = F.regexp_replace(F.regexp_replace("path", "/lake/", "/mirror/copy_"), "_([^_]*)$", "_again_$1")
+    comes = F.array(F.struct(part.alias("delivery"), F.col("path").alias("path")), F.struct(F.when(part == 0, 2).alias("delivery"), again.alias("path")))
+    told = found.select(F.explode(comes).alias("c"), "modificationTime", "content").where("c.delivery IS NOT NULL").select("c.delivery", "c.path", "modificationTime", "content")
+    inbox, table, checkpoint = fresh_folder(spark), fresh_folder(spark), fresh_folder(spark)
+    # all are made and written once; each delivery lies there as many files, and one run of the stream with the same checkpoint takes what is new
+    with unsorted_parts(spark):
+        told.write.option("compression", "zstd").partitionBy("delivery").parquet(inbox)
     for n in range(3):
-        told.where(F.col("delivery") == n).drop("delivery").write.mode("append").parquet(inbox)
-        ingest.ingest_stream(spark.readStream.schema(told.drop("delivery").schema).parquet(inbox), table, checkpoint).awaitTermination()
+        arrived = spark.readStream.schema(told.drop("delivery").schema).parquet(f"{inbox}/delivery=[0-{n}]")
+        ingest.ingest_stream(arrived, table, checkpoint).awaitTermination()
     rows = ingest.stored(spark, table)
     return rows.groupBy("source_name", "indicator_type", "retrieved_at_utc").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("indicator").alias("indicators"), F.min("indicator").alias("least"))
 

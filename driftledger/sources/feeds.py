@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftledger.functions.addresses import is_parsed, parsed
-from driftledger.functions.scalars import computed, domain_of, file_name, first_filled, retrieved_at, snapshot_id
+from driftledger.functions.addresses import is_parsed, let, parsed
+from driftledger.functions.scalars import computed, domain_of, file_name, first_filled, packed, retrieved_at, snapshot_id, unpacked
 from driftledger.schemas import OBSERVATION
 
 #: Part of a file name, source name and format; the first that fits counts.
@@ -79,10 +79,19 @@ def is_refused(kind: Column, text: Column) -> Column:
     return F.coalesce((kind == "json") & broken, F.lit(False))
 
 
-def json_items(files: DataFrame) -> DataFrame:
+def _exploded(files: DataFrame, packs: Column, names: tuple[str, ...], distinct: bool) -> DataFrame:
+    """A row with the fields of each pack of a file; of a file's equal packs one where they are to be distinct, told where the file is read, with no shuffle."""
+    # packs are made before they part, so that no row carries its whole file; and once, since the explode's filter on them stays above
+    made = computed(files, "rest", F.array_distinct(packs) if distinct else packs).select(*_META, "rest")
+    rows = made.select(*_META, F.explode("rest").alias("pack"))
+    return computed(rows, "fields", unpacked(F.col("pack"), names)).select(*_META, "fields.*")
+
+
+def json_items(files: DataFrame, distinct: bool = False) -> DataFrame:
     """JSON feeds: an object with a list or object of items, a list, or an object a line.
 
     A file with a line that does not parse gives no rows at all; `parse_notes` names it.
+    Items of a file that agree in what is read of them give one row if `distinct`.
 
     Two shapes that the plain reading of the format leaves without rows, a list
     at top level and a single line that is itself an item, give their items.
@@ -97,16 +106,14 @@ def json_items(files: DataFrame) -> DataFrame:
     single = F.try_parse_json("whole").isNotNull()
     lines = _json_lines(F.col("text"))
     items = F.when(single & F.col("whole").startswith("["), F.from_json("whole", "array<string>")).when(single & items.isNotNull(), items).otherwise(lines)
-    rows = text.select(*_META, F.explode(items).alias("item"))
-    value = F.when(F.col("item").startswith("{"), first_filled(F.col("item"), VALUE_KEYS)).otherwise(F.regexp_replace("item", '^"|"$', ""))
-    rows = computed(rows, "value", value).where(is_parsed(F.col("value"))).withColumn("p", parsed(F.col("value")))
-    return rows.select(
-        *_row(indicator_type=F.col("p.kind"), indicator=F.col("p.text"), source_value=F.col("value"), reason=first_filled(F.col("item"), REASON_KEYS), provider_timestamp=first_filled(F.col("item"), TIME_KEYS))
-    )
+    value = lambda item: F.when(item.startswith("{"), first_filled(item, VALUE_KEYS)).otherwise(F.regexp_replace(item, '^"|"$', ""))
+    packs = F.transform(items, lambda item: packed(value(item), first_filled(item, REASON_KEYS), first_filled(item, TIME_KEYS)))
+    rows = _exploded(text, packs, ("value", "reason", "time"), distinct).where(is_parsed(F.col("value"))).withColumn("p", parsed(F.col("value")))
+    return rows.select(*_row(indicator_type=F.col("p.kind"), indicator=F.col("p.text"), source_value=F.col("value"), reason=F.col("reason"), provider_timestamp=F.col("time")))
 
 
-def url_rows(files: DataFrame) -> DataFrame:
-    """CSV feeds of URLs: the first line without '#' names the columns; the URL counts, else the host."""
+def url_rows(files: DataFrame, distinct: bool = False) -> DataFrame:
+    """CSV feeds of URLs: the first line without '#' names the columns; the URL counts, else the host.  Lines of a file that agree in what is read of them give one row if `distinct`."""
     lines = F.filter(F.split("text", "\r\n|\r|\n"), lambda x: ~x.startswith("#") & (x != ""))
     kept = files.where("format = 'csv'").withColumn("lines", lines).where(F.size("lines") > 1)
 
@@ -115,28 +122,29 @@ def url_rows(files: DataFrame) -> DataFrame:
         found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(r',("(?:[^"]|"")*"|[^,]*)'), F.lit(1))
         return F.transform(found, lambda c: F.when(c.startswith('"'), F.replace(F.regexp_replace(c, '^"|"$', ""), F.lit('""'), F.lit('"'))).otherwise(c))
 
-    # names are taken before the lines part, so that no row carries its whole file
-    headed = kept.select(*_META, cells(F.element_at("lines", 1)).alias("names"), F.slice("lines", F.lit(2), F.size("lines") - 1).alias("rest"))
-    rows = computed(headed.select(*_META, "names", F.explode("rest").alias("line")), "cells", cells(F.col("line")))
+    headed = kept.select(*_META, cells(F.element_at("lines", 1)).alias("names"), F.slice("lines", F.lit(2), F.size("lines") - 1).alias("below"))
+    used = ("url", "host", "dateadded", "last_online", "threat", "url_status")
+    placed = headed.select(*_META, "below", *(F.array_position("names", F.lit(n)).cast("int").alias(f"at_{n}") for n in used))
 
-    def cell(name: str) -> Column:
-        place = F.array_position("names", F.lit(name)).cast("int")
-        return F.trim(F.coalesce(F.when(place > 0, F.get("cells", place - 1)), F.lit("")))
+    def read(cell: Column) -> Column:
+        of = {n: F.trim(F.coalesce(F.when(F.col(f"at_{n}") > 0, F.get(cell, F.col(f"at_{n}") - 1)), F.lit(""))) for n in used}
+        kind, value = F.when(of["url"] != "", "url").otherwise("domain"), F.when(of["url"] != "", of["url"]).otherwise(of["host"])
+        time = F.when(of["dateadded"] != "", of["dateadded"]).otherwise(of["last_online"])
+        return packed(kind, value, of["threat"], time, of["url_status"])
 
-    url, host = cell("url"), cell("host")
-    value = F.when(url != "", url).otherwise(host)
-    time = F.when(cell("dateadded") != "", cell("dateadded")).otherwise(cell("last_online"))
-    return rows.withColumn("value", value).where("value <> ''").select(
+    packs = F.transform("below", lambda line: let(cells(line), read))
+    rows = _exploded(placed, packs, ("kind", "value", "reason", "time", "state"), distinct).where("value <> ''")
+    return rows.select(
         *_row(
-            indicator_type=F.when(url != "", "url").otherwise("domain"), indicator=F.when(url != "", F.col("value")).otherwise(domain_of(F.col("value"))), source_value=F.col("value"),
-            reason=cell("threat"), provider_timestamp=time, notes=cell("url_status"),
+            indicator_type=F.col("kind"), indicator=F.when(F.col("kind") == "url", F.col("value")).otherwise(domain_of(F.col("value"))), source_value=F.col("value"),
+            reason=F.col("reason"), provider_timestamp=F.col("time"), notes=F.col("state"),
         )
     )
 
 
-def observations(files: DataFrame) -> DataFrame:
-    """Rows of all parsers."""
-    return network_lines(files).unionByName(json_items(files)).unionByName(url_rows(files))
+def observations(files: DataFrame, distinct: bool = False) -> DataFrame:
+    """Rows of all parsers; of a file's equal rows one if `distinct` (lines of networks differ by their number)."""
+    return network_lines(files).unionByName(json_items(files, distinct)).unionByName(url_rows(files, distinct))
 
 
 def parse_notes(files: DataFrame, rows: DataFrame) -> DataFrame:

@@ -75,3 +75,42 @@ def test_nested_networks_go_at_every_depth(spark):
     rows = spark.createDataFrame([(k, 4, b) for k in ("a", "b") for b in texts if k == "a" or len(b) > 1], "k string, version int, bits string")
     left = {k: sorted(r.bits for r in intervals.disjoint(rows, ["k"]).collect() if r.k == k) for k in ("a", "b")}
     assert left == {"a": ["0", "10", "110", "111"], "b": ["01", "10", "110", "111"]}
+
+
+def test_files_are_told_apart_before_they_are_parsed(spark, tmp_path, monkeypatch):
+    from driftledger.checkpoints import written
+    from driftledger.streaming import ingest
+
+    text = "id,url,url_status,threat\n" + "\n".join(f'{i},"http://h{i % 7}.example.org/a,b",online,x' for i in range(50))
+    shape = "path string, modificationTime timestamp, content binary"
+    frame = lambda *names: spark.createDataFrame([(f"/lake/{n}", None, text.encode()) for n in names], shape)
+    parsed, kept = [], []
+
+    def observations(files, **how):
+        parsed.append(files.count())
+        return feeds.observations(files, **how)
+
+    def noted(df):
+        kept.append(df.columns)
+        return written(df)
+
+    monkeypatch.setattr(ingest, "observations", observations)
+    monkeypatch.setattr(ingest, "written", noted)
+    table = str(tmp_path / "table")
+    first, second = "urlhaus_20240101T000000Z.csv", "urlhaus_b_20240101T000000Z.csv"
+    ingest.merge(frame(second, first, first), 0, table)  # a path twice, and its content under another name
+    ingest.merge(frame("copy_" + first), 1, table)
+    ingest.merge(frame("copy_" + first, "urlhaus_20240102T000000Z.csv"), 2, table)
+    assert parsed == [1, 0, 1] and not any("indicator" in c or "text" in c for c in kept)
+    rows = ingest.stored(spark, table).select("source_path", "indicator").collect()
+    assert len(rows) == len(set(rows)) == 14 and {r.source_path for r in rows} == {f"/lake/{first}", "/lake/urlhaus_20240102T000000Z.csv"}
+
+
+def test_equal_rows_of_a_file_are_told_where_it_is_read(spark):
+    # texts that only their lengths tell apart, escapes, and items that differ in what is not read
+    items = ['{"ip": "10.0.0.1", "sblid": "a,b", "x": 1}', '{"ip": "10.0.0.1", "sblid": "a,b", "x": 2}', '{"ip": "10.0.0.1", "sblid": "a", "date": ",b"}', '{"\\u0069p": "10.0.0.1", "sblid": "a\\nb"}', '"10.0.0.2"', '"10.0.0.2"']
+    files = feeds.described(spark.createDataFrame([("/lake/spamhaus_20240101T000000Z.json", None, "\n".join(items).encode()), ("/lake/urlhaus_20240101T000000Z.csv", None, b"id,host,url\n1,A.org,\n2,A.org,\n3,,\n4,A.org,http://A.org")], "path string, modificationTime timestamp, content binary"))
+    read = lambda **how: sorted((r.indicator_type, r.indicator, r.source_value, r.reason, r.provider_timestamp) for r in feeds.observations(files, **how).collect())
+    one = [("domain", "a.org", "A.org", "", ""), ("ip", "10.0.0.1", "10.0.0.1", "a", ",b"), ("ip", "10.0.0.1", "10.0.0.1", "a\nb", ""), ("ip", "10.0.0.1", "10.0.0.1", "a,b", ""), ("ip", "10.0.0.2", "10.0.0.2", "", ""), ("url", "http://A.org", "http://A.org", "", "")]
+    assert read(distinct=True) == one and sorted(set(read())) == one and len(read()) == 9
+    assert "Exchange" not in feeds.observations(files, distinct=True)._jdf.queryExecution().executedPlan().toString()
