@@ -49,12 +49,12 @@ def domain_of(value: Column) -> Column:
 def first_filled(item: Column, names: tuple[str, ...]) -> Column:
     """The first non-empty of several keys of a JSON object in text, else ''.  Text without a key's letters, and without an escape that may stand for them, is not read for it."""
     found = (F.when(item.contains(n) | item.contains("\\"), F.get_json_object(item, f"$.{n}")) for n in names)
-    return F.coalesce(*(F.nullif(x, F.lit("")) for x in found), F.lit(""))
+    return F.coalesce(F.get(F.filter(F.array(*found), lambda x: x != ""), F.lit(0)), F.lit(""))
 
 
 def packed(*texts: Column) -> Column:
     """Texts as one that is equal for equal texts only: the lengths of all but the last one, then themselves."""
-    return F.concat(*(x for t in texts[:-1] for x in (F.length(t).cast("string"), F.lit(","))), *texts)
+    return let(F.array(*texts), lambda t: F.concat(*(x for k in range(len(texts) - 1) for x in (F.length(t[k]).cast("string"), F.lit(","))), F.array_join(t, "")))
 
 
 def unpacked(pack: Column, names: tuple[str, ...]) -> Column:

@@ -24,10 +24,13 @@ LIST_KEYS = ("blocklist", "data", "entries")
 
 
 def _routed(name: Column, what: int) -> Column:
-    out = F.lit(None).cast("string")
-    for route in reversed(ROUTES):
-        out = F.when(F.lower(name).contains(route[0]), route[what]).otherwise(out)
-    return out
+    def of(lower: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for route in reversed(ROUTES):
+            out = F.when(lower.contains(route[0]), route[what]).otherwise(out)
+        return out
+
+    return let(F.lower(name), of)
 
 
 def scan(spark: SparkSession, raw: str) -> DataFrame:
@@ -127,10 +130,12 @@ def url_rows(files: DataFrame, distinct: bool = False) -> DataFrame:
     placed = headed.select(*_META, "below", *(F.array_position("names", F.lit(n)).cast("int").alias(f"at_{n}") for n in used))
 
     def read(cell: Column) -> Column:
-        of = {n: F.trim(F.coalesce(F.when(F.col(f"at_{n}") > 0, F.get(cell, F.col(f"at_{n}") - 1)), F.lit(""))) for n in used}
-        kind, value = F.when(of["url"] != "", "url").otherwise("domain"), F.when(of["url"] != "", of["url"]).otherwise(of["host"])
-        time = F.when(of["dateadded"] != "", of["dateadded"]).otherwise(of["last_online"])
-        return packed(kind, value, of["threat"], time, of["url_status"])
+        texts = F.array(*(F.trim(F.coalesce(F.when(F.col(f"at_{n}") > 0, F.get(cell, F.col(f"at_{n}") - 1)), F.lit(""))) for n in used))
+        return let(texts, lambda t: told(*(t[k] for k in range(len(used)))))
+
+    def told(url: Column, host: Column, added: Column, online: Column, threat: Column, state: Column) -> Column:
+        has_url = url != ""
+        return packed(F.when(has_url, "url").otherwise("domain"), F.when(has_url, url).otherwise(host), threat, F.when(added != "", added).otherwise(online), state)
 
     packs = F.transform("below", lambda line: let(cells(line), read))
     rows = _exploded(placed, packs, ("kind", "value", "reason", "time", "state"), distinct).where("value <> ''")
